@@ -1,15 +1,19 @@
 """Data quality: nulls per column, schema listing, columns kept and dropped."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardsieve.functions.velocity import velocity_struct
 from cardsieve.schema import VELOCITY_COLUMN, VELOCITY_TYPES
 
 
+def _nulls(name: str) -> Column:
+    return F.count("*") - F.count(F.col(f"`{name}`"))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """(column_name, null_count) for every column, from one pass over the rows."""
-    counted = df.agg(*[F.count_if(F.col(f"`{name}`").isNull()).alias(name) for name in df.columns])
+    counted = df.agg(*[_nulls(name).alias(name) for name in df.columns])
     return counted.unpivot([], list(df.columns), "column_name", "null_count")
 
 
@@ -19,31 +23,24 @@ def schema_profile(before: DataFrame, after: DataFrame | None = None) -> DataFra
     With `after`, the audit says which columns were kept, dropped or added; an added one is
     listed after the others and its nulls are those of `after`.
     """
-
-    def listing(df: DataFrame, names: list[str], start: int, fate: dict[str, str]) -> DataFrame:
-        entries = [
-            F.struct(
-                F.lit(place).alias("position"),
-                F.lit(name).alias("column_name"),
-                F.lit(df.schema[name].dataType.simpleString()).alias("data_type"),
-                F.lit(df.schema[name].nullable).alias("nullable"),
-                F.count_if(F.col(f"`{name}`").isNull()).alias("null_count"),
-                F.lit(fate[name]).alias("status"),
-            )
-            for place, name in enumerate(names, start)
-        ]
-        return df.agg(F.array(*entries).alias("columns")).select(F.inline("columns"))
-
-    names = list(before.columns)
-    kept = names if after is None else after.columns
-    profile = listing(
-        before, names, 1, {n: "kept" if n in kept else "dropped" for n in names}
+    kept = before.columns if after is None else after.columns
+    added = [name for name in kept if name not in before.columns]
+    fields = [
+        (field, "kept" if field.name in kept else "dropped") for field in before.schema.fields
+    ] + [(after.schema[name], "added") for name in added]
+    listing = before.sparkSession.createDataFrame(
+        [
+            (place, field.name, field.dataType.simpleString(), field.nullable, status)
+            for place, (field, status) in enumerate(fields, 1)
+        ],
+        "position INT, column_name STRING, data_type STRING, nullable BOOLEAN, status STRING",
     )
-    added = [name for name in kept if name not in names]
-    if not added:
-        return profile
-    return profile.unionByName(
-        listing(after, added, len(names) + 1, dict.fromkeys(added, "added"))
+    nulls = null_counts(before)
+    if added:
+        nulls = nulls.unionByName(null_counts(after.select(*added)))
+    # The listing has one row per column, so it is always small enough to broadcast.
+    return nulls.join(F.broadcast(listing), "column_name").select(
+        "position", "column_name", "data_type", "nullable", "null_count", "status"
     )
 
 

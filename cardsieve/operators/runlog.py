@@ -13,10 +13,6 @@ LAST_LINES = 20
 TOTAL_STEP = "TOTAL"
 
 
-def _capture(pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract("value", pattern, group), F.lit(""))
-
-
 def parse_run_log(lines: DataFrame) -> DataFrame:
     """(run, step, seconds, total_duration, total_rows) from (run, line_no, value).
 
@@ -24,31 +20,45 @@ def parse_run_log(lines: DataFrame) -> DataFrame:
     step. Where a run prints a value twice the later line counts. Lines are combined per
     run and step before they are shuffled, so a very long log is no burden.
     """
-    fields = lines.select(
+    # Every form has a colon; the test spares most other lines the patterns.
+    captured = lines.where(F.contains("value", F.lit(":"))).select(
+        "run",
+        "line_no",
+        F.regexp_extract("value", STEP_PATTERN, 1).alias("step"),
+        F.regexp_extract("value", STEP_PATTERN, 2).alias("seconds"),
+        F.regexp_extract("value", DURATION_PATTERN, 1).alias("duration"),
+        F.regexp_extract("value", ROWS_PATTERN, 1).alias("total"),
+    )
+
+    def number(text: Column | str, to: str) -> Column:
+        # No match is empty text: skip it, as a failing cast is far dearer than this test.
+        return F.nullif(text, F.lit("")).try_cast(to)
+
+    fields = captured.select(
         "run",
         "line_no",
-        _capture(STEP_PATTERN, 1).alias("step"),
-        _capture(STEP_PATTERN, 2).try_cast("double").alias("seconds"),
-        _capture(DURATION_PATTERN, 1).try_cast("double").alias("duration"),
-        F.replace(_capture(ROWS_PATTERN, 1), F.lit(","), F.lit(""))
-        .try_cast("long")
-        .alias("total"),
+        "step",
+        number("seconds", "double").alias("seconds"),
+        number("duration", "double").alias("duration"),
+        number(F.replace("total", F.lit(","), F.lit("")), "long").alias("total"),
     )
-    read = F.coalesce("seconds", "duration", "total").isNotNull()
-    not_sum = F.col("step").isNull() | (F.col("step") != TOTAL_STEP)
 
     def latest(name: str) -> Column:
         # max_by passes over rows whose order is null.
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line_no")))
 
+    # Lines of no known form are in the group without a step and add nothing to it. The
+    # filter comes after the grouping, so that the patterns are not evaluated for it again.
     return (
-        fields.where(read & not_sum)
-        .groupBy("run", "step")
+        fields.groupBy("run", "step")
         .agg(
             latest("seconds").alias("seconds"),
             latest("duration").alias("total_duration"),
             latest("total").alias("total_rows"),
         )
+        .where(F.col("step") != TOTAL_STEP)
+        .where(F.coalesce("seconds", "total_duration", "total_rows").isNotNull())
+        .withColumn("step", F.nullif("step", F.lit("")))
     )
 
 
@@ -76,12 +86,16 @@ def error_lines(lines: DataFrame, last: int | None = LAST_LINES) -> DataFrame:
 
 
 def step_share(parsed: DataFrame) -> DataFrame:
-    """Each step's percentage of its run's total duration."""
-    share = F.try_divide(F.col("seconds"), F.col("total_duration")) * 100
+    """Each step's percentage of its run's total duration.
+
+    The duration comes from the run's own totals row, over a window of the few rows a run
+    has after parsing, so the lines are parsed once.
+    """
+    duration = F.max("total_duration").over(Window.partitionBy("run"))
+    share = F.try_divide(F.col("seconds"), F.col("_duration")) * 100
     return (
-        step_times(parsed)
-        .join(run_totals(parsed), "run")
-        .where(F.col("total_duration").isNotNull())
+        parsed.withColumn("_duration", duration)
+        .where(F.col("step").isNotNull() & F.col("_duration").isNotNull())
         .select("run", "step", "seconds", F.round(share, 1).alias("share_pct"))
     )
 
@@ -106,25 +120,31 @@ def _durations(runs: DataFrame, parsed: DataFrame) -> DataFrame:
     )
 
 
-def compare_runs(runs: DataFrame, parsed: DataFrame, labels: list[str] | tuple[str, ...]) -> DataFrame:
+def compare_runs(
+    runs: DataFrame, parsed: DataFrame, labels: list[str] | tuple[str, ...]
+) -> DataFrame:
     """One row per comparison and step, one column of seconds per label; null where a run
     lacks the step. The TOTAL row holds the durations."""
-    steps = (
-        comparable_runs(runs)
-        .join(step_times(parsed), "run")
-        .select("comparison", "step", "label", "seconds")
+    shown = comparable_runs(runs).select("run", "comparison", "label", "wall_time")
+    logged = shown.join(parsed, "run").select(
+        "comparison",
+        F.coalesce("step", F.lit(TOTAL_STEP)).alias("step"),
+        "label",
+        F.coalesce("seconds", "total_duration").alias("seconds"),
+        F.lit(None).cast("double").alias("wall_time"),
     )
-    totals = _durations(runs, parsed).select(
+    measured = shown.select(
         "comparison",
         F.lit(TOTAL_STEP).alias("step"),
         "label",
-        F.col("duration").alias("seconds"),
+        F.lit(None).cast("double").alias("seconds"),
+        "wall_time",
     )
     return (
-        steps.unionByName(totals)
+        logged.unionByName(measured)
         .groupBy("comparison", "step")
         .pivot("label", list(labels))
-        .agg(F.max("seconds"))
+        .agg(F.coalesce(F.max("seconds"), F.max("wall_time")))
     )
 
 

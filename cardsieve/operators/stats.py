@@ -8,6 +8,7 @@ unevenly the groups are filled.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardsieve.operators.split import SPLIT_COLUMN
 from cardsieve.schema import LABEL_COLUMN
 
 CELL_KEYS = ("merchant_category", "country", "channel", "device", LABEL_COLUMN)
@@ -46,9 +47,13 @@ def _row_sums() -> dict[str, Column]:
 def cells(df: DataFrame) -> DataFrame:
     """Partial sums per category, country, channel, device and label.
 
-    One pass over the rows yields this small table, and all four reports follow from it.
+    One pass over the rows yields this small table, and all four reports follow from it; so
+    do the split sizes where the rows have a split label.
     """
-    return df.groupBy(*CELL_KEYS).agg(*[c.alias(name) for name, c in _row_sums().items()])
+    sums = _row_sums()
+    if SPLIT_COLUMN in df.columns:
+        sums["n_train"] = F.count_if(F.col(SPLIT_COLUMN) == "train")
+    return df.groupBy(*CELL_KEYS).agg(*[c.alias(name) for name, c in sums.items()])
 
 
 def _sums(df: DataFrame) -> dict[str, Column]:

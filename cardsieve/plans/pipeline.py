@@ -7,7 +7,7 @@ from time import monotonic
 from pyspark.sql import DataFrame
 
 from cardsieve.operators.features import engineer_features
-from cardsieve.operators.split import SEED, SPLIT_COLUMN, TRAIN_PERCENT, split_report, with_split
+from cardsieve.operators.split import SEED, SPLIT_COLUMN, TRAIN_PERCENT, with_split
 from cardsieve.plans.report import RiskReport, risk_report
 from cardsieve.schema import ID_COLUMN
 from cardsieve.sinks.tables import write_table
@@ -42,10 +42,6 @@ def _labelled_features(raw: DataFrame, id_column: str, train_percent: int, seed:
     return engineer_features(with_split(raw, id_column, train_percent, seed))
 
 
-def _sizes(features: DataFrame) -> dict[str, int]:
-    return {row.split: row.n_rows for row in split_report(features).collect()}
-
-
 def run_cached(
     raw: DataFrame,
     write: Callable[[DataFrame, int], object],
@@ -55,17 +51,16 @@ def run_cached(
 ) -> PipelineResult:
     """For sinks that are slow to read back, such as CSV: keep the features while they are used.
 
-    Counting the split sizes fills the cache; it is released after the write, which reads
-    from it too. `write` gets the features without the split label, and their row count.
+    The pass that makes the partial sums fills the cache and yields the split sizes as well.
+    The cache is released after the write, which reads from it too. `write` gets the features
+    without the split label, and their row count.
     """
     clock = _Clock()
     features = _labelled_features(raw, id_column, train_percent, seed).persist()
     clock.lap("feature_eng")
     try:
-        sizes = _sizes(features)
-        clock.lap("split")
         report = risk_report(features)
-        report.partial_sums.count()
+        sizes = report.split_rows()
         clock.lap("aggregations")
         write(features.drop(SPLIT_COLUMN), sum(sizes.values()))
         clock.lap("write_back")
@@ -92,10 +87,7 @@ def run_to_table(
     clock.lap("feature_eng")
     write_table(features, table, path, partition_by=(SPLIT_COLUMN,))
     clock.lap("write_back")
-    stored = raw.sparkSession.table(table)
-    sizes = _sizes(stored)
-    clock.lap("split")
-    report = risk_report(stored)
-    report.partial_sums.count()
+    report = risk_report(raw.sparkSession.table(table))
+    sizes = report.split_rows()
     clock.lap("aggregations")
     return PipelineResult(report, sizes, clock.seconds)

@@ -40,6 +40,13 @@ class RiskReport:
             )
         return combined
 
+    def split_rows(self) -> dict[str, int]:
+        """Rows on either side of the split, for features that were labelled."""
+        sums = self.partial_sums.agg(
+            F.sum("n_train").alias("train"), F.sum(F.col("n_rows") - F.col("n_train")).alias("test")
+        ).first()
+        return {"train": sums.train or 0, "test": sums.test or 0}
+
     def release(self) -> None:
         self.partial_sums.unpersist()
 

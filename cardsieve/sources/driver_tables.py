@@ -1,5 +1,7 @@
 """The transaction record, run logs and raw text cells, derived from star-schema tables."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cardsieve.scratch import scratch_path, scratch_root
@@ -133,7 +135,7 @@ CELL_COLUMNS = {
     ),
 }
 
-_landed: dict[tuple[str, str], str] = {}
+_landed: dict[tuple[str, str, str], str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,25 +179,37 @@ def join_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(joined, TRANSACTION_COLUMNS)
 
 
-def landed_path(spark: SparkSession, sf_dir: str) -> str:
-    """Path of the joined record as Parquet, written once per session and input folder.
+def landed_path(
+    spark: SparkSession,
+    sf_dir: str,
+    name: str = "transactions",
+    build: Callable[[SparkSession, str], DataFrame] = join_transactions,
+) -> str:
+    """Path of a derived input as Parquet, written once per session and input folder.
 
-    Readers then prune columns and run without the four joins; the shared folder keeps the
-    table when executors are lost.
+    Readers then prune columns and skip the joins; the shared folder keeps the table when
+    executors are lost.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _landed:
-        path = scratch_path(spark, "transactions")
-        join_transactions(spark, sf_dir).write.parquet(path)
+        path = scratch_path(spark, name)
+        build(spark, sf_dir).write.parquet(path)
         _landed[key] = path
     return _landed[key]
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record to query: landed once, or the plain join where no shared folder is named."""
+def _landed_frame(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    """The landed input, or the plain plan where no shared folder is named."""
     if scratch_root(spark) is None:
-        return join_transactions(spark, sf_dir)
-    return spark.read.parquet(landed_path(spark, sf_dir))
+        return build(spark, sf_dir)
+    return spark.read.parquet(landed_path(spark, sf_dir, name, build))
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transaction record to query."""
+    return _landed_frame(spark, sf_dir, "transactions", join_transactions)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,15 +217,20 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(read_table(spark, sf_dir, "orders"), RUN_COLUMNS)
 
 
-def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of all runs, with their order inside the run."""
+def print_run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all runs, with their order inside the run, as text expressions."""
     steps = _select(widen(read_table(spark, sf_dir, "lineitem")), STEP_LINE_COLUMNS)
     lines = ", ".join(f"({number}L, {text})" for number, text in SUMMARY_LINES)
-    summary = read_table(spark, sf_dir, "orders").selectExpr(
+    summary = widen(read_table(spark, sf_dir, "orders")).selectExpr(
         f"{RUN_COLUMNS['run']} AS run", f"inline(array({lines})) AS (line_no, value)"
     )
     return steps.unionByName(summary)
 
 
+def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (run, line_no, value) lines to query."""
+    return _landed_frame(spark, sf_dir, "run-log-lines", print_run_log_lines)
+
+
 def text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(widen(read_table(spark, sf_dir, "lineitem")), CELL_COLUMNS)

@@ -3,18 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Spark numbers the rows of a task in the lower 33 bits of its row ids.
+_ROWS_PER_TASK = 1 << 33
+
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """(run, line_no, value) for every line; the run is the file name without its ending.
 
-    Files stay splittable. A line's place is the start of its block and its row id in that
-    block, so `line_no` sorts within a run even where one log spans many tasks.
+    Files stay splittable. A line's place is the start of its block, then its place in the
+    task that reads the block, so `line_no` sorts within a run even where one log spans many
+    tasks. It is one decimal number, which Spark can aggregate in place.
     """
+    block = F.col("_metadata.file_block_start").cast("decimal(20,0)")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROWS_PER_TASK - 1))
     return spark.read.text(path).select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("run"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("line_no"),
+        (block * _ROWS_PER_TASK + row).cast("decimal(32,0)").alias("line_no"),
         "value",
     )

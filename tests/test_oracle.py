@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 
-SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
+SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = entry_point.queries()
 ORACLES = entry_point.oracle_sql()
 
