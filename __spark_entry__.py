@@ -244,6 +244,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "engineer_features": _features,
         "velocity_extract": velocity_extract,
         "cast_flags": lambda s, d: features.cast_flags(raw(s, d)),
+        "cast_flags_text": lambda s, d: features.cast_flags(scan_positional(s, _csv(s, d))),
         "drop_pii": lambda s, d: features.drop_identifiers(raw(s, d)),
         "project_columns": lambda s, d: stats.project_aggregate_inputs(_features(s, d)),
         "normalize_names": normalized,

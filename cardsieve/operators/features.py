@@ -35,7 +35,7 @@ def extract_velocity(df: DataFrame, requote: bool = True) -> DataFrame:
     """Replace the velocity text by its five numbers, appended on the right."""
     return (
         df.withColumn(_STRUCT, velocity_struct(VELOCITY_COLUMN, requote))
-        .withColumns(velocity_columns(F.col(_STRUCT)))
+        .withColumns(velocity_columns(F.col(_STRUCT), VELOCITY_COLUMN, requote))
         .drop(VELOCITY_COLUMN, _STRUCT)
     )
 

@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardsieve.functions.velocity import velocity_struct
-from cardsieve.schema import VELOCITY_COLUMN, VELOCITY_TYPES
+from cardsieve.functions.velocity import velocity_columns, velocity_struct
+from cardsieve.schema import VELOCITY_COLUMN
 
 
 def _nulls(name: str) -> Column:
@@ -45,14 +45,11 @@ def schema_profile(before: DataFrame, after: DataFrame | None = None) -> DataFra
 
 
 def velocity_quality(df: DataFrame, requote: bool = True) -> DataFrame:
-    """How many velocity texts are missing, unreadable, or lack all of the known keys."""
-    text = F.col(VELOCITY_COLUMN)
-    parsed = velocity_struct(VELOCITY_COLUMN, requote)
-    empty = F.lit(True)
-    for key in VELOCITY_TYPES:
-        empty = empty & F.col("_velocity").getField(key).isNull()
-    return df.withColumn("_velocity", parsed).agg(
+    """How many velocity texts are missing, and how many yield none of the known numbers."""
+    numbers = velocity_columns(F.col("_velocity"), VELOCITY_COLUMN, requote)
+    found = F.coalesce(*[number.cast("double") for number in numbers.values()])
+    return df.withColumn("_velocity", velocity_struct(VELOCITY_COLUMN, requote)).agg(
         F.count("*").alias("total_rows"),
-        F.count_if(text.isNull()).alias("missing"),
-        F.count_if(text.isNotNull() & empty).alias("unreadable"),
+        (F.count("*") - F.count(VELOCITY_COLUMN)).alias("missing"),
+        (F.count(VELOCITY_COLUMN) - F.count(found)).alias("unreadable"),
     )

@@ -184,7 +184,16 @@ def split_parts(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-# --- shuffled order ------------------------------------------------------------------
+# --- row index and shuffled order ------------------------------------------------------------------
+
+
+def with_row_index(df: DataFrame, name: str = "_idx") -> DataFrame:
+    """Add a number that is unique and grows within each task, with gaps between tasks.
+
+    It needs no shuffle, but it numbers rows as they come: store the frame if the numbers are
+    to be used twice. For dense places that repeat, take `shuffle_rank`.
+    """
+    return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def shuffle_rank(df: DataFrame, id_column: str = ID_COLUMN, seed: int = SEED) -> DataFrame:

@@ -73,21 +73,27 @@ def run_to_table(
     raw: DataFrame,
     table: str,
     path: str | None = None,
+    export: Callable[[DataFrame, int], object] | None = None,
     id_column: str = ID_COLUMN,
     train_percent: int = TRAIN_PERCENT,
     seed: int = SEED,
 ) -> PipelineResult:
-    """For large data: write the labelled features as a table first, report from the table.
+    """For large data: write the labelled features as a table first, work on from the table.
 
     The raw input is read once, nothing is held in executor memory, and the reports only
-    touch the columns they need.
+    touch the columns they need. `export`, if given, gets the stored features without the
+    split label, and their row count, to write them elsewhere too.
     """
     clock = _Clock()
     features = _labelled_features(raw, id_column, train_percent, seed)
     clock.lap("feature_eng")
-    write_table(features, table, path, partition_by=(SPLIT_COLUMN,))
+    write_table(features, table, path)
     clock.lap("write_back")
-    report = risk_report(raw.sparkSession.table(table))
+    stored = raw.sparkSession.table(table)
+    report = risk_report(stored)
     sizes = report.split_rows()
     clock.lap("aggregations")
+    if export is not None:
+        export(stored.drop(SPLIT_COLUMN), sum(sizes.values()))
+        clock.lap("export")
     return PipelineResult(report, sizes, clock.seconds)

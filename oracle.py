@@ -190,6 +190,13 @@ def oracle_sql() -> dict[str, str]:
         "velocity_extract": _ENGINEERED
         + f"SELECT transaction_id, {', '.join(_VELOCITY)} FROM features",
         "cast_flags": _RAW + f"SELECT {_STORED_FLAGS} FROM transactions",
+        "cast_flags_text": _RAW
+        + "SELECT "
+        + ", ".join(
+            f'CAST("{name}" AS {"INTEGER" if name in FLAG_COLUMNS else "VARCHAR"}) AS "{name}"'
+            for name in RAW_SCHEMA.names
+        )
+        + " FROM transactions",
         "drop_pii": _RAW
         + "SELECT "
         + ", ".join(name for name in RAW_SCHEMA.names if name not in IDENTIFIER_COLUMNS)

@@ -83,6 +83,13 @@ VELOCITY_CASES = [
     ("{'num_transactions': 1, 'total_amount': 2.5, 'unique_merchants': 3,"
      " 'unique_countries': 4, 'max_single_amount': 5.25}", [1, 2.5, 3, 4, 5.25]),
     ("{'total_amount': NaN, 'num_transactions': 1}", [None] * 5),
+    ("{'num_transactions': '4', 'total_amount': '12.5'}", [4, 12.5, None, None, None]),
+    ("{'num_transactions': 'x', 'total_amount': 5}", [None, 5.0, None, None, None]),
+    ("{'num_transactions': true, 'total_amount': {'a': 1}, 'unique_merchants': [1],"
+     " 'unique_countries': null, 'max_single_amount': -1}", [None, None, None, None, -1.0]),
+    ("[{'num_transactions': 3}]", [None] * 5),
+    ("{'num_transactions': 3} trailing", [3, None, None, None, None]),
+    ("{}", [None] * 5),
 ]
 
 
@@ -103,7 +110,7 @@ def test_velocity_agrees_with_single_lookups(spark):
     df = spark.createDataFrame([(text,) for text, _ in VELOCITY_CASES], "text STRING")
     quoted = F.replace("text", F.lit("'"), F.lit('"'))
     struct = velocity_struct(F.col("text"))
-    for key, column in zip(VELOCITY_TYPES, velocity_columns(F.col("s")).values()):
+    for key, column in zip(VELOCITY_TYPES, velocity_columns(F.col("s"), "text").values()):
         number = F.get_json_object(quoted, f"$.{key}").try_cast("double")
         both = df.withColumn("s", struct).select(
             column.alias("ours"), number.try_cast(VELOCITY_TYPES[key]).alias("lookup")

@@ -124,6 +124,11 @@ def test_random_filter(numbered):
     assert ids(kept) == ids(split.random_filter(numbered))
 
 
+def test_row_index(numbered):
+    index = [row["_idx"] for row in split.with_row_index(numbered).collect()]
+    assert len(set(index)) == 5000 and min(index) == 0
+
+
 def test_shuffle_rank(skewed):
     names = [row.transaction_id for row in skewed.collect()]
     order = sorted(names, key=lambda n: (md5(f"42:{n or ''}".encode()).hexdigest(), n or ""))
