@@ -11,24 +11,31 @@ from pyspark.sql import functions as F
 TRUE_WORDS = ("true", "True")
 FALSE_WORDS = ("false", "False")
 
-# Text that counts as a number: decimal digits with optional sign, point and exponent,
-# or one of the special float words. Keeps out forms only Java reads, such as "1.5d".
-_DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_SPECIAL = r"(?i)^[+-]?(nan|inf|infinity)$"
-_WHOLE = r"^[+-]?[0-9]+$"
-
 _SPACES = " \t\n\r\f\v"
+_PAD = r"[ \t\n\r\f\x0B]*"
+
+# Text that counts as a number: decimal digits with optional sign, point and exponent, or
+# one of the special float words. Keeps out forms only Java reads, such as "1.5d".
+_WHOLE = rf"^{_PAD}[+-]?[0-9]+{_PAD}$"
+_DECIMAL = rf"^{_PAD}[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?{_PAD}$"
+_SPECIAL = rf"(?i)^{_PAD}[+-]?(nan|inf|infinity){_PAD}$"
 
 
 def _stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACES))
 
 
-def _digits(text: Column) -> Column:
-    """Stripped text without the single underscores that may group digits."""
-    bare = _stripped(text)
-    grouped = F.regexp_replace(bare, r"(?<=[0-9])_(?=[0-9])", "")
-    return F.when(F.contains(bare, F.lit("_")), grouped).otherwise(bare)
+def _number(text: Column, pattern: str, to: str) -> Column:
+    """A cast for text of the given form; a lone underscore between digits is skipped.
+
+    The test comes first because a failing cast is far dearer than the test, and plain
+    numbers are through after it.
+    """
+    ungrouped = F.regexp_replace(text, r"(?<=[0-9])_(?=[0-9])", "")
+    return F.when(text.rlike(pattern), _stripped(text).try_cast(to)).when(
+        F.contains(text, F.lit("_")),
+        F.when(ungrouped.rlike(pattern), _stripped(ungrouped).try_cast(to)),
+    )
 
 
 def parse_bool_strict(text: Column) -> Column:
@@ -43,11 +50,10 @@ def parse_bool_lenient(text: Column) -> Column:
 
 def parse_int(text: Column, to: str = "int") -> Column:
     """Whole number from text; "5.0", words and values out of range are null."""
-    digits = _digits(text)
-    return F.when(digits.rlike(_WHOLE), digits.try_cast(to))
+    return _number(text, _WHOLE, to)
 
 
 def parse_float(text: Column) -> Column:
     """Double from text, exponents and nan / inf included."""
-    digits = _digits(text)
-    return F.when(digits.rlike(_DECIMAL) | digits.rlike(_SPECIAL), digits.try_cast("double"))
+    special = F.when(text.rlike(_SPECIAL), _stripped(text).try_cast("double"))
+    return F.coalesce(_number(text, _DECIMAL, "double"), special)

@@ -39,7 +39,8 @@ class _Clock:
 
 def _labelled_features(raw: DataFrame, id_column: str, train_percent: int, seed: int) -> DataFrame:
     # The label is taken from the id, so it has to come before the id is dropped.
-    return engineer_features(with_split(raw, id_column, train_percent, seed))
+    features = engineer_features(with_split(raw, id_column, train_percent, seed))
+    return features.select(*[c for c in features.columns if c != SPLIT_COLUMN], SPLIT_COLUMN)
 
 
 def run_cached(
