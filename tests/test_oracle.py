@@ -1,48 +1,21 @@
 """Every registered query against its SQL counterpart on another engine."""
 
 import os
-from pathlib import Path
 
-import duckdb
-import pandas as pd
 import pytest
-
-import __spark_entry__ as entry_point
+from compare import ORACLES, QUERIES, assert_same, connect
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
-
-
-@pytest.fixture(scope="session")
-def duck():
-    con = duckdb.connect()
-    con.execute("SET TimeZone = 'UTC'")
-    for file in sorted(Path(SF_DIR).glob("*.parquet")):
-        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM read_parquet('{file}')")
-    return con
 
 
-def _sorted(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)].astype(object)
-    frame = frame.where(frame.notna(), None)
-    return sorted(map(tuple, frame.itertuples(index=False)), key=repr)
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF_DIR)
 
 
 @pytest.mark.parametrize("name", QUERIES)
-def test_query_matches_sql(spark, duck, name):
-    ours = QUERIES[name](spark, SF_DIR)
-    rows = pd.DataFrame([tuple(r) for r in ours.collect()], columns=ours.columns, dtype=object)
-    other = duck.sql(ORACLES[name])
-    theirs = pd.DataFrame(other.fetchall(), columns=other.columns, dtype=object)
-    assert sorted(ours.columns) == sorted(other.columns)
-    assert len(rows) == len(theirs) > 0
-    assert _sorted(rows) == _sorted(theirs)
-
-    kinds = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string",
-             "BOOLEAN": "boolean"}
-    expected = {n: kinds[str(t)] for n, t in zip(other.columns, other.types)}
-    assert dict(ours.dtypes) == expected
+def test_query_matches_sql(spark, con, name):
+    assert_same(spark, con, name, SF_DIR)
 
 
 def test_every_query_has_sql():
