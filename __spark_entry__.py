@@ -56,10 +56,16 @@ def _csv(spark: SparkSession, sf_dir: str) -> str:
     return _csv_exports[key]
 
 
+_schemas: dict[str, str] = {}
+
+
 def _table_name(spark: SparkSession, name: str) -> str:
-    """A new name in a schema of its own, whose tables live under the shared folder."""
-    schema = ensure_schema(spark, f"cardsieve_{uuid4().hex}", scratch_path(spark, "schema"))
-    return f"{schema}.{name}"
+    """A new table name in the session's own schema, stored under the shared folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _schemas:
+        location = scratch_path(spark, "schema")
+        _schemas[app] = ensure_schema(spark, f"cardsieve_{uuid4().hex}", location)
+    return f"{_schemas[app]}.{name}_{uuid4().hex}"
 
 
 # --- reports --------------------------------------------------------------------------
@@ -147,7 +153,7 @@ def ctas_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ctas_engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = features.engineer_features(split.with_split(tables.transactions(spark, sf_dir)))
-    name = _table_name(spark, f"engineered_{uuid4().hex}")
+    name = _table_name(spark, "engineered")
     train, test = write_split_tables(labelled, name)
     return spark.table(train).withColumn("split", F.lit("train")).unionByName(
         spark.table(test).withColumn("split", F.lit("test"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cardsieve.functions.hashing import hash_bucket, hash_key
 from cardsieve.operators.copies import number_copies
 from cardsieve.schema import ID_COLUMN
+from cardsieve.scratch import store
 
 SPLIT_COLUMN = "split"
 SEED = 42
@@ -109,12 +110,12 @@ def _nth_smallest(
     """
 
     def counts(df: DataFrame, rows: Column, length: int) -> list:
-        return (
+        found = (
             df.groupBy(F.substring("text", 1, length).alias("prefix"))
             .agg(rows.alias("n"), F.min("text").alias("low"), F.max("text").alias("high"))
-            .orderBy("prefix")
             .collect()
         )
+        return sorted(found, key=lambda step: step.prefix)
 
     texts = texts.toDF("text")
     length, found = _DIGITS, counts(texts, F.count("*"), _DIGITS)
@@ -132,7 +133,8 @@ def _nth_smallest(
                 return step.low, wanted, step.n
             inside = F.col("text").startswith(step.prefix)
             if kept is None:
-                kept = texts.where(inside).groupBy("text").agg(F.count("*").alias("n")).persist()
+                texts = texts.where(inside).groupBy("text").agg(F.count("*").alias("n"))
+                kept = store(texts, "split-keys")
             length += _DIGITS
             found = counts(kept.where(inside), F.sum("n"), length)
     finally:

@@ -12,6 +12,7 @@ from cardsieve.operators.stats import (
     rate_by_country,
     velocity_by_label,
 )
+from cardsieve.scratch import store
 
 
 @dataclass(frozen=True)
@@ -48,12 +49,13 @@ class RiskReport:
         return {"train": sums.train or 0, "test": sums.test or 0}
 
     def release(self) -> None:
+        """Free the partial sums where they had to be cached."""
         self.partial_sums.unpersist()
 
 
 def risk_report(features: DataFrame) -> RiskReport:
-    """Set up the reports. The first one that is read fills the partial sums for the rest."""
-    sums = cells(features).persist()
+    """Make the partial sums, in one pass, and set up the reports over them."""
+    sums = store(cells(features), "partial-sums")
     return RiskReport(
         sums,
         rate_by_category(sums),

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
 
@@ -33,3 +33,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if root is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Compute once and read the outcome from the shared folder, or from cache without one.
+
+    A stored table outlives lost executors, and AQE merges its small partitions, which a
+    cached frame keeps: an aggregate of a few rows would stay in hundreds of them.
+    """
+    spark = df.sparkSession
+    if scratch_root(spark) is None:
+        return df.persist()
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

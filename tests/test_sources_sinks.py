@@ -192,7 +192,18 @@ def test_whole_job(spark, csv, schema, tmp_path):
     assert spark.table(f"{schema}.features").columns == ENGINEERED_SCHEMA.names + ["split"]
     for result in (cached, stored):
         result.report.release()
-        assert not result.report.partial_sums.is_cached
+        assert result.report.by_category.count() == 1
+
+
+def test_store_without_a_shared_folder(spark, monkeypatch):
+    rows = spark.range(3)
+    assert not scratch.store(rows, "kept").is_cached
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: None)
+    kept = scratch.store(rows, "kept")
+    assert kept.is_cached and kept.count() == 3
+    kept.unpersist()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_path(spark, "x")
 
 
 def test_scratch_is_the_shared_folder(spark):
