@@ -172,3 +172,28 @@ def test_report_and_estimate(numbered):
     assert report["train"].share_pct == round(train / 50, 1)
     assert tuple(split.split_estimate(numbered).first()) == (5000, 3750, 1250)
     assert tuple(split.split_estimate(numbered.where("false")).first()) == (0, 0, 0)
+
+
+def test_anti_join_splits_a_hot_id(spark, tmp_path):
+    """Rows of a hot id outside of the part are spread over several tasks by AQE."""
+    cold = spark.range(20000).selectExpr("concat('T', id) AS transaction_id", "uuid() AS value")
+    hot = spark.range(20000).selectExpr("'HOT' AS transaction_id", "uuid() AS value")
+    cold.union(hot).repartition(16).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": -1,
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": -1,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": False,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": 2,
+    }
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        rest = split.complement(rows, rows.where("transaction_id LIKE '%7'"))
+        assert len(rest.collect()) == 38000
+        assert "SortMergeJoin(skew=true)" in rest._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
