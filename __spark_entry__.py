@@ -22,7 +22,7 @@ from cardsieve.functions import (  # noqa: E402
 from cardsieve.operators import features, ingest, profile, runlog, split, stats  # noqa: E402
 from cardsieve.plans import risk_report, run_cached, run_to_table  # noqa: E402
 from cardsieve.schema import ENGINEERED_SCHEMA, VELOCITY_TYPES  # noqa: E402
-from cardsieve.scratch import scratch_path  # noqa: E402
+from cardsieve.scratch import made_once, scratch_path  # noqa: E402
 from cardsieve.sinks import write_csv, write_json, write_split_tables, write_table  # noqa: E402
 from cardsieve.sources import (  # noqa: E402
     CsvSource,
@@ -40,8 +40,6 @@ from cardsieve.sources import (  # noqa: E402
 )
 from cardsieve.sources import driver_tables as tables  # noqa: E402
 
-_csv_exports: dict[tuple[str, str], str] = {}
-
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.engineer_features(tables.transactions(spark, sf_dir))
@@ -49,11 +47,12 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _csv(spark: SparkSession, sf_dir: str) -> str:
     """The transactions as CSV files, written once per session for all CSV queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _csv_exports:
-        path = scratch_path(spark, "transactions-csv")
-        _csv_exports[key] = write_csv(tables.transactions(spark, sf_dir), path)
-    return _csv_exports[key]
+    return made_once(
+        spark,
+        "transactions-csv",
+        sf_dir,
+        lambda path: write_csv(tables.transactions(spark, sf_dir), path),
+    )
 
 
 _schemas: dict[str, str] = {}

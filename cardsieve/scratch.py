@@ -2,10 +2,13 @@
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_made: dict[tuple[str, ...], str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str | None:
@@ -47,3 +50,21 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("value STRING").text(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def made_once(spark: SparkSession, name: str, origin: str, write: Callable[[str], object]) -> str:
+    """Path of files that `write` makes, once per session and origin while they are there."""
+    key = (spark.sparkContext.applicationId, name, origin)
+    if key not in _made or not _exists(spark, _made[key]):
+        path = scratch_path(spark, name)
+        write(path)
+        _made[key] = path
+    return _made[key]

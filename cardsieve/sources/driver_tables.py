@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardsieve.scratch import scratch_path, scratch_root
+from cardsieve.scratch import made_once, scratch_root
 
 # Expressions that Spark and other SQL engines read alike; decimals are put together from
 # integers, so that they print the same everywhere.
@@ -135,8 +135,6 @@ CELL_COLUMNS = {
     ),
 }
 
-_landed: dict[tuple[str, str, str], str] = {}
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -190,12 +188,9 @@ def landed_path(
     Readers then prune columns and skip the joins; the shared folder keeps the table when
     executors are lost.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _landed:
-        path = scratch_path(spark, name)
-        build(spark, sf_dir).write.parquet(path)
-        _landed[key] = path
-    return _landed[key]
+    return made_once(
+        spark, name, sf_dir, lambda path: build(spark, sf_dir).write.parquet(path)
+    )
 
 
 def _landed_frame(

@@ -195,6 +195,20 @@ def test_whole_job(spark, csv, schema, tmp_path):
         assert result.report.by_category.count() == 1
 
 
+def test_made_once_while_it_is_there(spark, tmp_path):
+    calls = []
+
+    def write(path):
+        calls.append(path)
+        spark.range(1).write.parquet(path)
+
+    first = scratch.made_once(spark, "once", str(tmp_path), write)
+    assert scratch.made_once(spark, "once", str(tmp_path), write) == first
+    scratch._made[(spark.sparkContext.applicationId, "once", str(tmp_path))] = "/nowhere"
+    assert scratch.made_once(spark, "once", str(tmp_path), write) not in (first, "/nowhere")
+    assert len(calls) == 2
+
+
 def test_store_without_a_shared_folder(spark, monkeypatch):
     rows = spark.range(3)
     assert not scratch.store(rows, "kept").is_cached
