@@ -40,6 +40,15 @@ from cardsieve.sources import (  # noqa: E402
 )
 from cardsieve.sources import driver_tables as tables  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from cardsieve.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    # Only the subpackage itself may be absent; what it needs must be there.
+    if missing.name not in ("corpus_pipeline", "cardsieve.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.engineer_features(tables.transactions(spark, sf_dir))
@@ -233,7 +242,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     raw = tables.transactions
-    return {
+    found = {
         # Reports
         "fraud_rate_by_category": lambda s, d: stats.rate_by_category(_features(s, d)),
         "fraud_rate_by_country": lambda s, d: stats.rate_by_country(_features(s, d)),
@@ -302,8 +311,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline_cached": pipeline_cached,
         "pipeline_table": pipeline_table,
     }
+    if llm_queries is not None:
+        found |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the same results on the same tables, by query name."""
-    return oracle.oracle_sql()
+    found = oracle.oracle_sql()
+    if llm_queries is not None:
+        found |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
