@@ -127,7 +127,7 @@ def _postings(nodes: DataFrame) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame, how: NearDup) -> DataFrame:
-    """(key, node, weight): each node under its rarest keys, as far as others share them.
+    """(key, node, weight, mask): each node under its rarest keys, as far as others share them.
 
     A key that only one node has joins nothing, but takes a place in the node's prefix; a
     node with fewer than `matches` shared keys has no partner at all.
@@ -140,8 +140,13 @@ def _prefixes(nodes: DataFrame, how: NearDup) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"),
     )
     first = F.slice("keys", F.lit(1), F.col("n_shared").cast("int") - how.matches + 1)
-    return shared.where(F.col("n_shared") >= how.matches).select(
-        "node", "weight", F.explode(first.getField("key")).alias("key")
+    prefix = shared.where(F.col("n_shared") >= how.matches).select(
+        "node", "weight", first.getField("key").alias("prefix")
+    )
+    # A bit for each coordinate in the prefix.
+    mask = "aggregate(prefix, 0L, (m, k) -> m | shiftleft(1L, CAST(shiftright(k, 32) AS INT)))"
+    return prefix.select(
+        "node", "weight", F.expr(mask).alias("mask"), F.explode("prefix").alias("key")
     )
 
 
@@ -178,11 +183,46 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     )
 
 
-def _across(lists: DataFrame, signed: DataFrame, how: NearDup) -> DataFrame:
-    """Pairs of one list but of different components that agree in enough coordinates.
+def _met(group: pa.Table, how: NearDup):
+    """(i, places j) of each member's partners in another component, in a dealt group.
+
+    Partners agree in enough coordinates and have sizes that allow the similarity. A pair
+    that meets under several keys counts under that of its first common coordinate alone.
+    """
+    node, label, size, mask = (
+        group[c].to_numpy() for c in ("node", "label", "n_shingles", "mask")
+    )
+    signs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint32)
+    signs = signs.reshape(len(node), -1)
+    used = np.unpackbits(mask.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    used = used[:, : signs.shape[1]].astype(bool)
+    main = group["is_main"].to_numpy(zero_copy_only=False)
+    crossing = bool(group["m"][0].as_py())
+    coordinate = int(group["key"][0].as_py()) >> 32
+    for i in range(len(node)):
+        rest = (label != label[i]) & (node > node[i])
+        if crossing:
+            rest &= main != main[i]
+        least, most = np.minimum(size, size[i]), np.maximum(size, size[i])
+        rest &= how.whole * least >= how.part * most
+        j = np.flatnonzero(rest)
+        if not len(j):
+            continue
+        equal = signs[j] == signs[i]
+        first = (equal & used[j] & used[i]).argmax(axis=1) == coordinate
+        j = j[first & (equal.sum(axis=1) >= how.matches)]
+        if len(j):
+            yield i, j
+
+
+def _across(lists: DataFrame, nodes: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """Confirmed links (a, b) between different components that meet in some list.
 
     A list is dealt into blocks: members of its main component, and the others. Main blocks
-    meet other blocks, other blocks meet each other; main blocks never meet one another.
+    meet other blocks, other blocks meet each other; main blocks never meet one another. A
+    first pass over signatures finds the members that have partners at all; only these bring
+    their full sets to a second pass, which confirms pairs in place. It gives links that
+    connect what is connected in a block, and so never more than the block has members.
     """
     sizes = (
         lists.groupBy("key")
@@ -200,13 +240,6 @@ def _across(lists: DataFrame, signed: DataFrame, how: NearDup) -> DataFrame:
         F.ceil(F.count_if("is_main") / how.block).alias("mains"),
         F.ceil(F.count_if(~F.col("is_main")) / how.block).alias("others"),
     )
-    known = known.join(counts, "key").join(signed, "node")
-    dealt = known.select(
-        "key", "node", "label", "signature", "n_shingles", "is_main",
-        F.when(F.col("is_main"), F.pmod(F.xxhash64("node"), "mains"))
-        .otherwise(F.pmod(F.xxhash64("node"), "others")).alias("own"),
-        "mains", "others",
-    )
     meet = """
         CASE WHEN is_main THEN transform(sequence(0L, others - 1), j -> struct(true AS m, own AS i, j AS j))
         ELSE concat(
@@ -215,36 +248,61 @@ def _across(lists: DataFrame, signed: DataFrame, how: NearDup) -> DataFrame:
             transform(sequence(0L, others - 1),
                 j -> struct(false AS m, least(own, j) AS i, greatest(own, j) AS j)))
         END"""
+    blocks = F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))
+    dealt = known.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks))
     dealt = dealt.select("*", F.inline(F.expr(meet))).drop("own", "mains", "others")
-    dealt = dealt.repartition(input_parts(lists.sparkSession), "key", "m", "i", "j")
-    dealt = dealt.sortWithinPartitions("key", "m", "i", "j")
+    group = ["key", "m", "i", "j"]
+    parts = input_parts(lists.sparkSession)
+
+    def side_by_side(rows: DataFrame) -> DataFrame:
+        rows = rows.join(nodes.select("node", "signature", "n_shingles"), "node")
+        return rows.repartition(parts, *group).sortWithinPartitions(*group)
+
+    def find(batches):
+        for rows in sorted_groups(batches, group):
+            met = np.zeros(rows.num_rows, bool)
+            for i, j in _met(rows, how):
+                met[i] = True
+                met[j] = True
+            if met.any():
+                yield from rows.select(
+                    [*group, "node", "label", "mask", "is_main"]
+                ).filter(pa.array(met)).to_batches()
+
+    kinds = "key long, m boolean, i long, j long, node long, label long, mask long, is_main boolean"
+    found = keep(side_by_side(dealt).mapInArrow(find, kinds), "met")
+
+    def confirm(batches):
+        for rows in sorted_groups(batches, group):
+            node, label = rows["node"].to_pylist(), rows["label"].to_pylist()
+            shingles = rows["shingles"].combine_chunks()
+            one = [shingles[i].values.to_numpy() for i in range(len(node))]
+            above = {x: x for x in label}
+
+            def top(x):
+                while above[x] != x:
+                    above[x] = above[above[x]]
+                    x = above[x]
+                return x
 
-    def work(batches):
-        for group in sorted_groups(batches, ["key", "m", "i", "j"]):
-            node, label, size = (
-                group[c].to_numpy() for c in ("node", "label", "n_shingles")
-            )
-            signs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint32)
-            signs = signs.reshape(len(node), -1)
-            main = group["is_main"].to_numpy()
-            crossing = bool(group["m"][0].as_py())
             a, b = [], []
-            for i in range(len(node)):
-                rest = (label != label[i]) & (node > node[i])
-                if crossing:
-                    rest &= main != main[i]
-                least, most = np.minimum(size, size[i]), np.maximum(size, size[i])
-                rest &= how.whole * least >= how.part * most
-                j = np.flatnonzero(rest)
-                j = j[(signs[j] == signs[i]).sum(axis=1) >= how.matches]
-                a.extend([node[i]] * len(j))
-                b.extend(node[j])
+            for i, partners in _met(rows, how):
+                for j in partners:
+                    x, y = top(label[i]), top(label[j])
+                    if x == y:
+                        continue
+                    both = len(np.intersect1d(one[i], one[j], assume_unique=True))
+                    if how.whole * both >= how.part * (len(one[i]) + len(one[j]) - both):
+                        above[max(x, y)] = min(x, y)
+                        a.append(node[i])
+                        b.append(node[j])
             if a:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]
                 )
 
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    full = side_by_side(found.join(sets, "node"))
+    return full.mapInArrow(confirm, "a long, b long").distinct()
 
 
 def _same_id(signed: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -297,8 +355,7 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     lists = prefixes.join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
     )
-    more = _across(keep(lists, "lists"), nodes.drop("digest"), how)
-    more = keep(_confirmed(keep(more, "across"), sets, how), "links")
+    more = keep(_across(keep(lists, "lists"), nodes, sets, how), "links")
     final = component_labels(
         labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         .union(more)
