@@ -50,7 +50,7 @@ class LanguageModel:
 
 
 def _chunks(docs: DataFrame, how: LanguageModel) -> DataFrame:
-    """Runs of documents: their tokens as places in the chunk's sorted different words."""
+    """Runs of documents: their tokens as numbers of the chunk's words, by frequency."""
     schema = pa.schema(
         [
             ("chunk", pa.int64()),
@@ -59,7 +59,8 @@ def _chunks(docs: DataFrame, how: LanguageModel) -> DataFrame:
             ("sizes", pa.list_(pa.int64())),
             ("words", pa.binary()),
             ("counts", pa.binary()),
-            ("tokens", pa.binary()),
+            ("control", pa.binary()),
+            ("data", pa.binary()),
         ]
     )
 
@@ -75,14 +76,18 @@ def _chunks(docs: DataFrame, how: LanguageModel) -> DataFrame:
             tokens = tokens[:-1]
             learned = np.repeat(np.array([not h for _, h in held]), sizes)
             counts = np.bincount(tokens[learned], minlength=len(words))
+            # Frequent words get small numbers, which take one byte.
+            order = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
             values = [
                 chunk,
                 [d for d, _ in held],
                 [h for _, h in held],
                 sizes.tolist(),
-                words.tobytes(),
-                counts.astype("<u4").tobytes(),
-                tokens.astype("<u4").tobytes(),
+                words[order].tobytes(),
+                counts[order].astype("<u4").tobytes(),
+                *encode_numbers(rank[tokens]),
             ]
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema
@@ -112,7 +117,7 @@ def _chunks(docs: DataFrame, how: LanguageModel) -> DataFrame:
     ).mapInArrow(
         work,
         "chunk long, doc_ids array<long>, held array<boolean>, sizes array<long>,"
-        " words binary, counts binary, tokens binary",
+        " words binary, counts binary, control binary, data binary",
     )
 
 
@@ -145,6 +150,8 @@ def _word_counts(chunks: DataFrame, shards: int, hot: int) -> DataFrame:
         for batch in batches:
             for chunk, words, counts in zip(*(batch[c].to_pylist() for c in ("chunk", "words", "counts"))):
                 words, counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, "<u4")
+                order = np.argsort(words)
+                words, counts = words[order], counts[order]
                 rows = [
                     (s, chunk, words[b:e].tobytes(), counts[b:e].tobytes())
                     for s, b, e in _cuts(_shard_of(words, shards), shards)
@@ -186,9 +193,13 @@ class Pairs:
     """The different bigrams of a chunk, ordered by shard, context and word."""
 
     def __init__(self, row: dict, shards: int, hot: dict[int, int], hot_size: int):
-        self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], "<u4").astype(np.int64)
+        words = np.frombuffer(row["words"], np.uint64)
         self.sizes = np.array(row["sizes"])
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        self.words = words[order]
+        self.tokens = place[decode_numbers(row["control"], row["data"], int(self.sizes.sum()))]
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.words, _BEGIN)
@@ -268,18 +279,19 @@ def _bigram_codes(
                 number, entries & mask, _code(total / (base[number] + how.mu)), len(contexts)
             )
             weight = _code(how.mu / (base + how.mu))
-            for row, (own, runs, _), key in zip(rows, asked, keys):
+            for row, (own, _, _), key in zip(rows, asked, keys):
                 at = (key >> np.uint64(40)).astype(np.int64)
+                heads = np.searchsorted(contexts, own)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "chunk": pa.array([row["chunk"]], pa.int64()),
                         "shard": pa.array([row["shard"]], pa.int64()),
                         "codes": [level.lookup(at, key & mask, _ABSENT).tobytes()],
-                        "weights": [weight[at].tobytes()],
+                        "weights": [weight[heads].tobytes()],
                     }
                 )
 
-    requests = chunks.select("chunk", "sizes", "held", "words", "tokens").mapInArrow(
+    requests = chunks.select("chunk", "sizes", "held", "words", "control", "data").mapInArrow(
         ask,
         "shard long, chunk long, contexts binary, runs binary, words binary, control binary,"
         " data binary",
@@ -330,12 +342,19 @@ def score_documents(docs: DataFrame, how: LanguageModel = LanguageModel()) -> Da
             for row in batch.to_pylist():
                 pairs = Pairs(row, shards, hot, hot_size)
                 known = np.frombuffer(b"".join(x["totals"] for x in row["known"]), "<i8")
-                flat = [b"".join(x[c] for x in row["coded"]) for c in ("codes", "weights")]
+                codes, weights = (
+                    np.frombuffer(b"".join(x[c] for x in row["coded"]), np.uint8)
+                    for c in ("codes", "weights")
+                )
+                # One weight came for each context of each shard, one code for each bigram.
+                context = pairs.context[pairs.order]
+                fresh = np.diff(context, prepend=-1) != 0
+                fresh |= np.diff(pairs.shard, prepend=-1) != 0
                 base = ((known + 0.5) / scale)[pairs.tokens]
                 found = []
-                for data in flat:
+                for own in (codes, weights[np.cumsum(fresh) - 1]):
                     values = np.empty(len(pairs.order))
-                    values[pairs.order] = decoded[np.frombuffer(data, np.uint8)]
+                    values[pairs.order] = decoded[own]
                     found.append(values[pairs.place])
                 score = np.log10(found[0] + found[1] * base)
                 starts = np.cumsum(pairs.sizes) - pairs.sizes
@@ -359,7 +378,7 @@ def score_documents(docs: DataFrame, how: LanguageModel = LanguageModel()) -> Da
         F.sort_array(F.collect_list(F.struct("shard", "codes", "weights"))).alias("coded")
     )
     joined = chunks.join(known, "chunk").join(coded, "chunk")
-    return joined.select("doc_ids", "held", "sizes", "words", "tokens", "known", "coded").mapInArrow(
+    return joined.select("doc_ids", "held", "sizes", "words", "control", "data", "known", "coded").mapInArrow(
         work,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long,"
         " base_score double, score double",
