@@ -19,7 +19,7 @@ from cardsieve.llm.tokens import encoder
 by_value(__name__)
 
 CAPACITY = 1024
-ENCODE_BYTES = 16_000_000
+ENCODE_BYTES = 8_000_000
 # A task numbers its sequences from its own place on: 2 to the power of this many apart.
 TASK_BITS = 36
 
