@@ -50,9 +50,11 @@ def _with_shingles(df: DataFrame, name: str) -> DataFrame:
 
 def _fingerprint(shingles: str) -> Column:
     """64-bit SimHash: each bit is the majority of that bit over all shingles."""
+    # Bound by a lambda, the array is computed once and not once for each bit.
     return F.expr(
-        f"aggregate(sequence(0, 63), 0L, (f, b) -> f | shiftleft(CASE WHEN 2 * aggregate({shingles},"
-        f" 0L, (s, x) -> s + (shiftrightunsigned(x, b) & 1L)) > size({shingles}) THEN 1L ELSE 0L END, b))"
+        f"element_at(transform(array({shingles}), t -> aggregate(sequence(0, 63), 0L, (f, b) -> f |"
+        " shiftleft(CASE WHEN 2 * aggregate(t, 0L, (s, x) -> s + (shiftrightunsigned(x, b) & 1L))"
+        " > size(t) THEN 1L ELSE 0L END, b))), 1)"
     )
 
 

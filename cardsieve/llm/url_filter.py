@@ -31,10 +31,10 @@ class UrlModel:
     shortest: int = 3
     longest: int = 5
     bits: int = 15
-    rounds: int = 300
-    rate: float = 4.0
+    rounds: int = 600
+    rate: float = 12.0
     decay: float = 1e-4
-    threshold: float = 0.55
+    threshold: float = 0.5
     most_rows: int = 20_000
     most_rules: int = 10_000
 

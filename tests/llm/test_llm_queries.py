@@ -1,0 +1,34 @@
+"""The registered queries against their SQL, and the pipeline's decisions."""
+
+import pytest
+
+import corpus_pipeline
+from cardsieve.llm import near_dup, quality, queries, secret_scan
+from cardsieve.llm.decontaminate import find_contamination
+from compare import assert_same, connect
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    assert_same(spark, connect(SF), name, SF)
+
+
+def test_pipeline_stages_take_effect(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for (_, stage), unwanted in zip(
+        corpus_pipeline.STAGES[:4],
+        (
+            lambda d: quality.quality(d, spark.read.parquet(f"{SF}/labels.parquet")).where("base_failed"),
+            lambda d: near_dup.near_duplicates(d).where("NOT kept"),
+            lambda d: find_contamination(d, spark.read.parquet(f"{SF}/benchmark.parquet")),
+            lambda d: secret_scan.scan_secrets(d).where("size(secret_spans) > 0"),
+        ),
+    ):
+        bad = {r.doc_id for r in unwanted(docs).select("doc_id").collect()}
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        ids = {r.doc_id for r in kept.select("doc_id").collect()}
+        assert bad and not ids & bad and ids
+    assert corpus_pipeline.ORACLE_SQL is None
