@@ -249,6 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fraud_rate_by_channel_device": lambda s, d: stats.rate_by_channel_device(
             _features(s, d)
         ),
+        "fraud_rate_top_countries": lambda s, d: stats.rate_by_country(_features(s, d), limit=10),
         "velocity_by_label": lambda s, d: stats.velocity_by_label(_features(s, d)),
         "sql_surface": sql_surface,
         "risk_report": lambda s, d: risk_report(_features(s, d)).combined(),
@@ -301,7 +302,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_number": parse_number,
         # Run logs
         "run_log_parse": _parsed,
-        "log_error_lines": lambda s, d: runlog.error_lines(tables.run_log_lines(s, d)),
+        "log_error_lines": lambda s, d: runlog.error_lines(tables.run_log_lines(s, d), last=5),
         "run_compare": lambda s, d: runlog.compare_runs(
             tables.runs(s, d), _parsed(s, d), tables.RUN_LABELS
         ),

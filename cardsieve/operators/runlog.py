@@ -8,7 +8,6 @@ STEP_PATTERN = r"^\s+(\w+)\s*:\s+([\d.]+)s\s"
 DURATION_PATTERN = r"^\s+Total duration\s*:\s+([\d.]+)s$"
 ROWS_PATTERN = r"^\s+Total rows\s*:\s+([\d,]+)$"
 QUIET_WORDS = ("WARN", "WARNING", "INFO")
-LAST_LINES = 20
 
 TOTAL_STEP = "TOTAL"
 
@@ -70,8 +69,8 @@ def run_totals(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("step").isNull()).select("run", "total_duration", "total_rows")
 
 
-def error_lines(lines: DataFrame, last: int | None = LAST_LINES) -> DataFrame:
-    """Lines that are no warning or information; the last ones of each run.
+def error_lines(lines: DataFrame, last: int | None = None) -> DataFrame:
+    """Lines that are no warning or information; only the `last` ones of each run if asked for.
 
     The per-run limit is applied in the map tasks already, so no task collects a whole log.
     """
@@ -125,26 +124,22 @@ def compare_runs(
 ) -> DataFrame:
     """One row per comparison and step, one column of seconds per label; null where a run
     lacks the step. The TOTAL row holds the durations."""
-    shown = comparable_runs(runs).select("run", "comparison", "label", "wall_time")
-    logged = shown.join(parsed, "run").select(
-        "comparison",
-        F.coalesce("step", F.lit(TOTAL_STEP)).alias("step"),
-        "label",
-        F.coalesce("seconds", "total_duration").alias("seconds"),
-        F.lit(None).cast("double").alias("wall_time"),
+    # The fallback to the wall time is taken per run, before runs of one label meet.
+    shown = _durations(runs, parsed).select("run", "comparison", "label", "duration")
+    steps = shown.join(step_times(parsed), "run").select(
+        "comparison", "step", "label", "seconds"
     )
-    measured = shown.select(
+    totals = shown.select(
         "comparison",
         F.lit(TOTAL_STEP).alias("step"),
         "label",
-        F.lit(None).cast("double").alias("seconds"),
-        "wall_time",
+        F.col("duration").alias("seconds"),
     )
     return (
-        logged.unionByName(measured)
+        steps.unionByName(totals)
         .groupBy("comparison", "step")
         .pivot("label", list(labels))
-        .agg(F.coalesce(F.max("seconds"), F.max("wall_time")))
+        .agg(F.max("seconds"))
     )
 
 

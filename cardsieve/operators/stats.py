@@ -76,7 +76,7 @@ def label_rate(
     *keys: str,
     average: bool = False,
     total: bool = False,
-    limit: int | None = 20,
+    limit: int | None = None,
 ) -> DataFrame:
     """Rows, positives and their percentage per group, highest rate first.
 
@@ -100,15 +100,15 @@ def label_rate(
     return ranked if limit is None else ranked.limit(limit)
 
 
-def rate_by_category(df: DataFrame, limit: int | None = 20) -> DataFrame:
+def rate_by_category(df: DataFrame, limit: int | None = None) -> DataFrame:
     return label_rate(df, "merchant_category", average=True, total=True, limit=limit)
 
 
-def rate_by_country(df: DataFrame, limit: int | None = 20) -> DataFrame:
+def rate_by_country(df: DataFrame, limit: int | None = None) -> DataFrame:
     return label_rate(df, "country", average=True, limit=limit)
 
 
-def rate_by_channel_device(df: DataFrame, limit: int | None = 20) -> DataFrame:
+def rate_by_channel_device(df: DataFrame, limit: int | None = None) -> DataFrame:
     return label_rate(df, "channel", "device", limit=limit)
 
 
@@ -130,7 +130,9 @@ def count_present(df: DataFrame, *keys: str, **columns: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("total_txns"), *present)
 
 
-def label_rate_sql(*keys: str, average: bool = False, total: bool = False) -> str:
+def label_rate_sql(
+    *keys: str, average: bool = False, total: bool = False, limit: int | None = None
+) -> str:
     """`label_rate` as SQL text; `{features}` stands for the DataFrame or view to query."""
     names = ", ".join(keys)
     ties = ", ".join(f"{key} ASC NULLS LAST" for key in keys)
@@ -140,7 +142,8 @@ def label_rate_sql(*keys: str, average: bool = False, total: bool = False) -> st
     columns += ["round(sum(amount), 2) AS total_amount"] * total
     return (
         f"SELECT {names}, {', '.join(columns)} FROM {{features}} GROUP BY {names}"
-        f" ORDER BY fraud_rate_pct DESC NULLS LAST, {ties} LIMIT 20"
+        f" ORDER BY fraud_rate_pct DESC NULLS LAST, {ties}"
+        + ("" if limit is None else f" LIMIT {limit}")
     )
 
 

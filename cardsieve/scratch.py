@@ -1,6 +1,5 @@
 """Where intermediate tables go: a folder every executor can reach."""
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +13,7 @@ _made: dict[tuple[str, ...], str] = {}
 def scratch_root(spark: SparkSession) -> str | None:
     """The shared folder named by `spark.checkpoint.dir`.
 
-    Only a local-mode session without that setting gets a folder on this machine; a
+    Only a local-mode session without that setting gets a folder in its warehouse; a
     cluster without it gets None, as no machine's own disk is visible to the others.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,7 +25,8 @@ def scratch_root(spark: SparkSession) -> str | None:
         return None
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="cardsieve-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        _local_roots[app] = f"{warehouse}/cardsieve-{app}"
     return _local_roots[app]
 
 

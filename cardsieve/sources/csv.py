@@ -8,7 +8,15 @@ from cardsieve.schema import RAW_SCHEMA, as_text
 
 # One dialect for reading and writing: header row, comma, optional double quotes, and a
 # doubled quote inside a quoted field.
-DIALECT = {"header": "true", "sep": ",", "quote": '"', "escape": '"'}
+DIALECT = {
+    "header": "true",
+    "sep": ",",
+    "quote": '"',
+    "escape": '"',
+    # Spark's writer trims cells unless told not to.
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def scan_typed(

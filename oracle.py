@@ -71,7 +71,7 @@ def _rates(*keys: str, average: bool = False, total: bool = False) -> str:
     return (
         f"SELECT {names}, count(*) AS total_txns, CAST(sum(is_fraud) AS BIGINT) AS fraud_count,"
         f" round(avg(CAST(is_fraud AS DOUBLE)) * 100, 2) AS fraud_rate_pct{extra} FROM features"
-        f" GROUP BY {names} ORDER BY fraud_rate_pct DESC NULLS LAST, {ties} LIMIT 20"
+        f" GROUP BY {names} ORDER BY fraud_rate_pct DESC NULLS LAST, {ties}"
     )
 
 
@@ -177,6 +177,7 @@ def oracle_sql() -> dict[str, str]:
         # Reports
         "fraud_rate_by_category": by_category,
         "fraud_rate_by_country": _ENGINEERED + _BY_COUNTRY,
+        "fraud_rate_top_countries": _ENGINEERED + _BY_COUNTRY + " LIMIT 10",
         "fraud_rate_by_channel_device": _ENGINEERED + _BY_CHANNEL_DEVICE,
         "velocity_by_label": _ENGINEERED + _BY_LABEL,
         "sql_surface": by_category,
@@ -285,7 +286,7 @@ def oracle_sql() -> dict[str, str]:
         "log_error_lines": _LOGS
         + "SELECT run, line_no, value FROM lines WHERE value NOT LIKE '%WARN%' AND value NOT"
         " LIKE '%INFO%' QUALIFY row_number() OVER (PARTITION BY run ORDER BY line_no DESC,"
-        " value DESC) <= 20",
+        " value DESC) <= 5",
         "run_compare": _LOGS
         + f"SELECT comparison, step, {_MATRIX} FROM (SELECT c.comparison, s.step, c.label,"
         " s.seconds FROM comparable c JOIN steps s ON c.run = s.run UNION ALL"

@@ -78,7 +78,7 @@ def test_error_lines(lines):
     assert loud.count() == len(FAST.splitlines()) - 2 + len(SLOW.splitlines())
     newest = {r.value for r in runlog.error_lines(lines, last=1).collect()}
     assert newest == {"error: lost", "  Total duration : soon"}
-    plan = runlog.error_lines(lines)._jdf.queryExecution().executedPlan().toString()
+    plan = runlog.error_lines(lines, last=20)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
 
 
