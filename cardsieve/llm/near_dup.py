@@ -36,6 +36,10 @@ from cardsieve.llm.components import component_labels
 
 by_value(__name__)
 
+# Rows of 64 bits in the table that tells wanted documents from most others.
+FILTER_BITS = 18
+FILTER_WORDS = 1 << FILTER_BITS
+
 
 @dataclass(frozen=True)
 class NearDup:
@@ -150,8 +154,28 @@ def _prefixes(nodes: DataFrame, how: NearDup) -> DataFrame:
     )
 
 
+def _mostly(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The documents whose node is wanted, and few others: a bit table of fixed size.
+
+    It keeps most unwanted texts out of the shuffle of the exact join that follows. Its
+    FILTER_WORDS rows are all that is broadcast, at any input size; a fuller table lets more
+    documents through, never fewer.
+    """
+    place = F.xxhash64("node")
+    word = F.pmod(place, F.lit(FILTER_WORDS)).alias("word")
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(shiftright(xxhash64(node), {FILTER_BITS}), 64) AS INT))")
+    bits = nodes.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return (
+        docs.withColumn("word", word)
+        .join(F.broadcast(bits), "word")
+        .where(F.col("bits").bitwiseAND(bit) != 0)
+        .drop("word", "bits")
+    )
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame:
-    """(node, shingles) with the full set, for the documents that are wanted."""
+    """(node, shingles) with the full set, for the documents of the wanted nodes, each named
+    once. Only texts that pass the bit table are shuffled."""
 
     def work(batches):
         for batch in batches:
@@ -164,7 +188,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame:
             )
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    return wanted.join(nodes, "node", "left_semi").mapInArrow(
+    # A semi join would be pushed below the bit table.
+    return _mostly(wanted, nodes).join(nodes, "node").mapInArrow(
         work, "node long, shingles array<long>"
     )
 
