@@ -9,7 +9,7 @@ from uuid import uuid4
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle  # noqa: E402
@@ -59,7 +59,7 @@ def _csv(spark: SparkSession, sf_dir: str) -> str:
     return made_once(
         spark,
         "transactions-csv",
-        sf_dir,
+        tables.content_key(spark, sf_dir),
         lambda path: write_csv(tables.transactions(spark, sf_dir), path),
     )
 
@@ -111,10 +111,41 @@ def split_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.complement(raw, split.hash_split(raw)[0])
 
 
-def random_split_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of both parts together: each id comes back as often as it went in."""
-    train, test = split.random_split(tables.transactions(spark, sf_dir).select("transaction_id"))
-    return train.unionByName(test)
+def _sized(part: Column, rows: Column) -> Column:
+    """Whether a part chosen at random holds three quarters, within far more than chance."""
+    return (F.abs(part - rows * 0.75) <= 6 * F.sqrt(rows)).alias("sized")
+
+
+def random_split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether both parts together are all rows, each as often as before, and of fair sizes."""
+    raw = tables.transactions(spark, sf_dir)
+    train, test = split.random_split(raw)
+    marked = [
+        part.select(F.lit(name).alias("part"), F.xxhash64(*raw.columns).alias("mark"))
+        for name, part in (("all", raw), ("train", train), ("test", test))
+    ]
+    rows, taken = F.count_if(F.col("part") == "all"), F.count_if(F.col("part") == "train")
+    sign = F.when(F.col("part") == "all", 1).otherwise(-1)
+    balance = F.sum(sign) == 0
+    content = F.sum(sign * F.col("mark").cast("decimal(28,0)")) == 0
+    return marked[0].union(marked[1]).union(marked[2]).agg(
+        rows.alias("n_rows"), (balance & content).alias("complete"), _sized(taken, rows)
+    )
+
+
+def random_filter_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the filter keeps a fair number of rows."""
+    raw = tables.transactions(spark, sf_dir)
+    rows = raw.select(F.lit(False).alias("kept"))
+    kept = split.random_filter(raw).select(F.lit(True).alias("kept"))
+    n_rows = F.count_if(~F.col("kept"))
+    return rows.union(kept).agg(n_rows.alias("n_rows"), _sized(F.count_if("kept"), n_rows))
+
+
+def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every row in the seeded shuffle."""
+    shuffled = split.seeded_shuffle(tables.transactions(spark, sf_dir))
+    return split.with_row_index(shuffled).select("transaction_id", "_idx")
 
 
 # --- sources --------------------------------------------------------------------------
@@ -171,10 +202,21 @@ def ctas_engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sinks ----------------------------------------------------------------------------
 
 
-def _csv_round_trip(files: int) -> Callable[[SparkSession, str], DataFrame]:
+def sink_csv_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features, each task's part in files of bounded length."""
+    path = scratch_path(spark, "engineered")
+    write_csv(_features(spark, sf_dir), path, max_records_per_file=1_000_000)
+    return scan_typed(spark, path, ENGINEERED_SCHEMA)
+
+
+def _report_csv(report: Callable, files: int) -> Callable[[SparkSession, str], DataFrame]:
+    """A report, which has few rows at any scale, dealt to a number of files."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = write_csv(_features(spark, sf_dir), scratch_path(spark, "engineered"), files)
-        return scan_typed(spark, path, ENGINEERED_SCHEMA)
+        found = report(_features(spark, sf_dir))
+        return scan_typed(
+            spark, write_csv(found, scratch_path(spark, "report"), files), found.schema
+        )
 
     return query
 
@@ -223,7 +265,7 @@ def pipeline_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "engineered")
     result = run_cached(
         scan_typed(spark, _csv(spark, sf_dir)),
-        lambda df, rows: write_csv(df, path, files=4, rows=rows),
+        lambda df, rows: write_csv(df, path),
     )
     return result.report.combined()
 
@@ -275,7 +317,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "shuffle_rank": lambda s, d: split.shuffle_rank(raw(s, d)),
         "seeded_shuffle": lambda s, d: split.seeded_shuffle(raw(s, d)),
-        "random_split": random_split_ids,
+        "random_split": random_split_check,
+        "random_filter": random_filter_check,
+        "row_index": row_index,
         # Profile
         "profile_nulls": lambda s, d: profile.null_counts(raw(s, d)),
         "profile_schema": lambda s, d: profile.schema_profile(raw(s, d), _features(s, d)),
@@ -292,8 +336,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ctas_raw": ctas_raw,
         "ctas_engineered": ctas_engineered,
         # Sinks
-        "sink_csv_single": _csv_round_trip(1),
-        "sink_csv_parts": _csv_round_trip(4),
+        "sink_csv_single": _report_csv(stats.rate_by_country, 1),
+        "sink_csv_dealt": _report_csv(stats.rate_by_category, 4),
+        "sink_csv_parts": sink_csv_parts,
         "sink_table": sink_table,
         "sink_json": sink_json,
         # Text cells

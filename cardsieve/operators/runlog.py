@@ -10,6 +10,7 @@ ROWS_PATTERN = r"^\s+Total rows\s*:\s+([\d,]+)$"
 QUIET_WORDS = ("WARN", "WARNING", "INFO")
 
 TOTAL_STEP = "TOTAL"
+OTHER_LABEL = "other"
 
 
 def parse_run_log(lines: DataFrame) -> DataFrame:
@@ -87,14 +88,13 @@ def error_lines(lines: DataFrame, last: int | None = None) -> DataFrame:
 def step_share(parsed: DataFrame) -> DataFrame:
     """Each step's percentage of its run's total duration.
 
-    The duration comes from the run's own totals row, over a window of the few rows a run
-    has after parsing, so the lines are parsed once.
+    An equi-join with the run's own totals row, so a run with very many steps can be split.
     """
-    duration = F.max("total_duration").over(Window.partitionBy("run"))
-    share = F.try_divide(F.col("seconds"), F.col("_duration")) * 100
+    totals = run_totals(parsed).where(F.col("total_duration").isNotNull())
+    share = F.try_divide(F.col("seconds"), F.col("total_duration")) * 100
     return (
-        parsed.withColumn("_duration", duration)
-        .where(F.col("step").isNotNull() & F.col("_duration").isNotNull())
+        step_times(parsed)
+        .join(totals, "run")
         .select("run", "step", "seconds", F.round(share, 1).alias("share_pct"))
     )
 
@@ -123,7 +123,9 @@ def compare_runs(
     runs: DataFrame, parsed: DataFrame, labels: list[str] | tuple[str, ...]
 ) -> DataFrame:
     """One row per comparison and step, one column of seconds per label; null where a run
-    lacks the step. The TOTAL row holds the durations."""
+    lacks the step. The TOTAL row holds the durations, the last column the most seconds of
+    any label that is not listed."""
+    named = F.when(F.col("label").isin(*labels), F.col("label")).otherwise(OTHER_LABEL)
     # The fallback to the wall time is taken per run, before runs of one label meet.
     shown = _durations(runs, parsed).select("run", "comparison", "label", "duration")
     steps = shown.join(step_times(parsed), "run").select(
@@ -137,8 +139,9 @@ def compare_runs(
     )
     return (
         steps.unionByName(totals)
+        .withColumn("label", named)
         .groupBy("comparison", "step")
-        .pivot("label", list(labels))
+        .pivot("label", list(dict.fromkeys([*labels, OTHER_LABEL])))
         .agg(F.max("seconds"))
     )
 

@@ -21,13 +21,20 @@ TRAIN_PERCENT = 75
 # Hex digits of the hash told apart in one histogram: 16**3 = 4096 counts at most, few
 # enough for each task to combine its rows into and for the driver to read.
 _DIGITS = 3
-_PREFIXES = 16**_DIGITS
 
 # Ranks use one digit more, so that one prefix of a very large table still fits a task.
 _RANK_DIGITS = 4
 
-# A hash prefix is crowded when it holds more rows than this and four times its share.
-_CROWDED_ROWS = 1_000_000
+# Rows as text without loss, so that only whole-row copies are alike: JSON would cut
+# timestamps to milliseconds and leave nulls out.
+_LOSSLESS = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+# Spark numbers the rows of a task in the lower 33 bits of its row ids.
+_ROWS_PER_TASK = 1 << 33
 
 
 def _label(is_train: Column) -> Column:
@@ -161,7 +168,7 @@ def exact_split(
         return df.withColumn(SPLIT_COLUMN, _label(key <= cut))
 
     # The cut is inside one id: order its rows by content.
-    content = F.md5(F.to_json(F.struct(*df.columns)))
+    content = F.md5(F.to_json(F.struct(*df.columns), _LOSSLESS))
     last, wanted, equal = _nth_smallest(df.where(key == cut).select(content), lambda _: wanted)
     at_cut = (key == cut) & (content == last)
     before = (key < cut) | ((key == cut) & (content < last))
@@ -190,12 +197,23 @@ def split_parts(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_row_index(df: DataFrame, name: str = "_idx") -> DataFrame:
-    """Add a number that is unique and grows within each task, with gaps between tasks.
+    """Add a dense number 0, 1, 2 and so on in the order the frame has.
 
-    It needs no shuffle, but it numbers rows as they come: store the frame if the numbers are
-    to be used twice. For dense places that repeat, take `shuffle_rank`.
+    Each row is stored with its task and its place there, once, so that both stay as they are;
+    the rows of all tasks before are then added, from a table of one row per task. Nothing is
+    shuffled beyond what the frame itself needs.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROWS_PER_TASK - 1))
+    placed = store(
+        df.withColumn("_task", F.spark_partition_id()).withColumn("_place", place), "row-index"
+    )
+    sizes = placed.groupBy("_task").agg(F.count("*").alias("_n"))
+    before = sizes.select(
+        "_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before")
+    )
+    return placed.join(F.broadcast(before), "_task").select(
+        *df.columns, (F.col("_before") + F.col("_place")).alias(name)
+    )
 
 
 def shuffle_rank(df: DataFrame, id_column: str = ID_COLUMN, seed: int = SEED) -> DataFrame:
@@ -226,21 +244,11 @@ def shuffle_rank(df: DataFrame, id_column: str = ID_COLUMN, seed: int = SEED) ->
 def seeded_shuffle(df: DataFrame, id_column: str = ID_COLUMN, seed: int = SEED) -> DataFrame:
     """All rows in an order that looks random and is the same on every run.
 
-    A range-partitioned sort on the hashed id. Rows under one id are told apart by content,
-    and where a prefix is crowded its whole-row copies are numbered first, so that the sort
-    can cut between them.
+    A range-partitioned sort on the hashed id. Rows under one id are told apart by content and
+    whole-row copies by a number, so that the sort can cut between any two rows.
     """
     columns = df.columns
-    prefix = F.substring(hash_key(id_column, seed), 1, _DIGITS)
-    sizes = df.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).collect()
-    limit = max(_CROWDED_ROWS, 4 * sum(size.n for size in sizes) // _PREFIXES)
-    crowded = [size.prefix for size in sizes if size.n > limit]
-
-    rows = df.withColumn("_copy", F.lit(1).cast("long"))
-    if crowded:
-        hot = prefix.isin(crowded)
-        rows = rows.where(~hot).unionByName(number_copies(df.where(hot), "_copy"))
-    return rows.orderBy(
+    return number_copies(df, "_copy").orderBy(
         hash_key(id_column, seed), id_column, F.xxhash64(*columns), "_copy"
     ).select(*columns)
 

@@ -1,33 +1,26 @@
 """CSV and JSON files, overwriting what was there."""
 
-from math import ceil
-
 from pyspark.sql import DataFrame
 
 from cardsieve.sources.csv import DIALECT
 
-# No task is asked to write more rows than this, whatever file count is wished for.
-ROWS_PER_FILE = 10_000_000
-
 
 def write_csv(
-    df: DataFrame,
-    path: str,
-    files: int | None = None,
-    rows: int | None = None,
-    rows_per_file: int = ROWS_PER_FILE,
+    df: DataFrame, path: str, files: int | None = None, max_records_per_file: int | None = None
 ) -> str:
     """Write CSV with a header, and return the path.
 
-    Without `files` every task writes its own part and nothing is shuffled. With it the rows
-    are dealt out evenly to that many files; the work before stays parallel even for one
-    file. A result of more than `rows_per_file` rows per file gets more files, so that one
-    task never has to carry a large table; pass `rows` where the count is known already.
+    Without `files` every task writes its own part and nothing is shuffled; this is the form
+    for tables of any size. `max_records_per_file` cuts the parts of a task. With `files` the
+    rows are dealt out evenly to exactly that many tasks, so ask for it where the result is
+    known to be small, such as a report; the work before stays parallel even for one file.
     """
     if files is not None:
-        rows = df.count() if rows is None else rows
-        df = df.repartition(max(files, ceil(rows / rows_per_file)))
-    df.write.mode("overwrite").options(**DIALECT).csv(path)
+        df = df.repartition(files)
+    writer = df.write.mode("overwrite").options(**DIALECT)
+    if max_records_per_file is not None:
+        writer = writer.option("maxRecordsPerFile", max_records_per_file)
+    writer.csv(path)
     return path
 
 

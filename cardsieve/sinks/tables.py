@@ -1,7 +1,6 @@
 """Catalog tables, replacing what was there."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cardsieve.operators.split import SPLIT_COLUMN
 
@@ -30,13 +29,14 @@ def write_table(
 def write_split_tables(labelled: DataFrame, name: str, path: str | None = None) -> tuple[str, str]:
     """Write labelled features once, partitioned by label, with a view per side.
 
-    Returns the view names; reading one only touches its own partition.
+    Returns the view names; reading one only touches its own partition. The views stand in
+    the catalog beside the table, so they outlive the session where the catalog does.
     """
     write_table(labelled, name, path, partition_by=(SPLIT_COLUMN,))
-    table = labelled.sparkSession.table(name)
-    views = []
+    columns = ", ".join(f"`{c.replace('`', '``')}`" for c in labelled.columns if c != SPLIT_COLUMN)
     for side in ("train", "test"):
-        view = f"{name.split('.')[-1]}_{side}"
-        table.where(F.col(SPLIT_COLUMN) == side).drop(SPLIT_COLUMN).createOrReplaceTempView(view)
-        views.append(view)
-    return tuple(views)
+        labelled.sparkSession.sql(
+            f"CREATE OR REPLACE VIEW {name}_{side} AS"
+            f" SELECT {columns} FROM {name} WHERE {SPLIT_COLUMN} = '{side}'"
+        )
+    return f"{name}_train", f"{name}_test"

@@ -3,6 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cardsieve.scratch import made_once, scratch_root
 
@@ -140,14 +141,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the session has cores.
-
-    A small file with one row group is one task otherwise. A large table already has more
-    splits than cores and passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def content_key(spark: SparkSession, sf_dir: str) -> str:
+    """Changes whenever a file of the input folder does: names, sizes and times in one row."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/*.parquet")
+    mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(28,0)")
+    found = files.agg(F.count("*").alias("n"), F.sum(mark).alias("mark")).first()
+    return f"{sf_dir}:{found.n}:{found.mark}"
 
 
 def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -170,7 +169,7 @@ def join_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         order.o_custkey == customer.c_custkey,
     )
     joined = (
-        widen(line)
+        line
         .join(part, line.l_partkey == part.p_partkey)
         .join(buyers, line.l_orderkey == buyers.o_orderkey)
     )
@@ -183,13 +182,16 @@ def landed_path(
     name: str = "transactions",
     build: Callable[[SparkSession, str], DataFrame] = join_transactions,
 ) -> str:
-    """Path of a derived input as Parquet, written once per session and input folder.
+    """Path of a derived input as Parquet, written once per session and state of the input.
 
     Readers then prune columns and skip the joins; the shared folder keeps the table when
     executors are lost.
     """
     return made_once(
-        spark, name, sf_dir, lambda path: build(spark, sf_dir).write.parquet(path)
+        spark,
+        name,
+        content_key(spark, sf_dir),
+        lambda path: build(spark, sf_dir).write.parquet(path),
     )
 
 
@@ -214,9 +216,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def print_run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all runs, with their order inside the run, as text expressions."""
-    steps = _select(widen(read_table(spark, sf_dir, "lineitem")), STEP_LINE_COLUMNS)
+    steps = _select(read_table(spark, sf_dir, "lineitem"), STEP_LINE_COLUMNS)
     lines = ", ".join(f"({number}L, {text})" for number, text in SUMMARY_LINES)
-    summary = widen(read_table(spark, sf_dir, "orders")).selectExpr(
+    summary = read_table(spark, sf_dir, "orders").selectExpr(
         f"{RUN_COLUMNS['run']} AS run", f"inline(array({lines})) AS (line_no, value)"
     )
     return steps.unionByName(summary)
@@ -228,4 +230,4 @@ def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(widen(read_table(spark, sf_dir, "lineitem")), CELL_COLUMNS)
+    return _select(read_table(spark, sf_dir, "lineitem"), CELL_COLUMNS)

@@ -159,7 +159,7 @@ _LOGS = f"WITH {_LINES}, {_PARSED}, {_RUNS} "
 
 _MATRIX = ", ".join(
     f"max(seconds) FILTER (WHERE label = '{label}') AS {label}" for label in RUN_LABELS
-)
+) + f", max(seconds) FILTER (WHERE label NOT IN {RUN_LABELS}) AS other"
 
 _CELLS = f"WITH cells AS (SELECT {_list(CELL_COLUMNS)} FROM lineitem) "
 
@@ -232,15 +232,21 @@ def oracle_sql() -> dict[str, str]:
         " (SELECT transaction_id, row_number() OVER (ORDER BY md5('42:' || transaction_id),"
         " transaction_id) AS place FROM transactions) GROUP BY transaction_id",
         "seeded_shuffle": all_raw,
-        "random_split": _RAW + "SELECT transaction_id FROM transactions",
+        "random_split": _RAW
+        + "SELECT count(*) AS n_rows, true AS complete, true AS sized FROM transactions",
+        "random_filter": _RAW + "SELECT count(*) AS n_rows, true AS sized FROM transactions",
+        "row_index": _RAW
+        + "SELECT transaction_id, row_number() OVER (ORDER BY md5('42:' || transaction_id),"
+        " transaction_id) - 1 AS _idx FROM transactions",
         # Profile
         "profile_nulls": _RAW + _null_counts("transactions", RAW_SCHEMA.names),
         "profile_schema": _ENGINEERED + _profile(),
         "velocity_quality": _ENGINEERED
         + "SELECT count(*) AS total_rows,"
         " count(*) FILTER (WHERE velocity_last_hour IS NULL) AS missing,"
-        " count(*) FILTER (WHERE velocity_last_hour IS NOT NULL AND velocity_json IS NULL)"
-        " AS unreadable FROM with_json",
+        " count(*) FILTER (WHERE velocity_last_hour IS NOT NULL AND"
+        f" coalesce({', '.join(f'CAST({number} AS DOUBLE)' for number in _VELOCITY.values())})"
+        " IS NULL) AS unreadable FROM with_json",
         # Sources
         "csv_scan_typed": all_raw,
         "csv_scan_overrides": all_raw,
@@ -263,7 +269,8 @@ def oracle_sql() -> dict[str, str]:
         "ctas_raw": all_raw,
         "ctas_engineered": _ENGINEERED + f"SELECT {_FEATURE_NAMES}, split FROM features",
         # Sinks
-        "sink_csv_single": all_features,
+        "sink_csv_single": _ENGINEERED + _BY_COUNTRY,
+        "sink_csv_dealt": by_category,
         "sink_csv_parts": all_features,
         "sink_table": all_features,
         "sink_json": _ENGINEERED + _COMBINED,

@@ -103,8 +103,9 @@ def test_compare(spark, parsed):
         ("silent", 2, "a", True, 5.0), ("dead", 2, "b", False, 1.0),
         ("lone", 3, "a", True, 3.0),
     )
-    table = {(r.comparison, r.step): tuple(r)[2:]
-             for r in runlog.compare_runs(all_runs, parsed, ["a", "b", "c"]).collect()}
+    found = runlog.compare_runs(all_runs, parsed, ["a", "b", "c"]).collect()
+    assert {r.other for r in found} == {None}
+    table = {(r.comparison, r.step): tuple(r)[2:5] for r in found}
     assert table == {
         (1, "feature_eng"): (0.16, None, None),
         (1, "split"): (8.4, 16.8, None),
@@ -115,6 +116,21 @@ def test_compare(spark, parsed):
     assert speed == {1: ("a", "b", 2.0, 32.44), 3: ("a", "a", 1.0, 0.0)}
 
 
+def test_compare_keeps_labels_that_are_not_listed(spark, parsed):
+    two = runs(spark, ("fast", 1, "a", True, 40.0), ("slow", 1, "b", True, 64.88))
+    found = {r.step: (r.a, r.other) for r in runlog.compare_runs(two, parsed, ["a"]).collect()}
+    assert found == {"feature_eng": (0.16, None), "split": (8.4, 16.8), "TOTAL": (32.44, 64.88)}
+
+
+def test_fallback_to_wall_time_is_per_run(spark, parsed):
+    """One run of a label tells its total, a slower one does not."""
+    three = runs(spark, ("fast", 1, "a", True, 1.0), ("x", 1, "a", True, 50.0),
+                 ("y", 1, "b", True, 2.0))
+    total = runlog.compare_runs(three, parsed, ["a", "b"]).where("step = 'TOTAL'").first()
+    assert (total.a, total.b) == (50.0, 2.0)
+    assert runlog.speedup(three, parsed).first().slowest == "a"
+
+
 def test_speedup_ties_go_to_the_first_label(spark, parsed):
     tied = runs(spark, *[(f"x{n}", 1, label, True, 2.0) for n, label in enumerate("cab")])
     assert tuple(runlog.speedup(tied, parsed).first()) == (1, "a", "a", 1.0, 0.0)

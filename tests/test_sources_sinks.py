@@ -12,6 +12,7 @@ from cardsieve.operators import features, split
 from cardsieve.plans import run_cached, run_to_table
 from cardsieve.schema import ENGINEERED_SCHEMA, RAW_SCHEMA
 from cardsieve.sinks import write_csv, write_json, write_split_tables, write_table
+from cardsieve.sources import driver_tables
 from cardsieve.sources import (
     CsvSource,
     TableSource,
@@ -157,8 +158,7 @@ def test_csv_file_counts(spark, tmp_path):
     assert parts(write_csv(rows, str(tmp_path / "one"), 1)) == 1
     assert parts(write_csv(rows, str(tmp_path / "four"), 4)) == 4
     assert parts(write_csv(rows, str(tmp_path / "free"))) == 8
-    # One file is wished for, but no task is given more rows than the limit.
-    assert parts(write_csv(rows, str(tmp_path / "many"), 1, rows_per_file=100)) == 10
+    assert parts(write_csv(rows, str(tmp_path / "many"), 1, max_records_per_file=100)) == 10
 
 
 def test_json_keeps_nulls(spark, tmp_path):
@@ -176,10 +176,19 @@ def test_split_tables(spark, csv, schema):
     assert "PartitionFilters: [isnotnull(split" in plan
 
 
+def test_split_tables_of_two_schemas(spark, schema, tmp_path):
+    other = ensure_schema(spark, f"{schema}_other", str(tmp_path / "other"))
+    for name, value in ((schema, 1), (other, 2)):
+        rows = spark.sql(f"SELECT {value} AS v, explode(array('train', 'test')) AS split")
+        assert write_split_tables(rows, f"{name}.eng") == (f"{name}.eng_train", f"{name}.eng_test")
+    assert spark.table(f"{schema}.eng_train").first().v == 1
+    assert spark.table(f"{other}.eng_train").first().v == 2
+
+
 def test_whole_job(spark, csv, schema, tmp_path):
     raw = scan_typed(spark, csv)
     out = str(tmp_path / "features")
-    cached = run_cached(raw, lambda df, rows: write_csv(df, out, 1, rows))
+    cached = run_cached(raw, lambda df, rows: write_csv(df, out))
     stored = run_to_table(raw, f"{schema}.features")
     assert cached.total_rows == stored.total_rows == 3
     assert cached.split_rows == stored.split_rows
@@ -209,6 +218,16 @@ def test_made_once_while_it_is_there(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_changed_input_is_landed_again(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.range(5).write.parquet(f"{folder}/t.parquet")
+    build = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/t.parquet")
+    first = driver_tables.landed_path(spark, folder, "t", build)
+    assert driver_tables.landed_path(spark, folder, "t", build) == first
+    spark.range(3).write.mode("overwrite").parquet(f"{folder}/t.parquet")
+    assert spark.read.parquet(driver_tables.landed_path(spark, folder, "t", build)).count() == 3
+
+
 def test_store_without_a_shared_folder(spark, monkeypatch):
     rows = spark.range(3)
     assert not scratch.store(rows, "kept").is_cached

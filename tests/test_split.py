@@ -81,6 +81,20 @@ def test_exact_split_cuts_inside_one_id(spark):
     assert labels(split.exact_split(df.repartition(5))) == labels(out)
 
 
+@pytest.mark.parametrize("value", [
+    "timestamp_micros(id)",
+    "CAST(timestamp_micros(id) AS TIMESTAMP_NTZ)",
+    "CAST(id AS DECIMAL(38, 18)) / 1000000000",
+    "CAST(concat('x', id) AS BINARY)",
+    "CASE WHEN id > 500 THEN id END",
+    "named_struct('a', CASE WHEN id % 2 = 0 THEN id END, 'b', CASE WHEN id % 2 = 1 THEN id END)",
+    "map('a', timestamp_micros(id))",
+])
+def test_exact_split_tells_any_content_apart(spark, value):
+    df = spark.range(1000).selectExpr("'X' AS transaction_id", f"{value} AS value")
+    assert labels(split.exact_split(df)) == {"train": 750, "test": 250}
+
+
 def test_exact_split_follows_the_hash_order(numbered):
     out = {row.transaction_id: row.split for row in split.exact_split(numbered).collect()}
     order = sorted(out, key=lambda name: md5(f"42:{name}".encode()).hexdigest())
@@ -126,7 +140,14 @@ def test_random_filter(numbered):
 
 def test_row_index(numbered):
     index = [row["_idx"] for row in split.with_row_index(numbered).collect()]
-    assert len(set(index)) == 5000 and min(index) == 0
+    assert sorted(index) == list(range(5000))
+
+
+def test_row_index_keeps_the_order(skewed):
+    shuffled = split.seeded_shuffle(skewed)
+    placed = sorted(split.with_row_index(shuffled).collect(), key=lambda row: row["_idx"])
+    assert [row["_idx"] for row in placed] == list(range(6050))
+    assert [tuple(row)[:2] for row in placed] == [tuple(row) for row in shuffled.collect()]
 
 
 def test_shuffle_rank(skewed):
@@ -139,8 +160,7 @@ def test_shuffle_rank(skewed):
         assert row.first_rank == order.index(name) + 1
 
 
-def test_seeded_shuffle(spark, skewed, monkeypatch):
-    monkeypatch.setattr(split, "_CROWDED_ROWS", 100)
+def test_seeded_shuffle(spark, skewed):
     out = split.seeded_shuffle(skewed)
     rows = [tuple(row) for row in out.collect()]
     assert sorted(rows, key=repr) == sorted(map(tuple, skewed.collect()), key=repr)
