@@ -30,6 +30,7 @@ from cardsieve.sources import (  # noqa: E402
     ensure_schema,
     normalize_names,
     read_dataset,
+    read_run_logs,
     register_table,
     scan_inferred,
     scan_overrides,
@@ -160,9 +161,14 @@ def csv_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = tables.read_table(spark, sf_dir, "part").select(
         "p_partkey",
         F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("quoted"),
-        F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("sometimes_empty"),
+        F.concat("p_name", F.lit("\n"), "p_brand", F.lit("\r\n"), "p_type").alias("broken"),
+        F.when(F.col("p_size") % 4 == 0, F.col("p_type"))
+        .when(F.col("p_size") % 4 == 1, F.lit(""))
+        .when(F.col("p_size") % 4 == 2, F.concat(F.lit(" "), "p_type", F.lit("  ")))
+        .alias("sometimes_empty"),
     )
-    return scan_typed(spark, write_csv(part, scratch_path(spark, "dialect")), part.schema)
+    path = write_csv(part, scratch_path(spark, "dialect"), max_records_per_file=100_000)
+    return scan_typed(spark, path, part.schema, multi_line=True)
 
 
 def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +264,26 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.parse_run_log(tables.run_log_lines(spark, sf_dir))
 
 
+def run_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step times from text files; each folder's file holds the runs of a thousand orders."""
+    number = F.substring_index("run", "_", -1).cast("long")
+    path = scratch_path(spark, "run-logs")
+    (
+        tables.run_log_lines(spark, sf_dir)
+        .select(F.floor(number / 1000).alias("batch"), number.alias("n"), "line_no", "value")
+        .repartition("batch")
+        .sortWithinPartitions("batch", "n", "line_no", "value")
+        .select("batch", "value")
+        .write.partitionBy("batch")
+        .text(path)
+    )
+    parsed = runlog.parse_run_log(read_run_logs(spark, path))
+    batch = F.regexp_extract("run", r"^batch=(\d+)/", 1).cast("long")
+    return parsed.select(
+        batch.alias("batch"), "step", "seconds", "total_duration", "total_rows"
+    )
+
+
 # --- whole jobs -----------------------------------------------------------------------
 
 
@@ -322,7 +348,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "row_index": row_index,
         # Profile
         "profile_nulls": lambda s, d: profile.null_counts(raw(s, d)),
-        "profile_schema": lambda s, d: profile.schema_profile(raw(s, d), _features(s, d)),
+        "profile_schema": lambda s, d: profile.schema_profile(
+            raw(s, d), features.engineer_features
+        ),
         "velocity_quality": lambda s, d: profile.velocity_quality(raw(s, d)),
         # Sources
         "csv_scan_typed": lambda s, d: scan_typed(s, _csv(s, d)),
@@ -347,6 +375,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_number": parse_number,
         # Run logs
         "run_log_parse": _parsed,
+        "run_log_text": run_log_text,
         "log_error_lines": lambda s, d: runlog.error_lines(tables.run_log_lines(s, d), last=5),
         "run_compare": lambda s, d: runlog.compare_runs(
             tables.runs(s, d), _parsed(s, d), tables.RUN_LABELS

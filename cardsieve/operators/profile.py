@@ -1,5 +1,7 @@
 """Data quality: nulls per column, schema listing, columns kept and dropped."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,25 @@ def null_counts(df: DataFrame) -> DataFrame:
     return counted.unpivot([], list(df.columns), "column_name", "null_count")
 
 
-def schema_profile(before: DataFrame, after: DataFrame | None = None) -> DataFrame:
+def schema_profile(
+    before: DataFrame, change: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """One row per column: place, type, nullability, nulls, and what became of it.
 
-    With `after`, the audit says which columns were kept, dropped or added; an added one is
-    listed after the others and its nulls are those of `after`.
+    With `change`, the audit says which columns it keeps, drops or adds; an added one is
+    listed after the others. `change` works row by row and leaves columns alone that it does
+    not know: the rows go through it beside a copy of themselves, so that one pass counts
+    the nulls on both sides.
     """
-    kept = before.columns if after is None else after.columns
+    copies = {f"_raw_{name}": F.col(f"`{name}`") for name in before.columns}
+    both = before.withColumns(copies)
+    if change is not None:
+        both = change(both)
+    kept = [name for name in both.columns if name not in copies]
     added = [name for name in kept if name not in before.columns]
     fields = [
         (field, "kept" if field.name in kept else "dropped") for field in before.schema.fields
-    ] + [(after.schema[name], "added") for name in added]
+    ] + [(both.schema[name], "added") for name in added]
     listing = before.sparkSession.createDataFrame(
         [
             (place, field.name, field.dataType.simpleString(), field.nullable, status)
@@ -35,9 +45,12 @@ def schema_profile(before: DataFrame, after: DataFrame | None = None) -> DataFra
         ],
         "position INT, column_name STRING, data_type STRING, nullable BOOLEAN, status STRING",
     )
-    nulls = null_counts(before)
-    if added:
-        nulls = nulls.unionByName(null_counts(after.select(*added)))
+    nulls = null_counts(
+        both.select(
+            *[F.col(f"`_raw_{name}`").alias(name) for name in before.columns],
+            *[F.col(f"`{name}`") for name in added],
+        )
+    )
     # The listing has one row per column, so it is always small enough to broadcast.
     return nulls.join(F.broadcast(listing), "column_name").select(
         "position", "column_name", "data_type", "nullable", "null_count", "status"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
 _made: dict[tuple[str, ...], str] = {}
+_handed_out: dict[str, list[str]] = {}
 
 
 def scratch_root(spark: SparkSession) -> str | None:
@@ -35,7 +36,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = scratch_root(spark)
     if root is None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every file this session put under the shared folder; frames over them end too."""
+    app = spark.sparkContext.applicationId
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for text in _handed_out.pop(app, []):
+        path = hadoop.Path(text)
+        path.getFileSystem(settings).delete(path, True)
+    for key in [key for key in _made if key[0] == app]:
+        del _made[key]
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -18,23 +18,30 @@ DIALECT = {
     "ignoreTrailingWhiteSpace": "false",
 }
 
+# An empty cell is null and a pair of quotes is empty text. The reader takes both for null
+# unless its word for null is one that no cell holds.
+READ_DIALECT = DIALECT | {"nullValue": "\0"}
+
 
 def scan_typed(
-    spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA
+    spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA, multi_line: bool = False
 ) -> DataFrame:
     """Scan with a fixed schema. Bad cells become null.
 
     Spark matches columns by position; `enforceSchema` off makes it also compare the header
     of every file with the schema and fail on a mismatch instead of mixing up columns.
+    `multi_line` is for texts with line breaks: a task then reads whole files, so write them
+    with `max_records_per_file`.
     """
-    return spark.read.options(**DIALECT).option("enforceSchema", False).schema(schema).csv(path)
+    reader = spark.read.options(**READ_DIALECT).option("enforceSchema", False)
+    return reader.option("multiLine", multi_line).schema(schema).csv(path)
 
 
 def scan_text(
-    spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA
+    spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA, multi_line: bool = False
 ) -> DataFrame:
     """Scan with every column as text, header checked."""
-    return scan_typed(spark, path, as_text(schema))
+    return scan_typed(spark, path, as_text(schema), multi_line)
 
 
 def scan_overrides(
@@ -52,7 +59,7 @@ def scan_inferred(
     Costs one more pass over the whole input; `sampling_ratio` shortens that pass at the
     risk of a type that later rows do not fit. No row is left out of the result either way.
     """
-    reader = spark.read.options(**DIALECT).option("inferSchema", True)
+    reader = spark.read.options(**READ_DIALECT).option("inferSchema", True)
     if sampling_ratio is not None:
         reader = reader.option("samplingRatio", sampling_ratio)
     return reader.csv(path)
@@ -64,4 +71,4 @@ def scan_positional(
     """Skip the header whatever it says and name the text columns by position."""
     names = list(names or RAW_SCHEMA.names)
     positions = ", ".join(f"_{place} STRING" for place in range(1, len(names) + 1))
-    return spark.read.options(**DIALECT).schema(positions).csv(path).toDF(*names)
+    return spark.read.options(**READ_DIALECT).schema(positions).csv(path).toDF(*names)

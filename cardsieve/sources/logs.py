@@ -8,16 +8,19 @@ _ROWS_PER_TASK = 1 << 33
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(run, line_no, value) for every line; the run is the file name without its ending.
+    """(run, line_no, value) for every line of the files in a folder and the folders below.
 
-    Files stay splittable. A line's place is the start of its block, then its place in the
+    The run is the file's path below that folder without its ending, so equal file names in
+    two folders are two runs; for a single file or a pattern it is the whole path. Files stay
+    splittable. A line's place is the start of its block, then its place in the
     task that reads the block, so `line_no` sorts within a run even where one log spans many
     tasks. It is one decimal number, which Spark can aggregate in place.
     """
     block = F.col("_metadata.file_block_start").cast("decimal(20,0)")
     row = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROWS_PER_TASK - 1))
-    return spark.read.text(path).select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("run"),
+    below = F.substring_index(F.col("_metadata.file_path"), path.rstrip("/") + "/", -1)
+    return spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.regexp_replace(below, r"\.[^./]*$", "").alias("run"),
         (block * _ROWS_PER_TASK + row).cast("decimal(32,0)").alias("line_no"),
         "value",
     )

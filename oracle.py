@@ -255,7 +255,9 @@ def oracle_sql() -> dict[str, str]:
         " strftime(CAST(\"timestamp\" AS TIMESTAMP), '%Y-%m-%d %H:%M') AS \"timestamp\")"
         " FROM transactions",
         "csv_dialect": "SELECT p_partkey, concat(p_name, ', \"', p_brand, '\"') AS quoted,"
-        " CASE WHEN p_size % 2 = 0 THEN p_type END AS sometimes_empty FROM part",
+        " concat(p_name, chr(10), p_brand, chr(13), chr(10), p_type) AS broken,"
+        " CASE p_size % 4 WHEN 0 THEN p_type WHEN 1 THEN '' WHEN 2 THEN"
+        " concat(' ', p_type, '  ') END AS sometimes_empty FROM part",
         "stage_positional_scan": _RAW
         + "SELECT "
         + ", ".join(f'CAST("{name}" AS VARCHAR) AS "{name}"' for name in RAW_SCHEMA.names)
@@ -290,6 +292,16 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT run, step, seconds, CAST(NULL AS DOUBLE) AS total_duration,"
         " CAST(NULL AS BIGINT) AS total_rows FROM steps UNION ALL SELECT run, NULL, NULL,"
         " total_duration, total_rows FROM totals",
+        "run_log_text": _LOGS
+        + ", placed AS (SELECT *, CAST(split_part(run, '_', 2) AS BIGINT) // 1000 AS batch,"
+        " row_number() OVER (ORDER BY CAST(split_part(run, '_', 2) AS BIGINT), line_no) AS place"
+        " FROM fields)"
+        " SELECT batch, step, arg_max(seconds, place) AS seconds,"
+        " CAST(NULL AS DOUBLE) AS total_duration, CAST(NULL AS BIGINT) AS total_rows"
+        " FROM placed WHERE step IS NOT NULL AND step <> 'TOTAL' GROUP BY batch, step"
+        " UNION ALL SELECT batch, NULL, NULL, arg_max(duration, place), arg_max(total, place)"
+        " FROM placed WHERE step IS NULL AND (duration IS NOT NULL OR total IS NOT NULL)"
+        " GROUP BY batch",
         "log_error_lines": _LOGS
         + "SELECT run, line_no, value FROM lines WHERE value NOT LIKE '%WARN%' AND value NOT"
         " LIKE '%INFO%' QUALIFY row_number() OVER (PARTITION BY run ORDER BY line_no DESC,"

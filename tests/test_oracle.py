@@ -3,7 +3,9 @@
 import os
 
 import pytest
-from compare import ORACLES, QUERIES, assert_same, connect
+from compare import LIBRARY, assert_same, connect
+
+import oracle
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -13,10 +15,10 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", LIBRARY)
 def test_query_matches_sql(spark, con, name):
     assert_same(spark, con, name, SF_DIR)
 
 
 def test_every_query_has_sql():
-    assert QUERIES.keys() == ORACLES.keys()
+    assert set(LIBRARY) == oracle.oracle_sql().keys()

@@ -52,6 +52,17 @@ def test_parse(parsed):
     assert runlog.run_totals(parsed).count() == 2
 
 
+def test_equal_file_names_in_two_folders_are_two_runs(spark, tmp_path):
+    for folder in ("a", "b.c"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.log").write_text(FAST)
+    (tmp_path / "x.log").write_text(SLOW)
+    lines = read_run_logs(spark, str(tmp_path))
+    assert {r.run for r in lines.collect()} == {"a/x", "b.c/x", "x"}
+    alone = read_run_logs(spark, str(tmp_path / "a" / "x.log"))
+    assert alone.first().run.endswith("/a/x")
+
+
 def test_later_lines_count_even_in_small_blocks(spark, tmp_path):
     """A log cut into many blocks keeps the order of its lines."""
     text = "".join(f"  split           : {n:>8.2f}s  (  0.5%)  \n" for n in range(2000))

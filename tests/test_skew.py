@@ -1,7 +1,7 @@
 """The same comparison on tables where one key, and one row, fill a third each."""
 
 import pytest
-from compare import QUERIES, assert_same, connect
+from compare import LIBRARY, assert_same, connect
 from pyspark.sql import functions as F
 
 SOURCE = "/root/testdata/sf0.001"
@@ -34,6 +34,6 @@ def con(skewed_dir):
     return connect(skewed_dir)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", LIBRARY)
 def test_query_matches_sql_under_skew(spark, con, skewed_dir, name):
     assert_same(spark, con, name, skewed_dir)

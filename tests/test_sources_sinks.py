@@ -161,6 +161,26 @@ def test_csv_file_counts(spark, tmp_path):
     assert parts(write_csv(rows, str(tmp_path / "many"), 1, max_records_per_file=100)) == 10
 
 
+def test_csv_gives_back_any_text(spark, tmp_path):
+    texts = [None, "", " ", " pad ", "two\nlines", "cr\r\nlf", 'a "quote", and', "\\N", "null", "\t", "\\"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n INT, text STRING")
+    path = write_csv(rows, str(tmp_path / "any"), max_records_per_file=3)
+    back = scan_typed(spark, path, rows.schema, multi_line=True)
+    assert {r.n: r.text for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_release_deletes_what_the_session_made(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scratch, "_handed_out", {})
+    monkeypatch.setattr(scratch, "_made", {})
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: str(tmp_path / "own"))
+    path = scratch.made_once(spark, "a", "b", lambda path: spark.range(3).write.parquet(path))
+    assert scratch.store(spark.range(2), "kept").count() == 2 and Path(path).exists()
+    scratch.release_scratch(spark)
+    assert list((tmp_path / "own").iterdir()) == []
+    again = scratch.made_once(spark, "a", "b", lambda path: spark.range(3).write.parquet(path))
+    assert again != path
+
+
 def test_json_keeps_nulls(spark, tmp_path):
     path = write_json(spark.sql("SELECT 1 AS a, CAST(NULL AS STRING) AS b"), str(tmp_path / "j"))
     text = next(Path(path).glob("part-*")).read_text()

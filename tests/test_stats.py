@@ -2,6 +2,7 @@
 
 import pytest
 
+from cardsieve.operators import features as feature_steps
 from cardsieve.operators import profile, stats
 from cardsieve.plans import risk_report
 from cardsieve.schema import ENGINEERED_SCHEMA, RAW_SCHEMA
@@ -102,7 +103,9 @@ def test_null_counts(features):
 
 def test_schema_profile(spark):
     before = spark.createDataFrame([], RAW_SCHEMA)
-    rows = profile.schema_profile(before, spark.createDataFrame([], ENGINEERED_SCHEMA)).collect()
+    audit = profile.schema_profile(before, feature_steps.engineer_features)
+    assert audit._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    rows = audit.collect()
     rows.sort()
     assert [row.column_name for row in rows[:24]] == RAW_SCHEMA.names
     fates = {row.column_name: row.status for row in rows}
