@@ -1,5 +1,6 @@
 """What several operators share: word hashing, blocks of rows inside tasks, stored steps."""
 
+import string
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
@@ -57,6 +58,11 @@ _TO_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 _TO_SPACE_LOWER = bytes.maketrans(
     b"\t\n\x0b\x0c\r" + _UPPER.encode(), b"     " + _UPPER.lower().encode()
 )
+_MARKS = string.punctuation.encode()
+_TO_SPACE_BARE = bytes.maketrans(
+    b"\t\n\x0b\x0c\r" + _MARKS + _UPPER.encode(),
+    b" " * (5 + len(_MARKS)) + _UPPER.lower().encode(),
+)
 
 
 def text_slices(column: pa.Array, most_bytes: int) -> Iterator[pa.LargeStringArray]:
@@ -71,8 +77,11 @@ def text_slices(column: pa.Array, most_bytes: int) -> Iterator[pa.LargeStringArr
         start = end
 
 
-def split_words(column: pa.LargeStringArray, lower: bool) -> tuple[pa.DictionaryArray, np.ndarray]:
+def split_words(
+    column: pa.LargeStringArray, lower: bool, bare: bool = False
+) -> tuple[pa.DictionaryArray, np.ndarray]:
     """All words of some texts, as one dictionary array, and where each text's words begin.
+    `bare` words are lower-cased and cut at ASCII punctuation too.
 
     The white space of the contracts becomes plain spaces byte by byte, which UTF-8 allows,
     and so does lower-casing of A-Z; then Arrow cuts at spaces.
@@ -82,7 +91,7 @@ def split_words(column: pa.LargeStringArray, lower: bool) -> tuple[pa.Dictionary
     ]
     data = column.buffers()[2]
     raw = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data else b""
-    raw = raw.translate(_TO_SPACE_LOWER if lower else _TO_SPACE)
+    raw = raw.translate(_TO_SPACE_BARE if bare else _TO_SPACE_LOWER if lower else _TO_SPACE)
     plain = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(),
         len(column),

@@ -1,15 +1,19 @@
-"""Quality rules: a base of counted rules, and a hashed n-gram log-likelihood ratio.
+"""Quality rules: a base of counted rules, and hashed n-gram log-likelihood ratios.
 
-The ratio compares two multinomials over hash buckets of byte n-grams: one counted on
-trusted documents, one on all documents. A document's score is the mean of the log ratio
-over its n-grams, so its length does not matter, and every document is held against one
-fixed threshold.
+Each ratio compares trusted documents with all documents. Over hash buckets of byte n-grams,
+a document's score is the mean of the log ratio, so its length does not matter; this finds
+junk. A few insults among hundreds of ordinary n-grams vanish in that mean. So hashed words,
+and the starts of longer words, are counted too, by the number of documents they stand in:
+a word is avoided if trusted documents have it far less often than their share of all
+documents would let expect, and a document is held against the share of avoided words among
+its words. All thresholds are fixed.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from cardsieve.llm.common import (
     SLICE_BYTES,
     by_value,
     dictionary_hashes,
+    keep,
     shingle_hashes,
     split_words,
     text_slices,
@@ -30,12 +35,22 @@ _SPACES = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Quality:
-    """Settings. `trusted_rows` bounds the labelled sample that the target is counted on."""
+    """Settings. `trusted_rows` bounds the labelled sample that the target is counted on.
+
+    A word is avoided if its log ratio, with `word_prior` documents added on both sides, is
+    under `avoided`; of a text's words, `most_avoided` may be. Both were set from labelled
+    clean and toxic documents (see the README).
+    """
 
     trusted_rows: int = 20_000
     n: int = 3
     bucket_bits: int = 16
     threshold: float = -0.6
+    word_bits: int = 20
+    word_start: int = 8
+    word_prior: float = 2.0
+    avoided: float = -1.0
+    most_avoided: float = 0.01
     least_words: int = 10
     window: int = 5
     most_repeated_percent: int = 20
@@ -54,6 +69,23 @@ def ngram_buckets(text: bytes, n: int, bits: int) -> np.ndarray:
     return ((out * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.int64)
 
 
+def word_buckets(texts: pa.LargeStringArray, how: Quality) -> list[np.ndarray]:
+    """For each text a row for each of its words: buckets of the word and of its start.
+
+    A word without a longer form than its start has its own bucket in both columns.
+    """
+    words, starts = split_words(texts, lower=True, bare=True)
+    different = words.dictionary.cast(pa.large_binary()).to_pylist()
+    shift = 64 - how.word_bits
+    found = np.empty((len(different), 2), np.int64)
+    for i, word in enumerate(different):
+        found[i] = xxhash.xxh3_64_intdigest(word) >> shift
+        if len(word) > how.word_start:
+            found[i, 1] = xxhash.xxh3_64_intdigest(b"\0" + word[: how.word_start]) >> shift
+    rows = found[words.indices.to_numpy()]
+    return [rows[starts[i] : starts[i + 1]] for i in range(len(texts))]
+
+
 def repeated_words(hashes: np.ndarray, window: int) -> int:
     """Words that lie in some run of `window` words found at least twice in the text."""
     if len(hashes) < window:
@@ -106,24 +138,33 @@ def trusted_ids(labels: DataFrame, rows: int) -> DataFrame:
 
 
 def count_buckets(docs: DataFrame, labels: DataFrame, how: Quality) -> DataFrame:
-    """(bucket, raw, target): n-gram counts of all documents and of the trusted ones."""
-    size = 1 << how.bucket_bits
+    """(bucket, raw, target): counts of all documents and of the trusted ones.
+
+    First come the buckets of byte n-grams, then those of words, which count documents, and
+    last one that counts the documents themselves.
+    """
+    size, words = 1 << how.bucket_bits, 1 << how.word_bits
 
     def work(batches):
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        raw, target = (np.zeros(size + words + 1, np.int64) for _ in range(2))
         for batch in batches:
-            trusted = batch["trusted"].to_pylist()
-            for text, good in zip(batch["text"].cast(pa.large_binary()), trusted):
-                found = ngram_buckets(text.as_py() or b"", how.n, how.bucket_bits)
-                counts = np.bincount(found, minlength=size) if len(found) > size // 8 else None
-                for total in (raw, target) if good else (raw,):
-                    if counts is None:
-                        np.add.at(total, found, 1)
-                    else:
-                        total += counts
+            trusted = iter(batch["trusted"].to_pylist())
+            for some in text_slices(batch["text"], SLICE_BYTES):
+                own = word_buckets(some, how)
+                for text, word, good in zip(some.cast(pa.large_binary()), own, trusted):
+                    found = ngram_buckets(text.as_py(), how.n, how.bucket_bits)
+                    large = len(found) > size // 8
+                    counts = np.bincount(found, minlength=size) if large else None
+                    once = size + np.append(np.unique(word), words)
+                    for total in (raw, target) if good else (raw,):
+                        if counts is None:
+                            np.add.at(total, found, 1)
+                        else:
+                            total[:size] += counts
+                        total[once] += 1
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])],
+            [pa.array(seen, pa.int32()), pa.array(raw[seen]), pa.array(target[seen])],
             ["bucket", "raw", "target"],
         )
 
@@ -132,60 +173,84 @@ def count_buckets(docs: DataFrame, labels: DataFrame, how: Quality) -> DataFrame
     marked = docs.select(F.col("doc_id").cast("long"), "text").join(good, "doc_id", "left")
     return (
         marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-        .mapInArrow(work, "bucket long, raw long, target long")
+        .mapInArrow(work, "bucket int, raw long, target long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     )
 
 
-def log_ratios(counts: DataFrame, how: Quality) -> np.ndarray:
-    """Smoothed log ratio for each bucket; 2 ** bucket_bits numbers at most."""
-    size = 1 << how.bucket_bits
-    found = counts.toPandas()
-    raw, target = np.ones(size), np.ones(size)
-    raw[found["bucket"].to_numpy(np.int64)] += found["raw"].to_numpy(np.int64)
-    target[found["bucket"].to_numpy(np.int64)] += found["target"].to_numpy(np.int64)
-    if not found["target"].sum():
-        return np.zeros(size, np.float32)
-    return (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
+def log_ratios(counts: DataFrame, how: Quality) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log ratio for each bucket of byte n-grams, and which words are avoided.
+
+    Of the words' counts only the avoided buckets come to the driver.
+    """
+    size, words = 1 << how.bucket_bits, 1 << how.word_bits
+    counts = keep(counts, "quality-counts")
+    found = counts.where((F.col("bucket") < size) | (F.col("bucket") == size + words)).toPandas()
+    raw, target = (np.zeros(size, np.int64) for _ in range(2))
+    share = 0.0
+    for bucket, n_raw, n_target in zip(found["bucket"], found["raw"], found["target"]):
+        if bucket < size:
+            raw[bucket], target[bucket] = n_raw, n_target
+        else:
+            share = n_target / n_raw
+    ratios, avoided = np.zeros(size, np.float32), np.zeros(words, bool)
+    if target.any():
+        raw, target = raw + 1, target + 1
+        ratios = (np.log(target / target.sum()) - np.log(raw / raw.sum())).astype(np.float32)
+    if share:
+        ratio = F.log(
+            (F.col("target") + how.word_prior) / (F.col("raw") * share + how.word_prior)
+        )
+        rare = counts.where(
+            (F.col("bucket") >= size) & (F.col("bucket") < size + words) & (ratio < how.avoided)
+        )
+        avoided[rare.select("bucket").toPandas()["bucket"].to_numpy(np.int64) - size] = True
+    return ratios, avoided
 
 
 def quality(docs: DataFrame, labels: DataFrame, how: Quality = Quality()) -> DataFrame:
     """Every column of `docs`, then n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, score and kept; a column of `docs` with one of these names
-    is replaced.
+    n_repeat_words, base_failed, score, avoided_share and kept; a column of `docs` with one
+    of these names is replaced.
 
     Null and empty texts have no words, so they fail the base. Rows that repeat a doc_id are
     judged each for itself; a null doc_id is judged like any other. Without trusted
-    documents all scores are 0 and the base alone decides. Extra columns of `labels` are not
+    documents all scores and shares are 0 and the base alone decides. Extra columns of `labels` are not
     looked at. An empty table gives an empty result.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    ratios = log_ratios(count_buckets(docs, labels, how), how)
+    ratios, avoided = log_ratios(count_buckets(docs, labels, how), how)
 
     def work(batches):
         for batch in batches:
-            found, scores = [], []
+            found, scores, shares = [], [], []
             for some in text_slices(batch["text"], SLICE_BYTES):
                 found.extend(base_counts(some, how.window))
                 for text in some.cast(pa.large_binary()):
                     buckets = ngram_buckets(text.as_py(), how.n, how.bucket_bits)
                     total = ratios[buckets].sum(dtype=np.float64) if len(buckets) else 0.0
                     scores.append(round(total / max(len(buckets), 1), 6))
+                for word in word_buckets(some, how):
+                    share = avoided[word].any(axis=1).sum() / max(len(word), 1)
+                    shares.append(round(float(share), 6))
             numbers = zip(*found) if found else [()] * len(added)
-            columns = [pa.array(c, pa.int64()) for c in numbers] + [pa.array(scores, pa.float64())]
+            columns = [pa.array(c, pa.int64()) for c in numbers]
+            columns += [pa.array(scores, pa.float64()), pa.array(shares, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *columns], [*batch.schema.names, *added, "score"]
+                [*batch.columns, *columns], [*batch.schema.names, *added, "score", "avoided_share"]
             )
 
-    own = docs.drop(*added, "score", "base_failed", "kept")
+    own = docs.drop(*added, "score", "avoided_share", "base_failed", "kept")
     schema = own
     for name in added:
         schema = schema.withColumn(name, F.lit(0).cast("long"))
-    judged = own.mapInArrow(work, schema.withColumn("score", F.lit(0.0)).schema)
+    schema = schema.withColumn("score", F.lit(0.0)).withColumn("avoided_share", F.lit(0.0))
+    judged = own.mapInArrow(work, schema.schema)
     failed = (F.col("n_words") < how.least_words) | (
         100 * F.col("n_repeat_words") > how.most_repeated_percent * F.col("n_words")
     )
+    good = (F.col("score") >= how.threshold) & (F.col("avoided_share") <= how.most_avoided)
     return judged.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("score") >= how.threshold)
+        "kept", ~F.col("base_failed") & good
     )

@@ -141,6 +141,32 @@ def test_quality_base_and_verdict(spark, docs):
         assert r.kept == (not r.base_failed and r.score >= quality.Quality().threshold)
 
 
+def test_quality_finds_toxic_prose(spark):
+    """Insults, whole or as the start of longer words, among ordinary words; only two of five
+    documents are labelled, and both sides are held to account, labelled or not."""
+    draw = random.Random(4)
+    known = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(3000)]
+    insults = ["scum", "Moron", "worthless.", "idiot!"]
+    rows, toxic = [], set()
+    for i in range(600):
+        text = [known[min(int(draw.expovariate(1 / 300)), 2999)] for _ in range(draw.randint(60, 400))]
+        if i % 8 == 0:
+            toxic.add(i)
+            for place in draw.sample(range(len(text)), len(text) // 25 + 2):
+                end = "".join(draw.choice("klmno") for _ in range(6))
+                text[place] = draw.choice(insults) if i % 16 else f"nastyword{end}"
+        rows.append((i, " ".join(text)))
+    labels = [(i, 1, int(i in toxic)) for i in range(600) if i % 5 < 2]
+    got = quality.quality(
+        spark.createDataFrame(rows, "doc_id long, text string"),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+    ).collect()
+    kept = {r.doc_id for r in got if r.kept}
+    assert len(got) == 600 and not any(r.base_failed for r in got)
+    assert len(kept & toxic) <= 0.05 * len(toxic)
+    assert len(kept - toxic) >= 0.98 * (600 - len(toxic))
+
+
 def test_chat_round_trip_and_ranking(spark):
     nasty = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", nasty), (1, 1, "assistant", nasty), (2, 0, "a\\n\nb", "<\\|x<|"), (2, 0, "assistant", None), (None, 3, None, "\n")]
