@@ -1,5 +1,6 @@
 """URL filter: host and path rules, and a logistic regression on hashed n-grams for the rest."""
 
+import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,33 +33,65 @@ class UrlModel:
     longest: int = 5
     bits: int = 15
     rounds: int = 600
-    rate: float = 12.0
-    decay: float = 1e-4
+    rate: float = 6000.0
+    decay: float = 2e-7
     threshold: float = 0.5
     most_rows: int = 20_000
     most_rules: int = 10_000
 
 
-# A small labelled table for the query: invented addresses, True is to be blocked.
-_BAD = "casino poker bets jackpot slots bingo xxx porn adult escort viagra pills pharma loans free-coins replica keygen warez cheap-meds spam"
-_GOOD = "news blog docs wiki library school museum garden recipes weather travel science history music sports health forum research gallery events"
-
-_PLAIN = "other thing there north south station nation thought month earth health truth author method theory growth length entry area order"
+# What the labelled table is made of: invented names, told apart by topic. Each topic has its
+# telling words, in several spellings, and the words that stand beside them.
+_BAD = {
+    "casino casinos kasino poker bet bets betting bingo jackpot slot slots roulette blackjack lotto wager gamble gambling": "best royal lucky online vip club king spin mega win bonus gold live 24 777",
+    "xxx porn porno adult adults sex sexy escort escorts nude nudes erotic erotik hotgirls camgirls milf fetish": "hot live free cam cams tube club girls date x 18 hub video max zone",
+    "viagra cialis pill pills pharma pharmacy drugs meds tablets steroids dietpills rx botox slimming": "cheap discount online best buy order generic 24 direct fast store now canada shop",
+    "loan loans payday credit-now quickcash cashadvance debt refinance forex crypto-profit bitcoin-double getrich": "fast easy instant cheap now online approve 24 best no-check today money",
+    "warez keygen crack cracked cracks torrent torrents nulled serials pirate hacked fullrip": "free download best hub zone world top full now direct bay",
+    "replica replicas fake knockoff counterfeit outlet-sale rolexcopy": "watch watches bags cheap best luxury shop store discount brand",
+    "ads ad adserver adserv adclick advert adverts banner banners popup popunder doubleclick adsync": "serve server network net click media delivery exchange cdn sync partner best track",
+    "track tracker tracking trackers pixel beacon analytics-spy clickstat telemetry fingerprint retarget adtracking": "click clicks user users web site data cdn log hub stats mail global",
+    "spam spammer spammy bulkmail massmail linkfarm contentfarm clickbait scam phish phishing malware lottery-winner giveaway": "mail farm link links free world host hub blast list best traffic bot",
+    "free-coins free-money free-gift free-spins free-iphone prize prizes freebies cashprize winner-claim": "claim now today get online best big hub click here",
+}
+_GOOD = "news docs wiki library school museum garden recipes weather travel science history music sports health forum research gallery events city bank market kitchen farm farmers house river mountain village church hospital clinic university college student teacher lawyer doctor dentist bakery coffee tea wine beer hotel hostel camping hiking cycling running football tennis chess theatre cinema film photo design paint craft wood metal stone glass paper print book books poetry novel magazine journal radio podcast video game games toys kids family parents baby wedding fashion shoes jewelry furniture tools repair auto cars train trains rail airport ship boats harbor energy solar wind water forest animal animals dogs cats birds horses fish insects plants flowers seeds trees software code open data cloud mobile network systems robotics physics chemistry biology math language english german french spanish translate culture art society politics law rights economy finance insurance pension office jobs career startup industry factory steel textile food fruit vegetables bread cheese honey sustainable climate earth space stars moon planet ocean island beach desert winter summer spring autumn zeitung nachrichten schule stadt wetter garten kochen reisen verein musik jardin cuisine maison voyage ecole musee noticias escuela ciudad tiempo cocina deportes salud address addition adventure adapt shadow ladder radius pillow pillar sextant essex essen window winner-tennis darwin twins badminton gadget broadway tracks-railway racetrack attraction alphabet betterment diabetes spamalot slotted assistant classic loaner freedom freight freeware-docs".split()
+_BESIDE = "the my our old new blue green north south east west data day home world city hub best net online free live club shop store guide daily central first open now time page town".split()
+_SYLLABLES = "ba ber bo chen da del den dor el en er fa fen gar gel ha heim ia in ka kel la len lo ma men mi na nor o or pa per ra ren ri sa sen shi ster sto ta tal ter ti ton tor tra va ver vi vo wa wel wick zen zo and ing ion ous tho thi tha the ness ly ble st sh".split()
+_ENDS = "com net org info io de fr es it co.uk com.br eu biz site online shop top xyz club me".split()
+_FRONTS = ["", "", "www.", "www.", "m.", "blog.", "shop.", "cdn.", "go."]
+# Hosts of the given pages, without dashes, which the table may not have.
+_GIVEN = set("adstrack adultx casinowin cheappills freebets spamfarm".split())
 
 
 def labelled_urls() -> list[tuple[str, bool]]:
-    """Addresses made of one telling word each, on plain and on dashed hosts."""
+    """Addresses on invented hosts; True is to be blocked.
+
+    Ends, fronts and paths are drawn alike for both sides, so that they tell nothing.
+    """
+    draw = random.Random(9)
+    names: dict[str, bool] = {}
+    for words, beside in _BAD.items():
+        for word in words.split():
+            names[word] = True
+            for tail in draw.sample(beside.split(), 6):
+                pair = [word, tail] if draw.random() < 0.6 else [tail, word]
+                names[draw.choice(["-", "-", ""]).join(pair)] = True
+    for word in _GOOD:
+        names[word] = False
+        for _ in range(4):
+            pair = draw.sample([word, draw.choice(_BESIDE + _GOOD)], 2)
+            names[draw.choice(["-", ""]).join(pair)] = False
+    for _ in range(1200):
+        name = "".join(draw.choices(_SYLLABLES, k=draw.randint(2, 4)))
+        names.setdefault(name, False)
     rows = []
-    for words, bad in ((_BAD, True), (_GOOD, False)):
-        for i, word in enumerate(words.split()):
-            place = ("example.com", "example.org", "example.net")[i % 3]
-            tail = ("win", "deal", "now")[i % 3] if bad else ("page", "town", "time")[i % 3]
-            rows.append((f"http://{word}-{tail}.{place}/en/{100 + 37 * i}", bad))
-            rows.append((f"https://www.{word}.{place}/{word}/{i}.html?page=2", bad))
-            # The same places and paths under plain names, so that they tell nothing.
-            plain = _PLAIN.split()[i]
-            path = f"{('en', 'de', 'fr', 'es')[i % 4]}/{i}"
-            rows.append((f"https://{'m' if bad else 'blog'}.{plain}.{place}/{path}", False))
+    for name, bad in names.items():
+        if name.replace("-", "") in _GIVEN:
+            continue
+        path = draw.choice(("", "/", "/{w}", "/{n}", "/{w}/{n}", "/{n}.html", "/{w}/{w}.php?id={n}"))
+        path = path.replace("{w}", draw.choice(_BESIDE)).replace("{n}", str(draw.randint(1, 9999)))
+        front, end = draw.choice(_FRONTS), draw.choice(_ENDS)
+        rows.append((f"http{draw.choice(['', 's'])}://{front}{name}.{end}{path}", bad))
     return rows
 
 
@@ -117,9 +150,9 @@ def train(labelled: DataFrame, how: UrlModel = UrlModel()) -> np.ndarray:
     share = 1.0 / np.maximum(np.bincount(owners, minlength=len(some)), 1)[owners]
     for _ in range(how.rounds):
         wrong = 1 / (1 + np.exp(-_scores(weights, buckets, owners, len(some)))) - target
-        slope = np.bincount(buckets, (wrong[owners] * share), len(weights))
+        slope = np.bincount(buckets, wrong[owners] * share, len(weights)) / len(some)
         weights[:-1] -= how.rate * (slope[:-1] + how.decay * weights[:-1])
-        weights[-1] -= how.rate * wrong.mean() / 10
+        weights[-1] -= how.rate * wrong.mean() / 1000
     return weights
 
 

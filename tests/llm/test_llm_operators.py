@@ -240,6 +240,24 @@ def test_url_rules_and_model(spark):
     assert all((r.verdict == "block") == bool(r.page_id) for r in judged.collect())
 
 
+def test_url_model_on_hosts_held_out_by_name(spark):
+    rows = url_filter.labelled_urls()
+    given = ("ads-track", "spam-farm", "free-bets", "casino-win", "cheap-pills", "adult-x")
+    assert not any(f"{name}." in url or f"{name.replace('-', '')}." in url for name in given for url, _ in rows)
+    held = {i for i, (url, _) in enumerate(rows) if zlib.crc32(url.encode()) % 4 == 0}
+    schema = "url string, blocked boolean"
+    weights = url_filter.train(spark.createDataFrame([r for i, r in enumerate(rows) if i not in held], schema))
+    pages = spark.createDataFrame([(i, rows[i][0]) for i in sorted(held)], "page_id long, url string")
+    found = {(rows[r.page_id][1], r.page_id) for r in url_filter.judge_urls(pages, [], weights).collect() if r.verdict == "block"}
+    bad = [i for i in held if rows[i][1]]
+    assert sum(b for b, _ in found) >= 0.8 * len(bad) > 100
+    assert sum(not b for b, _ in found) <= 0.02 * (len(held) - len(bad))
+    hosts = ["ads-track.example.org", "spam-farm.example.org", "free-bets.example.com", "ththan.example.net", "ththst.example.com", "tionsh.example.net"]
+    pages = spark.createDataFrame([(i, f"http://{h}/en/1") for i, h in enumerate(hosts)], "page_id long, url string")
+    weights = url_filter.train(url_filter.training_frame(spark))
+    assert {r.page_id for r in url_filter.judge_urls(pages, [], weights).collect() if r.verdict == "block"} == {0, 1, 2}
+
+
 def test_contamination_equals_all_windows(spark, docs):
     item = " ".join(f"leak{i}" for i in range(30))
     bench = spark.createDataFrame([(1, item), (2, "one two"), (3, None), (3, " ")], "item_id long, text string")
