@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from cardsieve.llm import (
     chat,
     decontaminate,
+    filter_audit,
+    line_dedup,
     lm_score,
     near_dup,
     packing,
+    phrases,
     quality,
     secret_scan,
     token_store,
@@ -102,6 +105,25 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.failures(table(spark, sf_dir, "documents"))
+    return filter_audit.audit_orders(failed, table(spark, sf_dir, "labels"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(
+        table(spark, sf_dir, "documents"),
+        line_dedup.LineDedup(min_documents=10, keep_first=False),
+    )
+    return kept.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -116,6 +138,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_packing,
             op9_urls,
             op10_lm,
+            op11_filter_audit,
+            op12_phrases,
+            op13_line_dedup,
         )
     }
 
@@ -173,6 +198,108 @@ FROM marked
 """
 
 
+_OP11 = r"""
+WITH words AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents),
+marks AS (
+    SELECT doc_id, part, [
+        len(w) < 200,
+        100 * len(list_distinct(w)) < 50 * len(w),
+        100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+        regexp_matches(t, '[#$%&*|]'),
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+    FROM words),
+known AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+        max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+cells AS (
+    SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS n_good, coalesce(sum(toxic), 0) AS n_toxic
+    FROM marks LEFT JOIN known USING (doc_id) GROUP BY part, fails),
+f AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (
+    SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e
+    WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (
+    SELECT part, o, i AS step, o[i] AS filter, n, n_good, n_toxic, fails[o[i]] AS fail,
+        len(list_filter(o[1:i - 1], lambda x: fails[x])) = 0 AS alive,
+        len(list_filter(fails, lambda x: x)) = 1 AS alone
+    FROM cells, orders, f),
+sums AS (
+    SELECT part, list_aggregate(list_transform(o, lambda x: 'ABCDE'[x]), 'string_agg', '') AS filter_order,
+        step, filter,
+        sum(CASE WHEN alive AND NOT fail THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN alive AND fail THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN fail AND NOT alive THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fail AND alone THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN alive AND fail THEN n_good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN alive AND fail THEN n_toxic ELSE 0 END) AS toxic_lost
+    FROM steps GROUP BY part, o, step, filter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+    CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM sums
+"""
+
+_OP12 = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents),
+words AS (
+    SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM words, (SELECT unnest(range(1, 6)) AS k)),
+counts AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(n) AS n FROM counts WHERE k = 1 GROUP BY lang),
+found AS (SELECT * FROM counts WHERE k > 1 AND n >= 100),
+cuts AS (
+    SELECT lang, k, phrase, n AS a, j, string_split(phrase, ' ') AS w
+    FROM found, (SELECT unnest(range(1, 5)) AS j) WHERE j < k),
+scored AS (
+    SELECT c.lang, c.k, c.phrase, c.a, l.n AS l, r.n AS r, t.n AS n, c.j,
+        (1000::HUGEINT * c.a * t.n) // (l.n::HUGEINT * r.n) AS score
+    FROM cuts c JOIN totals t USING (lang)
+    JOIN counts l ON l.lang = c.lang AND l.k = c.j AND l.phrase = array_to_string(c.w[1:c.j], ' ')
+    JOIN counts r ON r.lang = c.lang AND r.k = c.k - c.j AND r.phrase = array_to_string(c.w[c.j + 1:], ' ')),
+best AS (
+    SELECT * FROM scored s
+    WHERE NOT EXISTS (
+        SELECT 1 FROM found q WHERE q.lang = s.lang AND q.k > s.k AND 100 * q.n >= 100 * s.a
+            AND contains(' ' || q.phrase || ' ', ' ' || s.phrase || ' '))
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+_OP13 = r"""
+WITH lines AS (
+    SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+shared AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT l.*, s.key IS NOT NULL AS gone FROM lines l LEFT JOIN shared s ON l.key = s.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries end in a model, a tokenizer or windows that SQL cannot express."""
-    return {"op1_minhash": _OP1, "op5_chat": _OP5, "op7_warc": _OP7}
+    return {
+        "op1_minhash": _OP1,
+        "op5_chat": _OP5,
+        "op7_warc": _OP7,
+        "op11_filter_audit": _OP11,
+        "op12_phrases": _OP12,
+        "op13_line_dedup": _OP13,
+    }
