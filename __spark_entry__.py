@@ -27,19 +27,25 @@ from cardsieve.sinks import write_csv, write_json, write_split_tables, write_tab
 from cardsieve.sources import (  # noqa: E402
     CsvSource,
     TableSource,
+    check_registry,
     ensure_schema,
+    land_files,
     normalize_names,
     read_dataset,
     read_run_logs,
     register_table,
+    rejected_by_typing,
+    rejected_cells,
     scan_inferred,
     scan_overrides,
     scan_positional,
     scan_table,
     scan_text,
     scan_typed,
+    stored_rows,
 )
 from cardsieve.sources import driver_tables as tables  # noqa: E402
+from cardsieve.sources.registry import TIERS  # noqa: E402
 
 try:
     import corpus_pipeline
@@ -65,6 +71,15 @@ def _csv(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
+def _dirty_csv(spark: SparkSession, sf_dir: str) -> str:
+    return made_once(
+        spark,
+        "dirty-csv",
+        tables.content_key(spark, sf_dir),
+        lambda path: write_csv(tables.dirty_cells(spark, sf_dir), path),
+    )
+
+
 _schemas: dict[str, str] = {}
 
 
@@ -112,6 +127,22 @@ def split_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.complement(raw, split.hash_split(raw)[0])
 
 
+def split_without_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = tables.transactions(spark, sf_dir)
+    return split.without_ids(raw, split.hash_split(raw)[0])
+
+
+def random_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part drawn at random and the rows it left: together they are all rows again."""
+    raw = tables.transactions(spark, sf_dir)
+    train = split.random_split(raw)[0]
+    return train.unionByName(split.complement(raw, train))
+
+
+def split_estimate_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.estimate_from(stored_rows(spark, tables.landed_path(spark, sf_dir)))
+
+
 def _sized(part: Column, rows: Column) -> Column:
     """Whether a part chosen at random holds three quarters, within far more than chance."""
     return (F.abs(part - rows * 0.75) <= 6 * F.sqrt(rows)).alias("sized")
@@ -177,16 +208,56 @@ def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = _table_name(spark, "raw_transactions")
-    register_table(spark, name, tables.landed_path(spark, sf_dir))
-    registry = {"small": CsvSource(_csv(spark, sf_dir)), "big": TableSource(name)}
+    """Rows and frauds of five tiers, each of the hours before its own: two in files, three
+    in tables."""
+    raw, registry = tables.transactions(spark, sf_dir), {}
+    for place, tier in enumerate(TIERS):
+        rows = raw.where(F.col("transaction_hour") < tables.TIER_HOURS[tier])
+        if place < 2:
+            registry[tier] = CsvSource(write_csv(rows, scratch_path(spark, "tier")))
+        else:
+            registry[tier] = TableSource(write_table(rows, _table_name(spark, "tier")))
+    check_registry(spark, registry)
     counts = [
-        read_dataset(spark, registry, tier)
+        read_dataset(spark, registry, tier.upper())
         .agg(F.count("*").alias("n_rows"), F.count_if("is_fraud").alias("fraud_count"))
-        .select(F.lit(label).alias("tier"), "n_rows", "fraud_count")
-        for label, tier in (("small", None), ("big", "BIG"))
+        .select(F.lit(tier).alias("tier"), "n_rows", "fraud_count")
+        for tier in TIERS
     ]
-    return counts[0].unionByName(counts[1])
+    found = counts[0]
+    for more in counts[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV files landed as Parquet, and once more, which reads none of them again."""
+    pattern, target = f"{_csv(spark, sf_dir)}/*.csv", scratch_path(spark, "landing")
+    for _ in range(2):
+        found = land_files(spark, pattern, target, scan_typed)
+    return found
+
+
+# --- cells that cannot be read ----------------------------------------------------------
+
+
+def rejected_cells_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of the careless export that a typed scan cannot read."""
+    return rejected_cells(spark, _dirty_csv(spark, sf_dir)).select(
+        F.substring_index("record", ",", 1).alias("transaction_id"), "column_name", "cell"
+    )
+
+
+def rejected_cells_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for text columns that are typed afterwards."""
+    cells = scan_text(spark, _dirty_csv(spark, sf_dir))
+    return rejected_by_typing(cells, keys=("transaction_id",))
+
+
+def dirty_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four reports over null keys, labels and amounts."""
+    cells = scan_typed(spark, _dirty_csv(spark, sf_dir))
+    return risk_report(features.engineer_features(cells)).combined()
 
 
 def ctas_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,6 +302,14 @@ def sink_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(write_table(_features(spark, sf_dir), _table_name(spark, "engineered")))
 
 
+def sink_table_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is replaced from its own rows, twice."""
+    name = write_table(tables.transactions(spark, sf_dir), _table_name(spark, "raw"))
+    for hour in (20, 10):
+        write_table(spark.table(name).where(F.col("transaction_hour") < hour), name)
+    return spark.table(name)
+
+
 def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = risk_report(_features(spark, sf_dir))
     combined = reports.combined()
@@ -336,8 +415,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hash_split_train": lambda s, d: split.hash_split(raw(s, d))[0],
         "hash_split_test": lambda s, d: split.hash_split(raw(s, d))[1],
         "split_complement": split_complement,
+        "split_without_ids": split_without_ids,
+        "random_complement": random_complement,
         "split_report": lambda s, d: split.split_report(split.with_split(raw(s, d))),
         "split_estimate": lambda s, d: split.split_estimate(raw(s, d)),
+        "split_estimate_stored": split_estimate_stored,
         "exact_split": lambda s, d: split.exact_split(raw(s, d)).select(
             "transaction_id", "split"
         ),
@@ -361,6 +443,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "typed_ingest": lambda s, d: ingest.typed_ingest(scan_text(s, _csv(s, d))),
         "table_scan": table_scan,
         "dataset_registry": dataset_registry,
+        "landed_files": landed_files,
         "ctas_raw": ctas_raw,
         "ctas_engineered": ctas_engineered,
         # Sinks
@@ -368,7 +451,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sink_csv_dealt": _report_csv(stats.rate_by_category, 4),
         "sink_csv_parts": sink_csv_parts,
         "sink_table": sink_table,
+        "sink_table_replaced": sink_table_replaced,
         "sink_json": sink_json,
+        # Cells that cannot be read
+        "rejected_cells": rejected_cells_csv,
+        "rejected_cells_text": rejected_cells_text,
+        "dirty_csv_scan": lambda s, d: scan_typed(s, _dirty_csv(s, d)),
+        "dirty_csv_overrides": lambda s, d: scan_overrides(s, _dirty_csv(s, d)),
+        "dirty_typed_ingest": lambda s, d: ingest.typed_ingest(scan_text(s, _dirty_csv(s, d))),
+        "dirty_risk_report": dirty_report,
+        "dirty_velocity_quality": lambda s, d: profile.velocity_quality(
+            scan_typed(s, _dirty_csv(s, d))
+        ),
+        "unmatched_rows": lambda s, d: tables.unmatched(s, d),
         # Text cells
         "parse_bool_strict": _flags(parse_bool_strict),
         "parse_bool_lenient": _flags(parse_bool_lenient),

@@ -1,26 +1,42 @@
-"""Tells identical rows apart, so that they can be sorted and cut like any others."""
+"""Writes rows out as often as a count says, spread over the tasks."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CHUNK = 100_000
 
+# Rows as text without loss, so that only whole-row copies are alike: JSON would cut
+# timestamps to milliseconds and leave nulls out.
+_LOSSLESS = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
-def number_copies(df: DataFrame, name: str) -> DataFrame:
-    """Add a number 1..n to the n copies of each row.
 
-    The copies are first counted (a map-side combine turns any number of them into one row
-    per task), then written out again in chunks that are spread over the tasks. The number
-    depends on content alone, so a task that is run again gives the same rows.
+def content_key(columns: list[str]) -> Column:
+    """A hash that only whole-row copies share. Takes any type, maps too, and tells 0.0
+    from -0.0."""
+    named = [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+    return F.unhex(F.md5(F.to_json(F.struct(*named), _LOSSLESS)))
+
+
+def repeat_rows(df: DataFrame, count: str) -> DataFrame:
+    """Each row `count` times, and without that column.
+
+    Chunks of a row that is wanted very often are dealt to several tasks first; all other
+    rows stay where they are.
     """
-    columns = df.columns
-    counted = df.groupBy(*columns).agg(F.count("*").alias("_n"))
-    chunks = counted.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {_CHUNK}")))
+    columns = [F.col(f"`{c}`") for c in df.columns if c != count]
+    few = df.where(F.col(count) <= _CHUNK)
+    chunks = (
+        df.where(F.col(count) > _CHUNK)
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(`{count}` - 1) div {_CHUNK}"))))
+        .withColumn(count, F.least(F.lit(_CHUNK), F.col(count) - F.col("_chunk") * _CHUNK))
     )
-    last = F.least(F.col("_n"), (F.col("_chunk") + 1) * _CHUNK)
+    spread = chunks.repartition("_chunk").drop("_chunk")
     return (
-        chunks.repartition(*columns, "_chunk")
-        .withColumn(name, F.explode(F.sequence(F.col("_chunk") * _CHUNK + 1, last)))
-        .select(*columns, name)
+        few.unionByName(spread)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))))
+        .select(*columns)
     )

@@ -14,9 +14,13 @@ from cardsieve.schema import RAW_SCHEMA
 
 
 def type_columns(
-    df: DataFrame, schema: StructType = RAW_SCHEMA, lenient: bool = True
+    df: DataFrame,
+    schema: StructType = RAW_SCHEMA,
+    lenient: bool = True,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Give each text column the type the schema names; cells that do not parse are null.
+    Columns named by `keep` come first, as they are.
 
     `lenient` reads any non-empty text as a boolean (false unless it says true); otherwise
     only the closed word list counts and other text is null.
@@ -33,7 +37,7 @@ def type_columns(
             return parse_float(text)
         return text
 
-    return df.select(*[typed(name).alias(name) for name in schema.names])
+    return df.select(*keep, *[typed(name).alias(name) for name in schema.names])
 
 
 def typed_ingest(

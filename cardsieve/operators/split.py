@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardsieve.functions.hashing import hash_bucket, hash_key
-from cardsieve.operators.copies import number_copies
+from cardsieve.operators.copies import content_key, repeat_rows
 from cardsieve.schema import ID_COLUMN
 from cardsieve.scratch import store
 
@@ -25,17 +25,11 @@ _DIGITS = 3
 # Ranks use one digit more, so that one prefix of a very large table still fits a task.
 _RANK_DIGITS = 4
 
-# Rows as text without loss, so that only whole-row copies are alike: JSON would cut
-# timestamps to milliseconds and leave nulls out.
-_LOSSLESS = {
-    "ignoreNullFields": "false",
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-}
-
 # Spark numbers the rows of a task in the lower 33 bits of its row ids.
 _ROWS_PER_TASK = 1 << 33
 
+_PLACE = "_place"
+
 
 def _label(is_train: Column) -> Column:
     return F.when(is_train, "train").otherwise("test").alias(SPLIT_COLUMN)
@@ -72,8 +66,8 @@ def hash_split(
     return df.where(mask), df.where(~mask)
 
 
-def complement(df: DataFrame, part: DataFrame, id_column: str = ID_COLUMN) -> DataFrame:
-    """Rows of `df` whose id is not in `part`.
+def without_ids(df: DataFrame, part: DataFrame, id_column: str = ID_COLUMN) -> DataFrame:
+    """Rows of `df` whose id is not in `part`, for tables where an id is one row.
 
     The ids of `part` are made distinct first, so a frequent id is one row on that side.
     The comparison treats null as a value: a null id in `part` removes the null ids.
@@ -82,19 +76,66 @@ def complement(df: DataFrame, part: DataFrame, id_column: str = ID_COLUMN) -> Da
     return df.join(taken, df[id_column].eqNullSafe(taken["_taken"]), "left_anti")
 
 
+def complement(df: DataFrame, part: DataFrame) -> DataFrame:
+    """The rows of `df` that `part` did not take: copies count, and no id is needed.
+
+    `part` holds rows of `df`, so together they are `df` again, each row as often as before.
+    Rows are told apart by all their content. Both sides are counted in one shuffle, with
+    the copies of a task combined first; rows of `part` that `df` lacks count for nothing.
+    """
+    columns = df.columns
+    named = [F.col(f"`{c}`") for c in columns]
+    counted = (
+        df.select(content_key(columns).alias("_key"), F.lit(1).alias("_n"), F.struct(*named).alias("_row"))
+        .unionByName(
+            part.select(*named).select(content_key(columns).alias("_key"), F.lit(-1).alias("_n")),
+            allowMissingColumns=True,
+        )
+        .groupBy("_key")
+        .agg(F.sum("_n").alias("_n"), F.first("_row", ignorenulls=True).alias("_row"))
+        .where("_n > 0")
+    )
+    return repeat_rows(counted.select("_n", "_row"), "_n").select("_row.*")
+
+
 # --- at random -----------------------------------------------------------------------
 
 
+def placed_rows(df: DataFrame, name: str = "placed") -> DataFrame:
+    """The rows stored once, with the place in which they were stored.
+
+    The place is the task's number and the row's number in it. What is drawn from it stays
+    the same for a row, whatever becomes of the stored frame's partitions.
+    """
+    return store(df.withColumn(_PLACE, F.monotonically_increasing_id()), name)
+
+
+def random_side(weights: tuple[float, ...], seed: int = SEED) -> Column:
+    """Which side the row of a place falls on, from 0: a draw from a counter, the place."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("side"), F.col(_PLACE)), 11)
+    draw, upto = bits / float(1 << 53), 0.0
+    side = F.lit(len(weights) - 1)
+    for place in range(len(weights) - 2, -1, -1):
+        upto = sum(weights[: place + 1]) / sum(weights)
+        side = F.when(draw < upto, place).otherwise(side)
+    return side
+
+
 def random_split(
     df: DataFrame, weights: tuple[float, ...] = (0.75, 0.25), seed: int = SEED
 ) -> list[DataFrame]:
-    """Spark's seeded random split.
+    """Sides drawn at random in the ratio of the weights; each row falls on exactly one.
 
-    Which rows fall where depends on the partitioning, and each part sorts every partition
-    by all columns to keep that stable. Give it a stored table, not the outcome of a
-    shuffle, and prefer `hash_split` where the result must repeat.
+    The rows are stored once and then labelled by their place, without a sort or a shuffle.
+    Every side is a filter over the same stored rows, so they exclude each other and are
+    complete. Another run draws alike if its rows come in the same order; prefer `hash_split`
+    where the result must repeat on any partitioning.
     """
-    return df.randomSplit(list(weights), seed)
+    if not weights or min(weights) < 0 or not sum(weights):
+        raise ValueError("weights are not negative and not all zero")
+    placed = placed_rows(df, "random-split")
+    side, columns = random_side(weights, seed), [F.col(f"`{c}`") for c in df.columns]
+    return [placed.where(side == i).select(*columns) for i in range(len(weights))]
 
 
 def random_filter(df: DataFrame, fraction: float = 0.75, seed: int = SEED) -> DataFrame:
@@ -168,19 +209,19 @@ def exact_split(
         return df.withColumn(SPLIT_COLUMN, _label(key <= cut))
 
     # The cut is inside one id: order its rows by content.
-    content = F.md5(F.to_json(F.struct(*df.columns), _LOSSLESS))
+    content = F.hex(content_key(df.columns))
     last, wanted, equal = _nth_smallest(df.where(key == cut).select(content), lambda _: wanted)
     at_cut = (key == cut) & (content == last)
     before = (key < cut) | ((key == cut) & (content < last))
     if wanted == equal:
         return df.withColumn(SPLIT_COLUMN, _label(before | at_cut))
 
-    copies = number_copies(df.where(at_cut), "_copy")
+    copies = with_row_index(df.where(at_cut), "_copy")
     return (
         df.where(~at_cut)
         .withColumn(SPLIT_COLUMN, _label(before))
         .unionByName(
-            copies.withColumn(SPLIT_COLUMN, _label(F.col("_copy") <= wanted)).drop("_copy")
+            copies.withColumn(SPLIT_COLUMN, _label(F.col("_copy") < wanted)).drop("_copy")
         )
     )
 
@@ -244,12 +285,14 @@ def shuffle_rank(df: DataFrame, id_column: str = ID_COLUMN, seed: int = SEED) ->
 def seeded_shuffle(df: DataFrame, id_column: str = ID_COLUMN, seed: int = SEED) -> DataFrame:
     """All rows in an order that looks random and is the same on every run.
 
-    A range-partitioned sort on the hashed id. Rows under one id are told apart by content and
-    whole-row copies by a number, so that the sort can cut between any two rows.
+    A range-partitioned sort on the hashed id, then on content; it is the only shuffle of the
+    rows. They are stored first, and their places come last in the order: whole-row copies
+    are told apart by them, so that the sort can cut between any two rows. Which of two
+    copies comes first does not show. Values come back as they were, -0.0 and NaN too.
     """
-    columns = df.columns
-    return number_copies(df, "_copy").orderBy(
-        hash_key(id_column, seed), id_column, F.xxhash64(*columns), "_copy"
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return placed_rows(df, "shuffle").orderBy(
+        hash_key(id_column, seed), id_column, content_key(df.columns), _PLACE
     ).select(*columns)
 
 
@@ -279,8 +322,13 @@ def split_report(labelled: DataFrame) -> DataFrame:
 
 def split_estimate(df: DataFrame, fraction: float = 0.75) -> DataFrame:
     """Split sizes to expect, from one row count; nothing is split."""
+    return estimate_from(df.agg(F.count("*").alias("total_rows")), fraction)
+
+
+def estimate_from(total: DataFrame, fraction: float = 0.75) -> DataFrame:
+    """Split sizes to expect from a known number of rows, such as `stored_rows` gives."""
     train = F.floor(F.col("total_rows") * fraction)
-    return df.agg(F.count("*").alias("total_rows")).select(
+    return total.select(
         "total_rows",
         train.alias("train_estimate"),
         (F.col("total_rows") - train).alias("test_estimate"),

@@ -61,6 +61,21 @@ TRANSACTION_COLUMNS = {
     ),
 }
 
+# What a careless export makes of some cells: when, and the text that stands there then.
+# Texts of the first three columns do not fit their types.
+DIRTY_CELLS = {
+    "amount": ("transaction_hour % 7 = 3", "concat('EUR ', distance_from_home)"),
+    "distance_from_home": ("transaction_hour % 7 = 4", "concat(distance_from_home, '.5')"),
+    "is_fraud": ("transaction_hour % 5 = 1", "'maybe'"),
+    "velocity_last_hour": ("transaction_hour % 6 = 2", "'{broken'"),
+    "merchant_category": ("transaction_hour % 11 = 5", "CAST(NULL AS STRING)"),
+    "country": ("transaction_hour % 12 = 6", "CAST(NULL AS STRING)"),
+}
+UNREADABLE = ("amount", "distance_from_home", "is_fraud")
+
+# Each size tier holds the transactions before an hour of the day.
+TIER_HOURS = {"small": 4, "500k": 8, "1mio": 12, "medium": 16, "big": 24}
+
 # Run logs: one run per order, seven runs to a comparison, one line per line item.
 RUN_LABELS = tuple(f"engine_{letter}" for letter in "abcdefg")
 
@@ -209,6 +224,46 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _landed_frame(spark, sf_dir, "transactions", join_transactions)
 
 
+def dirty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record as text, with cells that do not fit their types, null keys and labels."""
+    clean = transactions(spark, sf_dir)
+    columns = {name: f"CAST({name} AS STRING)" for name in clean.columns}
+    for name, (when, text) in DIRTY_CELLS.items():
+        columns[name] = f"CASE WHEN {when} THEN {text} ELSE CAST({name} AS STRING) END"
+    return _select(clean, columns)
+
+
+def unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(partner, n_rows): how many line items the record leaves out, by the first partner
+    that is missing. A line item needs its part, its order, and the order's customer with
+    its nation."""
+    line, order, part, customer, nation = (
+        read_table(spark, sf_dir, name)
+        for name in ("lineitem", "orders", "part", "customer", "nation")
+    )
+    buyers = (
+        order.select("o_orderkey", "o_custkey")
+        .join(
+            customer.select("c_custkey", "c_nationkey"),
+            F.col("o_custkey") == F.col("c_custkey"),
+            "left",
+        )
+        .join(nation.select("n_nationkey"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    )
+    joined = line.select("l_partkey", "l_orderkey").join(
+        part.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left"
+    ).join(buyers, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    partners = {"part": "p_partkey", "orders": "o_orderkey", "customer": "c_custkey", "nation": "n_nationkey"}
+    counts, earlier = [], F.lit(True)
+    for name, key in partners.items():
+        missing = F.col(key).isNull()
+        counts.append(
+            F.struct(F.lit(name).alias("partner"), F.count_if(earlier & missing).alias("n_rows"))
+        )
+        earlier = earlier & ~missing
+    return joined.agg(F.array(*counts).alias("found")).select(F.inline("found"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per run: which comparison and label it belongs to, and how it ended."""
     return _select(read_table(spark, sf_dir, "orders"), RUN_COLUMNS)

@@ -10,11 +10,14 @@ from cardsieve.schema import (
 )
 from cardsieve.sources.driver_tables import (
     CELL_COLUMNS,
+    DIRTY_CELLS,
     RUN_COLUMNS,
     RUN_LABELS,
     STEP_LINE_COLUMNS,
     SUMMARY_LINES,
+    TIER_HOURS,
     TRANSACTION_COLUMNS,
+    UNREADABLE,
 )
 
 
@@ -59,6 +62,43 @@ _FEATURES = (
 )
 _FEATURE_NAMES = ", ".join(ENGINEERED_SCHEMA.names)
 
+
+def _dirty(flag: str = "NULL") -> str:
+    """The record as typed scans see the careless export; `flag` is what a word that is no
+    flag becomes."""
+    seen = dict.fromkeys(UNREADABLE, "NULL") | {"is_fraud": flag}
+    cells = ", ".join(
+        f"CASE WHEN {when} THEN {seen.get(name, text)} ELSE {name} END AS {name}"
+        for name, (when, text) in DIRTY_CELLS.items()
+    )
+    clean = _TRANSACTIONS.replace("transactions AS", "clean AS", 1)
+    return f"WITH {clean}, transactions AS (SELECT * REPLACE ({cells}) FROM clean)"
+
+
+_REJECTED = " UNION ALL ".join(
+    f"SELECT transaction_id, '{name}' AS column_name, {DIRTY_CELLS[name][1]} AS cell FROM clean"
+    f" WHERE {DIRTY_CELLS[name][0]}"
+    for name in UNREADABLE
+)
+
+_VELOCITY_QUALITY = (
+    "SELECT count(*) AS total_rows,"
+    " count(*) FILTER (WHERE velocity_last_hour IS NULL) AS missing,"
+    " count(*) FILTER (WHERE velocity_last_hour IS NOT NULL AND"
+    f" coalesce({', '.join(f'CAST({number} AS DOUBLE)' for number in _VELOCITY.values())})"
+    " IS NULL) AS unreadable FROM with_json"
+)
+
+_UNMATCHED = (
+    "SELECT v.partner, count(g.partner) AS n_rows FROM"
+    " (VALUES ('part'), ('orders'), ('customer'), ('nation')) v(partner) LEFT JOIN"
+    " (SELECT CASE WHEN p_partkey IS NULL THEN 'part' WHEN o_orderkey IS NULL THEN 'orders'"
+    " WHEN c_custkey IS NULL THEN 'customer' WHEN n_nationkey IS NULL THEN 'nation' END AS partner"
+    " FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN orders ON l_orderkey ="
+    " o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey ="
+    " n_nationkey) g ON g.partner = v.partner GROUP BY v.partner"
+)
+
 _RAW = f"WITH {_TRANSACTIONS} "
 _ENGINEERED = f"WITH {_TRANSACTIONS}, {_WITH_JSON}, {_FEATURES} "
 
@@ -173,6 +213,17 @@ def oracle_sql() -> dict[str, str]:
     all_raw = _RAW + "SELECT * FROM transactions"
     all_features = _ENGINEERED + f"SELECT {_FEATURE_NAMES} FROM features"
     by_category = _ENGINEERED + _BY_CATEGORY
+    tiers = ", ".join(f"('{tier}', {before})" for tier, before in TIER_HOURS.items())
+    not_in_train = (
+        "SELECT * FROM transactions WHERE transaction_id NOT IN"
+        f" (SELECT transaction_id FROM transactions WHERE {_IN_TRAIN})"
+    )
+    estimate = (
+        "SELECT count(*) AS total_rows, CAST(floor(count(*) * 0.75) AS BIGINT) AS"
+        " train_estimate, count(*) - CAST(floor(count(*) * 0.75) AS BIGINT) AS test_estimate"
+        " FROM transactions"
+    )
+    dirty_engineered = f"{_dirty()}, {_WITH_JSON}, {_FEATURES} "
     return {
         # Reports
         "fraud_rate_by_category": by_category,
@@ -211,17 +262,15 @@ def oracle_sql() -> dict[str, str]:
         "hash_split": _ENGINEERED + "SELECT transaction_id, split FROM features",
         "hash_split_train": _RAW + f"SELECT * FROM transactions WHERE {_IN_TRAIN}",
         "hash_split_test": _RAW + f"SELECT * FROM transactions WHERE NOT {_IN_TRAIN}",
-        "split_complement": _RAW
-        + "SELECT * FROM transactions WHERE transaction_id NOT IN"
-        f" (SELECT transaction_id FROM transactions WHERE {_IN_TRAIN})",
+        "split_complement": _RAW + not_in_train,
+        "split_without_ids": _RAW + not_in_train,
+        "random_complement": all_raw,
         "split_report": _ENGINEERED
         + "SELECT split, count(*) AS n_rows,"
         " round(count(*) / (SELECT count(*) FROM features) * 100, 1) AS share_pct"
         " FROM features GROUP BY split",
-        "split_estimate": _RAW
-        + "SELECT count(*) AS total_rows, CAST(floor(count(*) * 0.75) AS BIGINT) AS"
-        " train_estimate, count(*) - CAST(floor(count(*) * 0.75) AS BIGINT) AS test_estimate"
-        " FROM transactions",
+        "split_estimate": _RAW + estimate,
+        "split_estimate_stored": _RAW + estimate,
         "exact_split": _RAW
         + "SELECT transaction_id, CASE WHEN row_number() OVER (ORDER BY"
         " md5('42:' || transaction_id), transaction_id) <="
@@ -241,12 +290,7 @@ def oracle_sql() -> dict[str, str]:
         # Profile
         "profile_nulls": _RAW + _null_counts("transactions", RAW_SCHEMA.names),
         "profile_schema": _ENGINEERED + _profile(),
-        "velocity_quality": _ENGINEERED
-        + "SELECT count(*) AS total_rows,"
-        " count(*) FILTER (WHERE velocity_last_hour IS NULL) AS missing,"
-        " count(*) FILTER (WHERE velocity_last_hour IS NOT NULL AND"
-        f" coalesce({', '.join(f'CAST({number} AS DOUBLE)' for number in _VELOCITY.values())})"
-        " IS NULL) AS unreadable FROM with_json",
+        "velocity_quality": _ENGINEERED + _VELOCITY_QUALITY,
         # Sources
         "csv_scan_typed": all_raw,
         "csv_scan_overrides": all_raw,
@@ -267,7 +311,9 @@ def oracle_sql() -> dict[str, str]:
         "dataset_registry": _RAW
         + "SELECT tier, count(*) AS n_rows, CAST(sum(CASE WHEN is_fraud THEN 1 ELSE 0 END)"
         " AS BIGINT) AS fraud_count FROM transactions,"
-        " (VALUES ('small'), ('big')) AS tiers(tier) GROUP BY tier",
+        f" (VALUES {tiers}) AS tiers(tier, before) WHERE transaction_hour < before"
+        " GROUP BY tier",
+        "landed_files": all_raw,
         "ctas_raw": all_raw,
         "ctas_engineered": _ENGINEERED + f"SELECT {_FEATURE_NAMES}, split FROM features",
         # Sinks
@@ -275,7 +321,17 @@ def oracle_sql() -> dict[str, str]:
         "sink_csv_dealt": by_category,
         "sink_csv_parts": all_features,
         "sink_table": all_features,
+        "sink_table_replaced": all_raw + " WHERE transaction_hour < 10",
         "sink_json": _ENGINEERED + _COMBINED,
+        # Cells that cannot be read
+        "rejected_cells": f"{_dirty()} {_REJECTED}",
+        "rejected_cells_text": f"{_dirty()} {_REJECTED}",
+        "dirty_csv_scan": f"{_dirty()} SELECT * FROM transactions",
+        "dirty_csv_overrides": f"{_dirty()} SELECT * FROM transactions",
+        "dirty_typed_ingest": f"{_dirty('false')} SELECT * FROM transactions",
+        "dirty_risk_report": dirty_engineered + _COMBINED,
+        "dirty_velocity_quality": dirty_engineered + _VELOCITY_QUALITY,
+        "unmatched_rows": _UNMATCHED,
         # Text cells
         "parse_bool_strict": _CELLS
         + "SELECT cell, flag_text, CASE WHEN flag_text IN ('true', 'True') THEN true"

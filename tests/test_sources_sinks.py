@@ -6,26 +6,42 @@ from pathlib import Path
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cardsieve import scratch
-from cardsieve.operators import features, split
+from cardsieve.operators import features, profile, split
 from cardsieve.plans import run_cached, run_to_table
 from cardsieve.schema import ENGINEERED_SCHEMA, RAW_SCHEMA
-from cardsieve.sinks import write_csv, write_json, write_split_tables, write_table
+from cardsieve.sinks import (
+    drop_table,
+    table_versions,
+    write_csv,
+    write_json,
+    write_split_tables,
+    write_table,
+)
 from cardsieve.sources import driver_tables
+from cardsieve.sources.registry import TIERS
 from cardsieve.sources import (
     CsvSource,
     TableSource,
+    check_registry,
     csv_registry,
     ensure_schema,
+    land_files,
+    landed_rows,
     normalize_names,
     read_dataset,
+    read_manifest,
+    rejected_by_typing,
+    rejected_cells,
     scan_inferred,
     scan_overrides,
     scan_positional,
     scan_table,
     scan_text,
     scan_typed,
+    stored_rows,
     table_registry,
     use_schema,
 )
@@ -123,11 +139,91 @@ def test_tables(spark, csv, schema, tmp_path):
     assert scan_table(spark, "raw").count() == 3
     write_table(raw.limit(2), "raw")
     assert scan_table(spark, "raw").count() == 2
-    with pytest.raises(AnalysisException):
-        write_table(spark.table("raw"), "raw")
+    write_table(spark.table("raw").where("transaction_id <> 'TX_1'"), "raw")
+    assert scan_table(spark, f"{schema}.raw").count() == 1
     ensure_schema(spark, schema)
 
 
+def names(spark, schema):
+    return {row.tableName for row in spark.sql(f"SHOW TABLES IN {schema}").collect()}
+
+
+def test_a_failed_write_leaves_the_old_rows(spark, schema, tmp_path):
+    name = write_table(spark.range(5), f"{schema}.t")
+    before = names(spark, schema)
+    bad = spark.table(name).withColumn("id", F.expr("IF(id = 4, raise_error('lost'), id)"))
+    with pytest.raises(Exception, match="lost"):
+        write_table(bad, name)
+    assert spark.table(name).count() == 5 and names(spark, schema) == before
+    with pytest.raises(AnalysisException):
+        write_table(spark.sql("SELECT 1 AS a, 2 AS A"), name)
+    assert spark.table(name).count() == 5 and names(spark, schema) == before
+
+
+def test_replacing_leaves_readers_their_rows(spark, schema):
+    """A frame that was opened before the switch still reads what it was opened on; columns,
+    types and partitions may change; only so many versions stay."""
+    name = write_table(spark.range(5), f"{schema}.t")
+    opened = spark.table(name)
+    write_table(spark.sql("SELECT 'x' AS id, 1 AS `odd ``name`, 2 AS p"), name, partition_by=("p",))
+    assert opened.count() == 5
+    assert spark.table(name).columns == ["id", "odd `name", "p"]
+    assert len(table_versions(spark, name)) == 2
+    write_table(spark.table(name).limit(0), name)
+    assert spark.table(name).count() == 0
+    assert len(table_versions(spark, name)) == 2 and len(names(spark, schema)) == 3
+    write_table(spark.range(2), name, keep_versions=0)
+    assert len(names(spark, schema)) == 2
+    drop_table(spark, name)
+    assert names(spark, schema) == set()
+
+
+def test_a_plain_table_becomes_a_version(spark, schema):
+    spark.range(5).write.saveAsTable(f"{schema}.plain")
+    write_table(spark.table(f"{schema}.plain").where("id < 2"), f"{schema}.plain")
+    assert spark.table(f"{schema}.plain").count() == 2
+    old = table_versions(spark, f"{schema}.plain")[1]
+    assert spark.table(old).count() == 5
+    spark.sql(f"CREATE VIEW {schema}.other AS SELECT 1 AS a")
+    with pytest.raises(ValueError, match="other"):
+        write_table(spark.range(1), f"{schema}.other")
+    assert spark.table(f"{schema}.other").first().a == 1
+
+
+def test_files_at_a_path_outlive_the_entry(spark, schema, tmp_path):
+    name = write_table(spark.range(3), f"{schema}.t", str(tmp_path / "out"))
+    drop_table(spark, name)
+    assert spark.read.parquet(f"{tmp_path}/out/*").count() == 3
+
+
+def test_split_tables_are_replaced_together(spark, schema):
+    labelled = lambda n: spark.sql(f"SELECT {n} AS v, explode(array('train', 'test')) AS split")
+    train, test = write_split_tables(labelled(1), f"{schema}.eng")
+    # One step of the table is one step of both views.
+    write_table(labelled(2), f"{schema}.eng", partition_by=("split",))
+    assert spark.table(train).first().v == spark.table(test).first().v == 2
+
+
+def test_registry_is_checked_against_its_sources(spark, csv, schema, tmp_path):
+    raw = scan_typed(spark, csv)
+    upper = write_table(raw.toDF(*[n.upper() for n in raw.columns]), f"{schema}.upper")
+    good = dict.fromkeys(TIERS, CsvSource(csv)) | {"big": TableSource(upper)}
+    assert check_registry(spark, good) == good
+    other = tmp_path / "other.csv"
+    other.write_text("a,b\n1,2\n")
+    short = write_table(raw.drop("city").withColumn("amount", F.lit(1)), f"{schema}.short")
+    for bad, message in (
+        ({t: s for t, s in good.items() if t != "1mio"}, "1mio: not registered"),
+        (good | {"huge": CsvSource(csv)}, "huge: unknown"),
+        (good | {"500k": CsvSource(str(tmp_path / "none"))}, "500k: cannot be read, PATH_NOT_FOUND"),
+        (good | {"medium": TableSource(f"{schema}.none")}, "medium: cannot be read"),
+        (good | {"small": CsvSource(str(other))}, "small: a for transaction_id.*2 columns for 24"),
+        (good | {"big": TableSource(short)}, "big: amount int for double, city missing for string"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            check_registry(spark, bad)
+
+
 def test_registry(spark, csv, schema):
     write_table(scan_typed(spark, csv).limit(1), f"{schema}.big")
     folder, name = csv.rsplit("/", 1)
@@ -139,6 +235,111 @@ def test_registry(spark, csv, schema):
         read_dataset(spark, registry, "huge")
 
 
+def ledger(df, *columns):
+    return sorted((tuple(row) for row in df.select(*columns).collect()), key=repr)
+
+
+def test_rejected_cells(spark, csv, tmp_path):
+    found = rejected_cells(spark, csv)
+    assert ledger(found, "column_name", "cell") == [
+        ("amount", "bad"), ("distance_from_home", "x"), ("is_fraud", "garbage")
+    ]
+    assert {row.file.rsplit("/", 1)[1] for row in found.collect()} == {"in.csv"}
+    assert ledger(found.where("column_name = 'amount'"), "record")[0][0].startswith("TX_2,")
+    typed = rejected_by_typing(scan_text(spark, csv), keys=("transaction_id",))
+    assert ledger(typed, "transaction_id", "column_name", "cell") == [
+        ("TX_2", "amount", "bad"), ("TX_3", "distance_from_home", "x"), ("TX_3", "is_fraud", "garbage")
+    ]
+    lenient = rejected_by_typing(scan_text(spark, csv), lenient=True)
+    assert ledger(lenient, "column_name") == [("amount",), ("distance_from_home",)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan csv") == 1
+
+
+def test_rejected_cells_of_odd_records(spark, tmp_path):
+    """Cells with separators, quotes and line breaks; too few and too many cells; no loss."""
+    schema = StructType().add("n", "integer").add("t", "string").add("d", "double")
+    path = tmp_path / "odd.csv"
+    path.write_bytes(b'n,t,d\n1,"a, ""b""\nc",x\n"7 ",,1.5\n2\n3,t,4.5,more\n,,\n"",t,\n99999999999,t,1\n')
+    rows = scan_typed(spark, str(path), schema, multi_line=True)
+    found = rejected_cells(spark, str(path), schema, multi_line=True)
+    assert rows.count() == 7
+    assert ledger(found, "column_name", "cell") == [
+        ("d", "x"), ("n", "7 "), ("n", "99999999999"), (None, None), (None, None)
+    ]
+    clean = tmp_path / "clean.csv"
+    clean.write_text("n,t,d\n1,a,2.5\n,,\n")
+    assert rejected_cells(spark, str(clean), schema).count() == 0
+
+
+def test_unmatched_rows_are_counted(spark, tmp_path):
+    for name in ("nation", "customer", "part", "orders", "lineitem"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "lineitem":
+            first = rows.limit(1)
+            rows = rows.union(first.withColumn("l_partkey", F.lit(-1).cast("long")))
+            rows = rows.union(first.withColumn("l_orderkey", F.lit(None).cast("long")))
+        if name == "customer":
+            rows = rows.where("c_custkey % 50 <> 1")
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = {r.partner: r.n_rows for r in driver_tables.unmatched(spark, str(tmp_path)).collect()}
+    assert (found["part"], found["orders"], found["nation"]) == (1, 1, 0) and found["customer"] > 0
+    kept = driver_tables.join_transactions(spark, str(tmp_path)).count()
+    assert kept + sum(found.values()) == spark.read.parquet(f"{tmp_path}/lineitem.parquet").count()
+
+
+def test_rows_counted_from_footers(spark, tmp_path):
+    rows = spark.range(1000, numPartitions=4).withColumn("p", F.col("id") % 3)
+    rows.write.partitionBy("p").parquet(str(tmp_path / "t"))
+    counted = stored_rows(spark, str(tmp_path / "t"))
+    assert counted.first().total_rows == 1000
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan
+    assert tuple(split.estimate_from(counted, 0.5).first()) == (1000, 500, 500)
+    assert "PushedAggregation" not in str(
+        spark.read.parquet(str(tmp_path / "t")).groupBy().count()._jdf.queryExecution().executedPlan().toString()
+    )
+
+
+def test_only_changed_files_land_again(spark, tmp_path):
+    folder, target, asked = tmp_path / "in", str(tmp_path / "landed"), []
+    folder.mkdir()
+
+    def put(name, *values):
+        (folder / name).write_text("n\n" + "".join(f"{v}\n" for v in values))
+
+    def read(spark, files):
+        asked.append(sorted(f.rsplit("/", 1)[1] for f in files))
+        return scan_typed(spark, files, StructType().add("n", "integer"))
+
+    def landed():
+        return sorted(r.n for r in land_files(spark, f"{folder}/*.csv", target, read).collect())
+
+    put("a b.csv", 1, 2)
+    put("b.csv", 3)
+    put("c.csv")
+    assert landed() == landed() == [1, 2, 3]
+    assert asked == [["a b.csv", "b.csv", "c.csv"]]
+    put("b.csv", 30, 31)
+    assert landed() == [1, 2, 30, 31] and asked[1:] == [["b.csv"]]
+    (folder / "a b.csv").unlink()
+    put("d.csv", 4)
+    assert landed() == [4, 30, 31] and asked[2:] == [["d.csv"]]
+    (folder / "d.csv").unlink()
+    assert landed() == [30, 31] and len(asked) == 3
+    versions = {r.file.rsplit("/", 1)[1]: r.batch for r in read_manifest(spark, target).collect()}
+    assert versions == {"b.csv": 2, "c.csv": 1}
+    put("e.csv", "x")
+
+    def fail(spark, files):
+        return read(spark, files).withColumn("n", F.expr("raise_error('broken')"))
+
+    with pytest.raises(Exception, match="broken"):
+        land_files(spark, f"{folder}/*.csv", target, fail)
+    assert sorted(r.n for r in landed_rows(spark, target).collect()) == [30, 31]
+    assert len(land_files(spark, f"{folder}/*.csv", target, read).collect()) == 3
+
+
 def parts(path):
     return len(list(Path(path).glob("part-*")))
 
@@ -212,6 +413,11 @@ def test_whole_job(spark, csv, schema, tmp_path):
     stored = run_to_table(raw, f"{schema}.features")
     assert cached.total_rows == stored.total_rows == 3
     assert cached.split_rows == stored.split_rows
+    written = spark.table(f"{schema}.features")
+    assert stored.null_counts == {
+        r.column_name: r.null_count for r in profile.null_counts(written).collect()
+    }
+    assert stored.null_counts["amount"] == 1 and not cached.null_counts
     assert cached.seconds.keys() == stored.seconds.keys()
     ours, theirs = (
         sorted(result.report.combined().collect(), key=repr) for result in (cached, stored)

@@ -176,13 +176,87 @@ def test_seeded_shuffle(spark, skewed):
     assert len(set(tasks)) > 2
 
 
-def test_number_copies(spark, skewed, monkeypatch):
+def test_repeat_rows(spark, monkeypatch):
+    """Rows are repeated in chunks that several tasks write."""
     monkeypatch.setattr(copies, "_CHUNK", 64)
-    out = copies.number_copies(skewed, "copy")
-    assert out.count() == 6050
-    hot = [row["copy"] for row in out.where("transaction_id = 'HOT'").collect()]
-    assert sorted(hot) == list(range(1, 2001))
-    assert out.where("transaction_id = 'SHARED'").agg(F.max("copy")).first()[0] == 1
+    counted = spark.createDataFrame([("a", 1), ("b", 64), ("c", 1000), ("d", 65)], "name STRING, n INT")
+    out = copies.repeat_rows(counted, "n")
+    assert out.columns == ["name"]
+    assert dict(out.groupBy("name").count().collect()) == {"a": 1, "b": 64, "c": 1000, "d": 65}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        hot = copies.repeat_rows(counted, "n").where("name = 'c'")
+        assert hot.select(F.spark_partition_id().alias("t")).distinct().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+ODD = """
+    SELECT 'a' AS transaction_id, CAST(0.0 AS DOUBLE) AS x, map('k', 1) AS m UNION ALL
+    SELECT 'a', -CAST(0.0 AS DOUBLE), map('k', 1) UNION ALL
+    SELECT 'a', -CAST(0.0 AS DOUBLE), map('k', 1) UNION ALL
+    SELECT 'a', CAST('NaN' AS DOUBLE), map('k', CAST(NULL AS INT)) UNION ALL
+    SELECT 'b', CAST('-Infinity' AS DOUBLE), NULL UNION ALL
+    SELECT NULL, NULL, map() UNION ALL SELECT NULL, NULL, map()
+"""
+
+
+def odd_rows(df):
+    return sorted(repr(row) for row in df.collect())
+
+
+def test_rows_come_back_as_they_were(spark):
+    """-0.0, NaN, maps and nulls pass through the shuffle, the complement and the splits."""
+    df = spark.sql(ODD)
+    assert sum("x=-0.0" in row for row in odd_rows(df)) == 2
+    assert odd_rows(split.seeded_shuffle(df)) == odd_rows(df)
+    assert odd_rows(split.exact_split(df).drop("split")) == odd_rows(df)
+    one, two = split.random_split(df)
+    assert odd_rows(one.union(two)) == odd_rows(df)
+    part = df.where("x = 0.0").limit(1)
+    assert odd_rows(split.complement(df, part).union(part)) == odd_rows(df)
+
+
+def test_shuffle_moves_the_rows_once(spark, skewed):
+    """One exchange; the same order however the input is dealt."""
+    out = split.seeded_shuffle(skewed)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == plan.count("Exchange") == 1
+    again = split.seeded_shuffle(skewed.repartition(3))
+    assert [tuple(r) for r in out.collect()] == [tuple(r) for r in again.collect()]
+
+
+def test_complement_counts_copies(spark):
+    """Ids do not matter, nor that a part holds one of two rows under an id."""
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), (None, None)], "transaction_id STRING, v INT")
+    part = spark.createDataFrame([("a", 1), (None, None), ("z", 9)], "transaction_id STRING, v INT")
+    assert sorted(map(tuple, split.complement(rows, part).collect())) == [("a", 1), ("a", 2), ("b", 1)]
+    assert odd_rows(split.complement(rows, rows.limit(0))) == odd_rows(rows)
+    assert split.complement(rows, rows).count() == 0
+    assert odd_rows(split.without_ids(rows, part)) == odd_rows(rows.where("transaction_id = 'b'"))
+
+
+@pytest.mark.parametrize("weights", [(0.75, 0.25), (1, 1, 2), (0, 1), (1,)])
+def test_random_sides_and_their_complement(skewed, weights):
+    """With repeated ids and copies, a side and its complement are every row."""
+    sides = split.random_split(skewed, weights)
+    assert odd_rows(sides[0].union(split.complement(skewed, sides[0]))) == odd_rows(skewed)
+    for side, weight in zip(sides, weights):
+        assert abs(side.count() - 6050 * weight / sum(weights)) < 250
+    assert sum(side.count() for side in sides) == 6050
+
+
+def test_random_sides_need_no_sort_and_stay(spark, numbered):
+    placed = split.placed_rows(numbered)
+    side = split.random_side((0.75, 0.25))
+    first = ids(placed.where(side == 0))
+    assert ids(placed.repartition(7).where(side == 0)) == first
+    assert ids(placed.where(split.random_side((0.75, 0.25), seed=1) == 0)) != first
+    plan = split.random_split(numbered)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+    for wrong in ((), (0, 0), (1, -1)):
+        with pytest.raises(ValueError):
+            split.random_split(numbered, wrong)
 
 
 def test_report_and_estimate(numbered):
@@ -211,7 +285,7 @@ def test_anti_join_splits_a_hot_id(spark, tmp_path):
     for name, value in conf.items():
         spark.conf.set(name, value)
     try:
-        rest = split.complement(rows, rows.where("transaction_id LIKE '%7'"))
+        rest = split.without_ids(rows, rows.where("transaction_id LIKE '%7'"))
         assert len(rest.collect()) == 38000
         assert "SortMergeJoin(skew=true)" in rest._jdf.queryExecution().executedPlan().toString()
     finally:
