@@ -11,6 +11,7 @@ together; over what is left, pointers jump twice as far each round.
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardsieve.llm.bit_table import with_flag
 from cardsieve.llm.common import keep
 
 MAGIC = "WARC/1.1\r\n"
@@ -21,28 +22,66 @@ _PLACE = ["file", "block", "row"]
 def plan_revisits(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """(page_id, url, html, payload_digest, payload_bytes, refers_to) of each page.
 
-    refers_to is the largest page_id among pages of equal payload, for all others of them.
-    Null html is an empty payload. A page without page_id is never a revisit, nor referred
-    to; rows that repeat the largest page_id are all responses.
+    refers_to is the largest page_id among pages of equal payload, for all others of them,
+    whose html is null here: a revisit has none. Null html is an empty payload. A page without
+    page_id is never a revisit, nor referred to; rows that repeat the largest page_id are all
+    responses.
+
+    Pages are decided without their html. Then the html of most is taken straight from the
+    scan; only that of the one response of each repeated payload is shuffled.
     """
     html = F.coalesce("html", F.lit(""))
-    payload = F.encode(html, "UTF-8")
     own = pages.select(
         F.col("page_id").cast("long"),
         F.coalesce("url", F.lit("")).alias("url"),
         html.alias("html"),
-        F.sha1(payload).alias("payload_digest"),
+        F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"),
         F.octet_length(html).cast("long").alias("payload_bytes"),
     )
-    shared = (
-        own.where(F.col("payload_bytes") >= least)
-        .groupBy("payload_digest")
+    light = keep(own.drop("html"), "digests")
+    large = light.where(F.col("payload_bytes") >= least)
+    shared = keep(
+        large.groupBy("payload_digest")
         .agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("payload_digest", "last")
+        .where("n > 1 AND last IS NOT NULL")
+        .select("payload_digest", "last"),
+        "shared",
     )
-    return own.join(shared, "payload_digest", "left").select(
-        *own.columns, F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to")
+    revisits = large.join(shared, "payload_digest").where("page_id < last").select(
+        "page_id",
+        "url",
+        F.lit(None).cast("string").alias("html"),
+        "payload_digest",
+        "payload_bytes",
+        F.col("last").alias("refers_to"),
+    )
+
+    def flagged(df: DataFrame) -> DataFrame:
+        taken = shared.select(F.xxhash64("payload_digest").alias("key"))
+        key = F.when(F.col("payload_bytes") >= least, F.xxhash64("payload_digest"))
+        return with_flag(df, key, taken, "repeats")
+
+    # Of the pages that may repeat: the responses, by digest and page.
+    pair = ["payload_digest", "page_id"]
+    responses = flagged(large).where("repeats AND page_id IS NOT NULL")
+    responses = responses.join(shared, "payload_digest", "left").where(
+        "last IS NULL OR page_id >= last"
+    )
+    wanted = keep(responses.select(*pair).distinct(), "wanted")
+    found = flagged(own)
+    straight = found.where("NOT repeats OR page_id IS NULL").drop("repeats")
+    several = with_flag(
+        found.where("repeats AND page_id IS NOT NULL").drop("repeats"),
+        F.xxhash64(*pair),
+        wanted.select(F.xxhash64(*pair).alias("key")),
+        "may_be",
+    )
+    several = several.where("may_be").drop("may_be").join(wanted, pair, "left_semi")
+    no_target = F.lit(None).cast("long").alias("refers_to")
+    return (
+        straight.select("*", no_target)
+        .unionByName(several.select("*", no_target))
+        .unionByName(revisits)
     )
 
 
@@ -106,10 +145,12 @@ def _candidates(pieces: DataFrame) -> DataFrame:
         *_PLACE,
         F.octet_length("value").cast("long").alias("size"),
         F.when(own, F.substring_index("value", "\r\n\r\n", 1)).alias("header"),
+        F.md5(F.col("value").cast("binary")).alias("mark"),
         F.col("value").cast("binary").alias("bytes"),
     ).select(
         *_PLACE,
         "size",
+        "mark",
         F.octet_length("header").cast("long").alias("head"),
         _number(_field("header", "Content-Length", r"\d{1,15}")).alias("length"),
         _number(_name("WARC-Record-ID")).alias("page_id"),
@@ -171,9 +212,24 @@ def _split_payloads(spark: SparkSession, path: str, pieces: DataFrame) -> DataFr
     per_file = Window.partitionBy("file").orderBy("start")
     owner = F.max(F.when(F.col("real"), F.col("start"))).over(per_file)
     split = F.max(F.when(F.col("real"), F.struct("start", F.col("digest").isNull().alias("open")))).over(per_file)
-    wanted = pieces.select(*_PLACE, "start", owner.alias("owner"), split["open"].alias("open"), "real", "head", "length")
-    wanted = wanted.where("open").select(*_PLACE, "start", "owner", "real", "head", "length")
-    texts = _pieces(spark, path).join(wanted, _PLACE)
+    wanted = pieces.select("file", "start", "size", "mark", owner.alias("owner"), split["open"].alias("open"), "real", "head", "length")
+    wanted = keep(wanted.where("open"), "wanted")
+    # The archive is read again, and pieces are known by content: how files are split among
+    # tasks may have changed since.
+    marks = wanted.select("size", "mark").distinct()
+    again = _pieces(spark, path).select(
+        F.octet_length("value").cast("long").alias("size"),
+        F.md5(F.col("value").cast("binary")).alias("mark"),
+        "value",
+    )
+    again = with_flag(
+        again,
+        F.xxhash64("size", "mark"),
+        marks.select(F.xxhash64("size", "mark").alias("key")),
+        "may_be",
+    )
+    again = again.where("may_be").groupBy("size", "mark").agg(F.first("value").alias("value"))
+    texts = wanted.join(again, ["size", "mark"])
     # A record is as long as its writer made it; its pieces meet in one row again.
     gathered = texts.groupBy("file", "owner").agg(
         F.sort_array(F.collect_list(F.struct("start", "value"))).alias("pieces"),

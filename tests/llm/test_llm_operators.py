@@ -24,6 +24,7 @@ from cardsieve.llm import (
     url_filter,
     warc,
 )
+from cardsieve.llm.common import keep
 from cardsieve.llm.elias_fano import EliasFano, TrieLevel
 from cardsieve.llm.tokens import Encoder, vocabulary_path
 from cardsieve.scratch import scratch_path
@@ -228,6 +229,49 @@ def test_warc_rejects_magic_in_payloads(spark):
     assert sorted(map(tuple, rows), key=repr) == sorted(expected, key=repr)
 
 
+def test_warc_is_read_alike_however_it_is_split(spark):
+    """The second read of the archive finds its pieces when the files are split otherwise."""
+    fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    frame = spark.range(400).selectExpr(
+        "id AS page_id", "'u' AS url", f"concat(id, repeat('x', 1500), IF(id % 2 = 0, repeat('{fake}', 3), '')) AS html"
+    )
+    path = warc.write_warc(frame, scratch_path(spark, "warc"), records_per_file=60)
+    wanted = {r.page_id: hashlib.sha1(r.html.encode()).hexdigest() for r in frame.collect()}
+    split_payloads = warc._split_payloads
+    changed = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "64"}
+
+    def other_splits(*args):
+        before = {k: spark.conf.get(k, None) for k in changed}
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        try:
+            return keep(split_payloads(*args), "joined")
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    warc._split_payloads = other_splits
+    try:
+        rows = warc.read_warc(spark, path).collect()
+    finally:
+        warc._split_payloads = split_payloads
+    assert {r.page_id: r.payload_digest for r in rows} == wanted and len(rows) == 400
+
+
+def test_warc_moves_no_page_that_does_not_repeat(spark):
+    """Copies, repeated ids and pages without id; clashing columns change nothing."""
+    big = "y" * 1200
+    rows = [(i, "u", f"{i}" + big) for i in range(50)] + [(i, "u", big) for i in range(60, 90)]
+    rows += [(89, "u", big), (None, "u", big), (None, "u", big), (95, None, "z"), (96, None, "z"), (97, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plan = warc.plan_revisits(frame.selectExpr("*", "1 AS key", "2 AS last", "3 AS n", "4 AS may_be", "5 AS repeats"))
+    found = sorted((tuple(r) for r in plan.select("page_id", "html", "refers_to").collect()), key=repr)
+    wanted = [(i, h, None) for i, _, h in rows if not (h == big and i is not None and i < 89)]
+    wanted = [(i, h or "", r) for i, h, r in wanted] + [(i, None, 89) for i in range(60, 89)]
+    assert found == sorted(wanted, key=repr)
+    assert warc.plan_revisits(frame.limit(0)).count() == 0
+
+
 def test_url_rules_and_model(spark):
     rules = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/")]
     urls = [(1, "http://A.Example.NET/en/x?q#f"), (2, "http://example.net"), (3, None), (4, "no scheme"), (5, "x://notnet/"), (6, "https://net/a#b"), (6, "https://net/a#b")]
