@@ -1,12 +1,14 @@
 """Token ids in files: ids ranked by frequency, in a byte-aligned variable-length code.
 
 The most frequent id gets number 0, and so on. A number takes one to four bytes; how many
-stands in a separate control stream, two bits each, four to a control byte. Decoding looks
-up the lengths of each control byte in a table and puts the bytes in place by numpy.
+stands in a separate control stream, two bits each, four to a control byte; a document
+begins a new control byte. Decoding looks up the lengths of each control byte in a table and
+puts the bytes in place by numpy.
 
 A store is a folder with two Parquet tables, so that Spark commits and reads its files in
-any file system: `ranks` (rank, id, n) and `blocks`, one row for a run of documents in
-ascending doc_id order (part, block, tokens_before, doc_ids, sizes, control, data).
+any file system: `ranks` (rank, id, n) and `blocks`, one row for a run of documents (part,
+block, tokens_before, doc_ids, sizes, control, data). The files of `blocks`, by name, and the
+rows in each are in ascending doc_id order.
 """
 
 from itertools import product
@@ -23,7 +25,7 @@ by_value(__name__)
 
 BLOCK_TOKENS = 262_144
 # Text that is tokenized at one time; this bounds memory only.
-ENCODE_BYTES = 16_000_000
+ENCODE_BYTES = 8_000_000
 _LENGTHS = np.array(
     [codes[::-1] for codes in product((1, 2, 3, 4), repeat=4)], np.uint8
 )  # of the four numbers of each control byte, lowest bits first
@@ -40,114 +42,117 @@ def encode_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), numbers.view(np.uint8).reshape(-1, 4)[used].tobytes()
 
 
-def decode_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n numbers of a pair of streams."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    out = np.zeros((n, 4), np.uint8)
+def decode_numbers(control: bytes, data: bytes, sizes) -> np.ndarray:
+    """The numbers of runs that were encoded one by one, from their streams put together."""
+    sizes = np.atleast_1d(np.asarray(sizes, np.int64))
+    padded = -(-sizes // 4) * 4
+    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()
+    # Places behind the last number of a run only fill its control byte.
+    place = np.arange(len(lengths)) - np.repeat(np.cumsum(padded) - padded, padded)
+    lengths = lengths[place < np.repeat(sizes, padded)]
+    out = np.zeros((len(lengths), 4), np.uint8)
     out[np.arange(4) < lengths[:, None]] = np.frombuffer(data, np.uint8)
     return out.view("<u4").ravel()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Runs of tokenized documents in ascending doc_id order, ids as plain numbers."""
+    """(doc_id, tie, n, ids) of each row, ids as plain numbers of two or four bytes."""
 
     def work(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        block, before = 0, 0
-        doc_ids, held = [], []
-
-        def flush():
-            ids = np.concatenate(held)
-            small = ids.astype("<u2") if ids.max() < 65_536 else ids.astype("<u4")
-            return pa.RecordBatch.from_pydict(
-                {
-                    "part": [part],
-                    "block": [block],
-                    "tokens_before": [before],
-                    "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())),
-                    "sizes": pa.array([[len(h) for h in held]], pa.list_(pa.int64())),
-                    "ids": pa.array([small.tobytes()], pa.binary()),
-                },
-            ).cast(schema), len(ids)
-
-        schema = pa.schema(
-            [
-                ("part", pa.int32()),
-                ("block", pa.int32()),
-                ("tokens_before", pa.int64()),
-                ("doc_ids", pa.list_(pa.int64())),
-                ("sizes", pa.list_(pa.int64())),
-                ("ids", pa.binary()),
-            ]
-        )
-        waiting = 0
         for batch in batches:
             place = 0
-            names = batch["doc_id"].to_pylist()
             for some in text_slices(batch["text"], ENCODE_BYTES):
-                for ids in encoder(vocabulary).encode_all(some):
-                    doc_ids.append(names[place])
-                    held.append(ids)
-                    place += 1
-                    waiting += len(ids)
-                    if waiting >= BLOCK_TOKENS:
-                        out, n = flush()
-                        yield out
-                        block, before, waiting = block + 1, before + n, 0
-                        doc_ids, held = [], []
-        if held:
-            yield flush()[0]
-
-    dealt = (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(input_parts(docs.sparkSession), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
-    return dealt.mapInArrow(
-        work,
-        "part int, block int, tokens_before long, doc_ids array<long>, sizes array<long>, ids binary",
+                found = encoder(vocabulary).encode_all(some)
+                small = [ids.astype("<u2" if ids.max() < 65_536 else "<u4").tobytes() for ids in found]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["doc_id"].slice(place, len(some)),
+                        batch["tie"].slice(place, len(some)),
+                        pa.array([len(ids) for ids in found], pa.int64()),
+                        pa.array(small, pa.binary()),
+                    ],
+                    ["doc_id", "tie", "n", "ids"],
+                )
+                place += len(some)
+
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"),
+        "text",
     )
+    return own.mapInArrow(work, "doc_id long, tie long, n long, ids binary")
 
 
-def _plain_ids(row_ids: bytes, sizes: list[int]) -> np.ndarray:
-    wide = len(row_ids) == 4 * sum(sizes)
-    return np.frombuffer(row_ids, "<u4" if wide else "<u2")
+def _plain_ids(ids: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u4" if len(ids) == 4 * n else "<u2")
 
 
-def count_ids(blocks: DataFrame) -> DataFrame:
+def count_ids(documents: DataFrame) -> DataFrame:
     """(id, n) over all documents; counted inside each task first."""
 
     def work(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, sizes in zip(batch["ids"].to_pylist(), batch["sizes"].to_pylist()):
-                found = np.bincount(_plain_ids(ids, sizes))
-                if len(found) > len(total):
-                    found, total = total, found
-                total = total.copy()
-                total[: len(found)] += found
+            held = [_plain_ids(*row) for row in zip(batch["ids"].to_pylist(), batch["n"].to_pylist())]
+            found = np.bincount(np.concatenate(held)) if held else total[:0]
+            if len(found) > len(total):
+                found, total = total, found
+            total = total.copy()
+            total[: len(found)] += found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"]
         )
 
-    return blocks.select("ids", "sizes").mapInArrow(work, "id long, n long").groupBy("id").agg(
+    return documents.select("ids", "n").mapInArrow(work, "id long, n long").groupBy("id").agg(
         F.sum("n").alias("n")
     )
 
 
+_BLOCK_SCHEMA = (
+    "part int, block int, tokens_before long, doc_ids array<long>, sizes array<long>,"
+    " control binary, data binary"
+)
+
+
+def _blocks(batches):
+    """Rows of coded documents, in order, as blocks of about BLOCK_TOKENS tokens."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    block, before, held = 0, 0, []
+
+    def row():
+        doc_ids, sizes, control, data = zip(*held)
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        cells = [part, block, before, doc_ids, sizes, b"".join(control), b"".join(data)]
+        names = ["part", "block", "tokens_before", "doc_ids", "sizes", "control", "data"]
+        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names), sum(sizes)
+
+    waiting = 0
+    for batch in batches:
+        for document in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "control", "data"))):
+            held.append(document)
+            waiting += document[1]
+            if waiting >= BLOCK_TOKENS:
+                out, n = row()
+                yield out
+                block, before, held, waiting = block + 1, before + n, [], 0
+    if held:
+        yield row()[0]
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str) -> str:
     """Tokenize (doc_id, text) and write a store to `path`.
 
     Null texts are empty ones and hold the end id alone; rows that repeat a doc_id stay,
-    ordered by text; null doc_ids come first. Other columns are left out. An empty table
-    gives a store without blocks.
+    ordered by a hash of their text; null doc_ids come first. Other columns are left out. An
+    empty table gives a store without blocks. Texts are tokenized where they are read; only
+    coded ids are shuffled, and rows of one doc_id may go to several tasks.
     """
-    blocks = keep(encode_documents(docs, vocabulary), "ids")
+    documents = keep(encode_documents(docs, vocabulary), "ids")
     # At most one row for each id of the vocabulary.
-    counts = count_ids(blocks).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    counts = count_ids(documents).toPandas().sort_values(["n", "id"], ascending=[False, True])
     ids = counts["id"].to_numpy(np.int64)
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.uint32)
     rank_of[ids] = np.arange(len(ids), dtype=np.uint32)
@@ -157,26 +162,24 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str) -> str:
         f"{path}/ranks"
     )
 
-    def work(batches):
+    def code(batches):
         for batch in batches:
-            coded = [
-                encode_numbers(rank_of[_plain_ids(ids, sizes)])
-                for ids, sizes in zip(batch["ids"].to_pylist(), batch["sizes"].to_pylist())
-            ]
+            rows = zip(batch["ids"].to_pylist(), batch["n"].to_pylist())
+            coded = [encode_numbers(rank_of[_plain_ids(*row)]) for row in rows]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch[c] for c in ("part", "block", "tokens_before", "doc_ids", "sizes")),
+                    *(batch[c] for c in ("doc_id", "tie", "n")),
                     pa.array([c for c, _ in coded], pa.binary()),
                     pa.array([d for _, d in coded], pa.binary()),
                 ],
-                names=[*batch.schema.names[:5], "control", "data"],
+                names=["doc_id", "tie", "n", "control", "data"],
             )
 
-    blocks.mapInArrow(
-        work,
-        "part int, block int, tokens_before long, doc_ids array<long>, sizes array<long>,"
-        " control binary, data binary",
-    ).write.parquet(f"{path}/blocks")
+    coded = documents.mapInArrow(code, "doc_id long, tie long, n long, control binary, data binary")
+    # The tasks' ranges follow each other, and so do the names of the files they write.
+    coded.repartitionByRange(input_parts(spark), "doc_id", "tie").sortWithinPartitions(
+        "doc_id", "tie"
+    ).mapInArrow(_blocks, _BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
     return path
 
 
@@ -200,14 +203,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 sizes = np.array(row["sizes"])
                 ends = np.cumsum(sizes)
-                ranks = decode_numbers(row["control"], row["data"], int(ends[-1]))
-                ids = id_of[ranks].astype("<u4")
+                ids = id_of[decode_numbers(row["control"], row["data"], sizes)].astype("<u4")
+                raw, bounds = ids.tobytes(), 4 * np.append(0, ends)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
                         pa.array(row["part_start"] + row["tokens_before"] + ends - sizes),
                         pa.array(sizes, pa.int64()),
-                        pa.array([p.tobytes() for p in np.split(ids, ends[:-1])], pa.binary()),
+                        pa.LargeBinaryArray.from_buffers(
+                            pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]
+                        ).cast(pa.binary()),
                     ],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )

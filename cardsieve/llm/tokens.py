@@ -1,8 +1,6 @@
 """Token ids of whole texts by a public vocabulary file, for the operators that need them."""
 
 import os
-import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +26,18 @@ def vocabulary_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
-_LETTERS_MARKS = re.compile(
-    "( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@[-`{-~]*)"
-)
+
+
+# Runs of letters, with or without the space before them. They are one unit of the
+# pre-tokenizer, to which the merges alone apply.
+_LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+_MARKS = np.zeros(256, bool)
+_MARKS[[b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'")]] = True
+_ASCII_LETTERS = np.zeros(256, bool)
+_ASCII_LETTERS[[b for b in range(128) if chr(b).isalpha()]] = True
+# First bytes of two-byte letters, of which two code points are signs.
+_LEADS = np.zeros(256, bool)
+_LEADS[0xC3:0xC9] = True
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,13 +47,33 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(others) if b != 10}
 
 
+def _cuts(raw: np.ndarray) -> np.ndarray:
+    """Where no token of byte-level BPE can reach across, as a flag for each byte that
+    begins a unit: before a space or a run of line feeds, behind a single line feed, and
+    between letters and marks. Quotes that may begin a contraction are no marks here."""
+    begins = raw == 32
+    if len(raw) < 3:
+        return begins
+    # Letters of two bytes, seen from their first byte and from their last.
+    two = _LEADS[raw[:-1]] & ~((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)))
+    first = _ASCII_LETTERS[raw]
+    last = first.copy()
+    first[:-1] |= two
+    last[1:] |= two
+    mark = _MARKS[raw]
+    begins[1:] |= (last[:-1] & mark[1:]) | (mark[:-1] & first[1:])
+    feed = raw == 10
+    begins[1:] |= feed[1:] & ~feed[:-1]
+    begins[2:] |= feed[1:-1] & ~feed[2:] & ~feed[:-2]
+    return begins
+
+
 class Encoder:
     """Ids of texts, equal to those of `Tokenizer.encode(text, add_special_tokens=False)`.
 
-    No token of byte-level BPE spans the place before a single space that stands between
-    other characters: texts are cut there, each different piece is encoded once and
-    remembered, and the ids are put together by numpy. Texts with other white space or
-    with the name of a special token are encoded whole.
+    Texts are cut into units where no token of byte-level BPE spans the cut. Each different
+    unit is encoded once and remembered by its number; ids of texts are put together by
+    numpy. Texts with other white space or with the name of a special token are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -56,51 +83,82 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = "|".join([_ODD_SPACE, *[rf"\Q{name}\E" for name in names]])
-        self.known: dict[str, bytes] = {}
         self.merges = self.tokenizer.model
         self.byte_letters = _byte_letters()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces; letters and the marks behind them are tokens of their own."""
-        cut = {p: m.groups() for p in pieces if (m := _LETTERS_MARKS.fullmatch(p))}
-        plain = {p for p in pieces if p not in cut} | {marks for _, marks in cut.values()}
-        plain = [p for p in plain if p not in self.known]
-        found = self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)
-        for piece, encoding in zip(plain, found):
-            self.known[piece] = array("I", encoding.ids).tobytes()
-        # One run of letters is one unit of the pre-tokenizer: the merges alone apply to it.
-        stems = list({stem for stem, _ in cut.values()}.difference(self.known))
-        letters = "\n".join(stems).encode().decode("latin-1").translate(self.byte_letters)
-        for stem, units in zip(stems, letters.split("\n")):
-            ids = array("I", [token.id for token in self.merges.tokenize(units)])
-            self.known[stem] = ids.tobytes()
-        for piece, (stem, marks) in cut.items():
-            self.known[piece] = self.known[stem] + self.known[marks]
-
-    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of different pieces in one array, and where each one's begin."""
-        if len(self.known) + len(pieces) > REMEMBERED_PIECES:
-            self.known.clear()
-        self._learn([p for p in pieces if p not in self.known])
-        found = [self.known[p] for p in pieces]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.begins = np.zeros(1, np.int64)
+
+    def _letters(self, units: list[str]) -> list[str]:
+        """Units as byte-level BPE writes their bytes."""
+        text = "\n".join(units)
+        if text.isascii():
+            return text.replace(" ", self.byte_letters[32]).split("\n")
+        return text.encode().decode("latin-1").translate(self.byte_letters).split("\n")
+
+    def _learn(self, units: pa.Array) -> None:
+        """Encode new units and number them on."""
+        plain = pc.match_substring_regex(units, _LETTERS)
+        simple = pc.string_is_ascii(units)
+        flat, sizes, base = [], [], len(self.known)
+        order = []
+        merge = self.merges.tokenize
+        for ascii_only in (True, False):
+            some = units.filter(pc.and_(plain, simple if ascii_only else pc.invert(simple))).to_pylist()
+            for letters in self._letters(some) if some else ():
+                found = [token.id for token in merge(letters)]
+                flat += found
+                sizes.append(len(found))
+            order += some
+        others = units.filter(pc.invert(plain)).to_pylist()
+        for encoding in self.tokenizer.encode_batch_fast(others, add_special_tokens=False):
+            found = encoding.ids
+            flat += found
+            sizes.append(len(found))
+        order += others
+        self.known.update(zip(order, range(base, base + len(order))))
+        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
+        ends = self.begins[-1] + np.cumsum(np.array(sizes, np.int64))
+        self.begins = np.concatenate([self.begins, ends])
+
+    def _numbers(self, units: pa.Array) -> np.ndarray:
+        """The numbers of different units."""
+        if len(self.known) + len(units) > REMEMBERED_PIECES:
+            self._forget()
+        names, get = units.to_pylist(), self.known.get
+        found = np.fromiter((get(name, -1) for name in names), np.int64, len(names))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            self._learn(units.take(pa.array(new)))
+            found[new] = [self.known[names[i]] for i in new]
+        return found
 
     def _encode_plain(self, texts: pa.LargeStringArray) -> list[np.ndarray]:
-        lists = pc.split_pattern(texts, " ")
-        cut = lists.flatten().dictionary_encode()
-        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        # The first piece of a text has no space before it; all others have.
-        spaced = [" " + p for p in cut.dictionary.to_pylist()]
-        heads = pc.list_element(lists, 0).dictionary_encode()
-        ids, begins = self._ids(spaced + heads.dictionary.to_pylist())
-        which = cut.indices.to_numpy().astype(np.int64)
-        which[bounds[:-1]] = heads.indices.to_numpy().astype(np.int64) + len(spaced)
-        sizes = (begins[1:] - begins[:-1])[which]
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        first, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+        if not size:
+            return [np.zeros(0, np.uint32)] * len(texts)
+        offsets = offsets - first
+        data = texts.buffers()[2].slice(first, size)
+        begins = _cuts(np.frombuffer(data, np.uint8))
+        begins[offsets[:-1][offsets[:-1] < size]] = True
+        at = np.flatnonzero(begins)
+        units = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, size)), data]
+        )
+        units = units.cast(pa.large_string(), safe=False).dictionary_encode()
+        numbers = self._numbers(units.dictionary)
+        which = numbers[units.indices.to_numpy()]
+        sizes = self.begins[which + 1] - self.begins[which]
         ends = np.cumsum(sizes)
-        shift = np.repeat(begins[which] - (ends - sizes), sizes)
-        out = ids[shift + np.arange(len(shift))]
-        return np.split(out, ends[bounds[1:-1] - 1])
+        shift = np.repeat(self.begins[which] - (ends - sizes), sizes)
+        out = self.ids[shift + np.arange(len(shift))]
+        # Units before each text, and the ids of those.
+        before = np.searchsorted(at, offsets[1:-1])
+        return np.split(out, np.concatenate([[0], ends])[before])
 
     def encode_all(self, texts: pa.LargeStringArray) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit numbers, with the end id behind them."""

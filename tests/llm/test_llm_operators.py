@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -90,19 +92,53 @@ def test_number_code_round_trip(n):
     assert (token_store.decode_numbers(control, data, n) == numbers).all()
 
 
+def test_encoder_of_many_words_equals_the_library():
+    """Letters, marks, quotes and line feeds in all orders, and a memory that starts over."""
+    encoder, rng = Encoder(vocabulary_path()), random.Random(2)
+    parts = [*"abcXYZ,.;:!?()-_'\"#*1", "é", "ß", "×", "÷", "ɏ", "ɐ", "€", "’", "“", " ", " ", " ", "\n", "\n\n", "'re", "word", " Word", "n't"]
+    plain = Tokenizer.from_file(vocabulary_path())
+    for round in range(40):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(20)]
+        if round == 20:
+            encoder._forget()
+        column = pa.array(["skipped", *texts], pa.large_string())[1:]
+        for text, ids in zip(texts, encoder.encode_all(column), strict=True):
+            assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0], text
+
+
 def test_token_store_round_trip(spark, docs):
     path = token_store.write_tokens(docs, scratch_path(spark, "store"), vocabulary_path())
     rows = sorted(token_store.read_tokens(spark, path).collect(), key=lambda r: r.start)
     plain = Tokenizer.from_file(vocabulary_path())
-    texts = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
+    own = docs.selectExpr("*", "xxhash64(coalesce(text, '')) AS tie").collect()
+    own = sorted(own, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie))
     start = 0
-    for row, (_, doc_id, text) in zip(rows, texts, strict=True):
-        ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
-        assert (row.doc_id or 0, row.start, row.n_tokens) == (doc_id, start, len(ids))
+    for row, r in zip(rows, own, strict=True):
+        ids = [*plain.encode(r.text or "", add_special_tokens=False).ids, 0]
+        assert (row.doc_id, row.start, row.n_tokens) == (r.doc_id, start, len(ids))
         assert np.frombuffer(row.ids, "<u4").tolist() == ids
         start += len(ids)
 
 
+def test_token_store_files_are_in_order(spark, monkeypatch):
+    """By name, the files hold ascending doc_ids, whatever the sizes of their rows."""
+    monkeypatch.setattr(token_store, "BLOCK_TOKENS", 500)
+    rows = spark.range(900).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE 900 - id END AS doc_id",
+        "repeat(concat('w', id, ' '), CAST(id % 17 * 9 AS INT)) AS text",
+    )
+    path = token_store.write_tokens(rows, scratch_path(spark, "store"), vocabulary_path())
+    files = sorted(Path(path.removeprefix("file:"), "blocks").glob("part-*.parquet"))
+    assert len(files) > 3
+    tables = [pq.read_table(f) for f in files]
+    seen = [d for t in tables for block in t["doc_ids"].to_pylist() for d in block]
+    assert seen == sorted(seen) and len(seen) == 900
+    places = [x for t in tables for x in zip(t["part"].to_pylist(), t["block"].to_pylist())]
+    assert places == sorted(places)
+    # A doc_id of a third of the rows is spread over files.
+    assert sum(any(7 in block for block in t["doc_ids"].to_pylist()) for t in tables) > 1
+
+
 def test_packing_keeps_every_id_once(spark, docs):
     rows = packing.piece_checksums(packing.pack(docs, vocabulary_path())).collect()
     plain, by_sequence = Tokenizer.from_file(vocabulary_path()), {}
