@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -250,6 +251,21 @@ def test_secret_spans_equal_plain_code(spark, docs):
         assert [tuple(s) for s in r.secret_spans] == sorted(spans)
 
 
+def test_secret_scan_takes_time_in_proportion(spark):
+    """A run of a million characters, and a text of very many matches, in seconds."""
+    rng = random.Random(4)
+    run = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    many = "token=abcdefgh12 " * 30_000
+    frame = spark.createDataFrame([(1, "é " + run + " end"), (2, many)], "doc_id long, text string")
+    began = time.monotonic()
+    spans = {r.doc_id: r.secret_spans for r in secret_scan.scan_secrets(frame.repartition(2, "doc_id")).collect()}
+    assert time.monotonic() - began < 90
+    entropy = [(s.begin, s.stop) for s in spans[1] if s.kind == 4]
+    assert entropy and sum(b - a for a, b in entropy) > 900_000
+    assert all(2 <= a < b <= 1_000_002 for a, b in entropy)
+    assert [(s.begin, s.stop) for s in spans[2]] == [(17 * i, 17 * i + 16) for i in range(30_000)]
+
+
 def test_warc_rejects_magic_in_payloads(spark):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     big = "é" * 700
@@ -349,6 +365,65 @@ def test_contamination_equals_all_windows(spark, docs):
     assert left.count() == frame.count() - 5 and left.columns == frame.columns
 
 
+def test_contamination_equals_brute_force_over_all_windows(spark):
+    """Rotated, cut, shuffled, repeated and edited items in other text, all windows tried."""
+    rng = random.Random(11)
+    items = {i: [f"w{rng.randrange(400)}" for _ in range(rng.choice([5, 9, 20, 40, 60]))] for i in range(12)}
+    items[12] = ["the", "same", "few", "words"] * 8
+    items[13] = ["boiler", "plate", "text", "of", "all"] + items[3]
+    items[14] = ["boiler", "plate", "text", "of", "all"] + items[5][:30]
+    docs = {}
+    for d in range(160):
+        words = list(items[rng.randrange(15)])
+        kind = d % 8
+        if kind == 1:
+            cut = rng.randrange(len(words))
+            words = words[cut:] + words[:cut]
+        elif kind == 2:
+            words = words[rng.randrange(1 + len(words) // 8) : len(words) - rng.randrange(1 + len(words) // 8)]
+        elif kind == 3:
+            for _ in range(rng.randint(1, 3)):
+                words[rng.randrange(len(words))] = "changed"
+        elif kind == 4:
+            words = words * 2
+        elif kind == 5:
+            words.insert(rng.randrange(len(words)), "one more")
+        elif kind == 6:
+            rng.shuffle(words)
+        around = lambda: [f"x{rng.randrange(50)}" for _ in range(rng.choice([0, 0, 3, 30]))]
+        docs[d] = " ".join(around() + words + around())
+    # The case of a verdict: the end of an item followed by its beginning.
+    docs[900] = " ".join(["pre"] * 7 + items[4][10:] + items[4][:10] + ["post"] * 9)
+
+    def shingles(words):
+        return [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)]
+
+    wanted = {}
+    for d, text in docs.items():
+        own = shingles(text.split())
+        for i, words in items.items():
+            theirs = shingles(words)
+            m, n = len(theirs), len(own)
+            if (len(text.split()) < 5) != (len(words) < 5):
+                continue
+            for s in range(-m + 1, n):
+                window, item = Counter(own[max(s, 0) : s + m]), Counter(theirs)
+                similarity = sum((window & item).values()) / sum((window | item).values())
+                if similarity >= 0.8 and similarity > wanted.get((d, i), (0, 0))[0]:
+                    wanted[d, i] = similarity, max(s, 0)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    frame = frame.selectExpr("*", "1 AS n", "2 AS print", "3 AS item_id", "'k' AS key", "4 AS pairs")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    bench = bench.union(bench.limit(2)).selectExpr("*", "1 AS doc_id", "2 AS m", "3 AS shingle")
+    for how in (decontaminate.Decontaminate(), decontaminate.Decontaminate(most_broadcast=0)):
+        found = {(r.doc_id, r.item_id): (r.similarity, r.begin_word) for r in decontaminate.find_contamination(frame, bench, how).collect()}
+        assert len(wanted) > 70 and found.keys() == wanted.keys()
+        for pair, (similarity, begin) in wanted.items():
+            assert found[pair] == (pytest.approx(similarity, abs=1e-6), begin)
+    assert decontaminate.find_contamination(frame.limit(0), bench).count() == 0
+    assert decontaminate.find_contamination(frame, bench.limit(0)).count() == 0
+
+
 def test_elias_fano_lookups():
     rng = np.random.default_rng(5)
     values = np.sort(rng.integers(0, 10_000, 500)).astype(np.uint64)
