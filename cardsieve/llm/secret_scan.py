@@ -1,10 +1,13 @@
 """Secret scan by DataFrame functions only: three patterns, and sliding-window entropy.
 
 The patterns find assignments, access keys and long hex strings. The entropy method looks at
-every run of 20 or more key characters: a window moves over it, the counts of its characters
-change by one in and one out, and the sum of c * log2(c) follows from the two counts that
-changed. Windows above the threshold of their character class are joined to spans, unless
-the run is on the allow list.
+every run of 20 or more key characters: a window moves over it, one character goes and one
+comes, and the sum of c * log2(c) over the counts c of its characters follows from the two
+counts that change. Windows above the threshold of their character class are joined to
+spans, unless the run is on the allow list.
+
+Long texts take time in proportion to their length: characters and matches are looked up by
+place in arrays that are made once, and folds that collect results stop after `_FOLD` of them.
 """
 
 from dataclasses import dataclass
@@ -19,10 +22,10 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
+# Results that one fold collects, since it copies them with every step.
+_FOLD = 256
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_text")
 
-_KEY_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-
 
 @dataclass(frozen=True)
 class SecretScan:
@@ -41,20 +44,39 @@ class SecretScan:
     )
 
 
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL for `body` in which `name` is the value, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _running_sums(numbers: str) -> str:
+    """SQL for the sums of all numbers before each place, and behind the last one."""
+    n = f"size({numbers})"
+
+    def fold(begin: str, places: str, term: str) -> str:
+        return f"""aggregate({places}, named_struct('at', {begin}, 'out', CAST(array() AS array<bigint>)),
+            (s, j) -> named_struct('at', s.at + {term}, 'out', concat(s.out, array(s.at))), s -> s.out)"""
+
+    chunk = f"sequence(c, least(c + {_FOLD - 1}, {n} - 1))"
+    sums = f"transform(sequence(0, {n} - 1, {_FOLD}), c -> aggregate({chunk}, 0L, (t, j) -> t + {numbers}[j]))"
+    bases = _bound(sums, "sums", fold("0L", "sequence(0, size(sums) - 1)", "sums[j]"))
+    inner = fold("bases[k]", f"sequence(k * {_FOLD}, least(k * {_FOLD} + {_FOLD - 1}, {n} - 1))", f"{numbers}[j]")
+    return _bound(bases, "bases", f"flatten(transform(sequence(0, size(bases) - 1), k -> {inner}))")
+
+
 def _placed(text: str, pattern: str, group: int) -> str:
     """SQL for (begin, found, part) of every match: the rest of the text, cut at matches,
     tells where each one begins, in code points."""
-    return f"""
-        aggregate(
-            zip_with(split({text}, {pattern}, -1), arrays_zip(regexp_extract_all({text}, {pattern}, 0),
-                regexp_extract_all({text}, {pattern}, {group})),
-                (gap, m) -> named_struct('gap', gap, 'found', m['0'], 'part', m['1'])),
-            named_struct('at', 0L, 'out', CAST(array() AS array<struct<begin: bigint, found: string, part: string>>)),
-            (s, x) -> named_struct(
-                'at', s.at + length(x.gap) + coalesce(length(x.found), 0),
-                'out', CASE WHEN x.found IS NULL THEN s.out ELSE concat(s.out, array(named_struct(
-                    'begin', s.at + length(x.gap), 'found', x.found, 'part', x.part))) END),
-            s -> s.out)"""
+    cells = f"""
+        zip_with(split({text}, {pattern}, -1), arrays_zip(regexp_extract_all({text}, {pattern}, 0),
+            regexp_extract_all({text}, {pattern}, {group})),
+            (gap, m) -> named_struct('gap', CAST(length(gap) AS BIGINT), 'found', m['0'], 'part', m['1']))"""
+    lengths = "transform(cells, x -> x.gap + coalesce(length(x.found), 0))"
+    # The last gap has no match behind it.
+    found = f"""
+        zip_with(slice(cells, 1, size(cells) - 1), slice({_bound(lengths, 'sizes', _running_sums('sizes'))}, 1, size(cells) - 1),
+            (x, at) -> named_struct('begin', at + x.gap, 'found', x.found, 'part', x.part))"""
+    return _bound(cells, "cells", found)
 
 
 def _literal(text: str) -> str:
@@ -69,48 +91,54 @@ def _spans(kind: str, found: str, condition: str) -> str:
 
 
 def _entropy_spans(found: str, how: SecretScan) -> str:
-    """SQL for the spans of all candidate runs by both character classes."""
+    """SQL for the spans of all candidate runs by both character classes.
+
+    `codes` are the characters of a run; the window of place i begins there.
+    """
     w = how.window
     allowed = _literal("|".join(f"(?:{p})" for p in how.allowed))
-    log = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0D END"
-    count = "coalesce(get(s.counts, {0} - 1), 0)"
-    came, went = count.format("x.come"), count.format("x.go")
-    # One step: the character that leaves lowers its count, the one that comes raises its own.
-    down = f"CASE WHEN x.go = 0 THEN 0D ELSE {log.format(f'({went} - 1)')} - {log.format(went)} END"
-    now = f"({came} - CASE WHEN x.go = x.come THEN 1 ELSE 0 END)"
-    up = f"{log.format(f'({now} + 1)')} - {log.format(now)}"
-    step = f"""
-        named_struct(
-            'counts', transform(s.counts, (c, k) -> c + CASE WHEN k + 1 = x.come THEN 1 ELSE 0 END
-                - CASE WHEN k + 1 = x.go THEN 1 ELSE 0 END),
-            'sum', s.sum + ({down}) + ({up}), 'out', s.out)"""
-    join_window = f"""
-        named_struct('counts', s.counts, 'sum', s.sum, 'out',
-            CASE WHEN NOT (x.i >= {w} AND log2({w}D) - s.sum / {w} >= m.bits) THEN s.out
-                WHEN size(s.out) > 0 AND element_at(s.out, -1).hi >= x.i - {w} THEN
-                    concat(slice(s.out, 1, size(s.out) - 1),
-                        array(named_struct('lo', element_at(s.out, -1).lo, 'hi', x.i)))
-                ELSE concat(s.out, array(named_struct('lo', x.i - {w}, 'hi', x.i))) END)"""
-    # Two lambdas per step: the counts first, then what the window they describe says.
-    code = f"instr('{_KEY_CHARACTERS}', substring(m.found, {{0}}, 1))"
-    windows = f"""
-        aggregate(
-            transform(sequence(1, length(m.found)), i -> named_struct('i', i,
-                'come', {code.format('i')},
-                'go', CASE WHEN i > {w} THEN {code.format(f'i - {w}')} ELSE 0 END)),
-            named_struct('counts', array_repeat(0, {len(_KEY_CHARACTERS)}), 'sum', 0D,
-                'out', CAST(array() AS array<struct<lo: int, hi: int>>)),
-            (t, x) -> element_at(transform(transform(array(t), s -> {step}), s -> {join_window}), 1),
-            t -> t.out)"""
+
+    def count(code: str, first: str) -> str:
+        """How often a character stands in the window of a place."""
+        return f"aggregate(sequence({first}, {first} + {w - 1}), 0, (t, k) -> t + IF(get(codes, k) = {code}, 1, 0))"
+
+    def log(n: str) -> str:
+        return f"IF({n} > 0, {n} * log2({n}), 0D)"
+
+    whole = f"aggregate(sequence(i, i + {w - 1}), 0D, (u, j) -> u + log2({count('get(codes, j)', 'i')}))"
+    # One character goes and lowers its count, one comes and raises its own.
+    moved = _bound(
+        f"named_struct('go', {count('get(codes, i - 1)', 'i - 1')}, 'come', {count(f'get(codes, i + {w - 1})', 'i - 1')})",
+        "x",
+        f"s.sum - {log('x.go')} + {log('(x.go - 1)')} - {log('x.come')} + {log('(x.come + 1)')}",
+    )
+    same = f"get(codes, i - 1) = get(codes, i + {w - 1})"
+    step = _bound(
+        f"CASE WHEN i = c THEN {whole} WHEN {same} THEN s.sum ELSE {moved} END",
+        "now",
+        "named_struct('sum', now, 'out',"
+        f" IF(log2({w}D) - now / {w} >= m.bits - 1e-9, concat(s.out, array(i)), s.out))",
+    )
+    last = f"size(codes) - {w}"
+    starts = f"""
+        flatten(transform(sequence(0, {last}, {_FOLD}), c -> aggregate(
+            sequence(c, least(c + {_FOLD - 1}, {last})),
+            named_struct('sum', 0D, 'out', CAST(array() AS array<int>)),
+            (s, i) -> {step}, s -> s.out)))"""
+    # Windows that meet or overlap are one span.
+    spans = f"""
+        zip_with(filter(starts, (a, j) -> j = 0 OR a - starts[j - 1] > {w}),
+            filter(starts, (a, j) -> j = size(starts) - 1 OR starts[j + 1] - a > {w}),
+            (a, z) -> named_struct('begin', m.begin + a, 'kind', m.kind, 'stop', m.begin + z + {w}))"""
+    codes = "transform(filter(split(m.found, ''), x -> x <> ''), x -> ascii(x))"
+    windows = _bound(codes, "codes", _bound(starts, "starts", spans))
     classed = f"""
         transform(filter({found}, m -> NOT m.found RLIKE {allowed}), m -> named_struct(
             'begin', m.begin, 'found', m.found,
             'kind', CASE WHEN m.found RLIKE '^[0-9a-fA-F]+$' THEN {KINDS.index('entropy_hex')}
                 ELSE {KINDS.index('entropy_text')} END,
             'bits', CASE WHEN m.found RLIKE '^[0-9a-fA-F]+$' THEN {how.hex_bits}D ELSE {how.text_bits}D END))"""
-    return f"""
-        flatten(transform({classed}, m -> transform({windows}, r -> named_struct(
-            'begin', m.begin + r.lo, 'kind', m.kind, 'stop', m.begin + r.hi))))"""
+    return f"flatten(transform({classed}, m -> {windows}))"
 
 
 def scan_secrets(docs: DataFrame, how: SecretScan = SecretScan()) -> DataFrame:
