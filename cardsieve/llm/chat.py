@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardsieve.llm.common import by_value, input_parts, keep, with_dense_index
+from cardsieve.llm.components import component_labels
 
 by_value(__name__)
 
@@ -53,15 +54,50 @@ def chain_replies(rows: DataFrame) -> DataFrame:
     )
 
 
-def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
+def one_row_a_message(messages: DataFrame) -> DataFrame:
+    """The columns of a message, one row for each msg_id: repeated rows are one, of unlike ones
+    the least by its columns stays. Rows without msg_id and other columns go."""
+    known = ("conv_id", "parent_id", "role", "text", "score")
+    others = [c for c in known if c in messages.columns]
+    found = messages.where("msg_id IS NOT NULL").groupBy("msg_id")
+    return found.agg(F.min(F.struct(*others)).alias("row")).select("msg_id", "row.*")
+
+
+def _circle_heads(jump: DataFrame, first: DataFrame) -> DataFrame:
+    """(msg_id) of the least message of each circle, from jumps longer than any way to a root:
+    they end on circles only, and on every message of those."""
+    on = jump.where("up IS NOT NULL").select(F.col("up").alias("msg_id")).distinct()
+    edges = first.join(on, "msg_id").select(F.col("msg_id").alias("a"), F.col("up").alias("b"))
+    labels = component_labels(edges).withColumnRenamed("node", "msg_id")
+    # A message that answers itself is a circle of its own and has no label.
+    return on.join(labels, "msg_id", "left").where("label IS NULL OR label = msg_id").select("msg_id")
+
+
+def best_paths(messages: DataFrame, paths: int = 1, unique: bool = False) -> DataFrame:
     """The messages of each conversation's `paths` best root-to-leaf paths.
 
     Adds path (1 is best) and place (0 is the root). A path's score is the sum of its
-    messages' scores; equal scores are ordered by the leaf's msg_id, null scores count 0.
-    msg_id is unique; a message whose parent is not there is a root of its own.
+    messages' scores; equal scores are ordered by the leaf's msg_id, null scores count 0. A
+    message whose parent is not there is a root of its own. Where messages answer each other
+    in a circle, the least msg_id of the circle is its root. Unless `unique` says that every
+    msg_id stands in one row, `one_row_a_message` comes first.
     """
+    if not unique:
+        messages = keep(one_row_a_message(messages), "messages")
     score = F.coalesce("score", F.lit(0.0)).alias("score")
     nodes = messages.select("conv_id", "msg_id", "parent_id", score)
+    found = _jumps(nodes)
+    if found[-1].where("up IS NOT NULL").isEmpty():
+        return _chosen(messages, found, paths)
+    heads = keep(_circle_heads(found[-1], found[0]), "heads").withColumn("head", F.lit(True))
+    parent = F.when(F.col("head").isNull(), F.col("parent_id")).alias("parent_id")
+    opened = nodes.join(heads, "msg_id", "left").select("conv_id", "msg_id", parent, "score")
+    return _chosen(messages, _jumps(opened), paths)
+
+
+def _jumps(nodes: DataFrame) -> list[DataFrame]:
+    """(conv_id, msg_id, up, place, score, above): each message's ancestor 1, 2, 4, ... steps
+    up, until no way to a root can be longer."""
     known = nodes.select(F.col("msg_id").alias("up"), F.lit(True).alias("there"))
     jump = nodes.join(known, nodes["parent_id"] == known["up"], "left").select(
         "conv_id",
@@ -72,7 +108,8 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
         F.lit(0.0).alias("above"),
     )
     levels = [keep(jump, "jump")]
-    while not levels[-1].where("up IS NOT NULL").isEmpty():
+    rounds = levels[0].count().bit_length()
+    while len(levels) <= rounds and not levels[-1].where("up IS NOT NULL").isEmpty():
         one = levels[-1]
         two = one.select(
             F.col("msg_id").alias("mid"),
@@ -93,6 +130,11 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
                 "jump",
             )
         )
+    return levels
+
+
+def _chosen(messages: DataFrame, levels: list[DataFrame], paths: int) -> DataFrame:
+    """The messages on the way from the best leaves to their roots."""
     done = levels[-1]
     parents = levels[0].where("up IS NOT NULL").select(F.col("up").alias("msg_id"))
     leaves = done.join(parents, "msg_id", "left_anti").withColumn(

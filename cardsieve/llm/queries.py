@@ -68,7 +68,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", ESCAPED_TURN), (-1, 1, "assistant", ESCAPED_TURN)], own.schema
     )
     messages = chat.chain_replies(own.union(added))
-    formatted = keep(chat.format_paths(chat.best_paths(messages)), "formatted")
+    formatted = keep(chat.format_paths(chat.best_paths(messages, unique=True)), "formatted")
     return chat.conversation_digests(chat.parse_formatted(formatted)).drop("path")
 
 
