@@ -125,24 +125,28 @@ def compare_runs(
     """One row per comparison and step, one column of seconds per label; null where a run
     lacks the step. The TOTAL row holds the durations, the last column the most seconds of
     any label that is not listed."""
-    named = F.when(F.col("label").isin(*labels), F.col("label")).otherwise(OTHER_LABEL)
-    # The fallback to the wall time is taken per run, before runs of one label meet.
-    shown = _durations(runs, parsed).select("run", "comparison", "label", "duration")
-    steps = shown.join(step_times(parsed), "run").select(
-        "comparison", "step", "label", "seconds"
+    # Each run asks for its steps and for its totals, so that the log is parsed and joined
+    # once, and a run without totals still has a row that takes the wall time.
+    asked = comparable_runs(runs).withColumn(
+        "is_total", F.explode(F.array(F.lit(False), F.lit(True)))
     )
-    totals = shown.select(
+    found = asked.join(
+        parsed.withColumn("is_total", F.col("step").isNull()), ["run", "is_total"], "left"
+    ).where(F.col("is_total") | F.col("step").isNotNull())
+    named = F.when(F.col("label").isin(*labels), F.col("label")).otherwise(OTHER_LABEL)
+    shown = found.select(
         "comparison",
-        F.lit(TOTAL_STEP).alias("step"),
-        "label",
-        F.col("duration").alias("seconds"),
+        F.when(F.col("is_total"), TOTAL_STEP).otherwise(F.col("step")).alias("step"),
+        named.alias("label"),
+        F.when(F.col("is_total"), F.coalesce("total_duration", "wall_time"))
+        .otherwise(F.col("seconds"))
+        .alias("seconds"),
     )
-    return (
-        steps.unionByName(totals)
-        .withColumn("label", named)
-        .groupBy("comparison", "step")
-        .pivot("label", list(dict.fromkeys([*labels, OTHER_LABEL])))
-        .agg(F.max("seconds"))
+    return shown.groupBy("comparison", "step").agg(
+        *[
+            F.max(F.when(F.col("label") == label, F.col("seconds"))).alias(label)
+            for label in dict.fromkeys([*labels, OTHER_LABEL])
+        ]
     )
 
 
