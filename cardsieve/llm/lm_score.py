@@ -1,15 +1,17 @@
-"""Language-model scores: a bigram model in Elias-Fano tries, dealt over shards.
-
-Documents are cut into chunks of about a million tokens. A chunk sends its different words
-and bigrams, with their training counts, to shards of the hash range. A shard sums the counts
-of all chunks, builds its trie level with quantised smoothed probabilities, answers the
-chunk's own bigrams from it, and sends one byte for each back. So the model may grow with the
-corpus: no task or driver ever holds more than one shard of it. Contexts that alone would
-outgrow a shard are split by successor.
-
-The model is P(w | v) = c(vw) / (c(v) + mu) + mu / (c(v) + mu) * P(w), P(w) being the base.
-Both fractions are kept as codes of 1/25 decade, so a word's log10 probability is off by at
-most 0.02 from the unquantised one, down to 1e-10.
+"""Language-model scores: a trigram model in Elias-Fano tries, dealt over shards.
+
+Documents are cut into chunks of about a million tokens. A chunk sends its different words,
+pairs and triples of words, with their training counts, to shards of the first word's hash
+range. A shard sums the counts of all chunks, builds its trie with quantised smoothed
+probabilities in one memory map, answers the chunks' pairs and triples from it, and sends one
+byte for each back. So the model may grow with the corpus: no task or driver ever holds more
+than one shard of it. Words that alone would outgrow a shard are split by successor, and pairs
+of two such words by theirs.
+
+The model is P(x | v, w) = (c(vwx) + nu P(x | w)) / (c(vw) + nu), over
+P(x | w) = (c(wx) + mu P(x)) / (c(w) + mu), P(x) being the base. The fractions c / (c + mu)
+and mu / (c + mu) are kept as codes of 1/25 decade, so a word's log10 probability is off by at
+most 0.04 from the unquantised one, down to 1e-10.
 """
 
 from dataclasses import dataclass
@@ -30,23 +32,23 @@ from cardsieve.llm.common import (
     split_words,
     text_slices,
 )
-from cardsieve.llm.elias_fano import TrieLevel
+from cardsieve.llm.elias_fano import ABSENT, Trie, numbers
 from cardsieve.llm.token_store import decode_numbers, encode_numbers
 
 by_value(__name__)
 
 # The end token and the context of a first word: hashes that no word is given.
 _END, _BEGIN = np.uint64(1), np.uint64(2)
-_ABSENT = 255
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Settings: `mu` is the weight of the base, sizes bound the memory of a task."""
+    """Settings: `mu` is the weight of the base, `nu` that of pairs; sizes bound a task's memory."""
 
     mu: float = 20.0
+    nu: float = 20.0
     chunk_tokens: int = 1_000_000
-    shard_tokens: int = 4_000_000
+    shard_tokens: int = 3_000_000
 
 
 def _chunks(docs: DataFrame, how: LanguageModel) -> DataFrame:
@@ -189,8 +191,14 @@ def _word_counts(chunks: DataFrame, shards: int, hot: int) -> DataFrame:
     )
 
 
-class Pairs:
-    """The different bigrams of a chunk, ordered by shard, context and word."""
+class Ngrams:
+    """The different pairs and triples of a chunk's tokens, as they are dealt over shards.
+
+    `pair` are the pairs by shard, context and word. A pair of two hot words is there once for
+    each shard that its triples are split over; every chunk sends it to all of those, so each
+    has its whole count. `triple` are the triples in the order of their pairs in `pair`, and
+    `runs` says how many each of those has.
+    """
 
     def __init__(self, row: dict, shards: int, hot: dict[int, int], hot_size: int):
         words = np.frombuffer(row["words"], np.uint64)
@@ -200,48 +208,83 @@ class Pairs:
         place[order] = np.arange(len(words))
         self.words = words[order]
         self.tokens = place[decode_numbers(row["control"], row["data"], int(self.sizes.sum()))]
+        learned = np.repeat(~np.array(row["held"], bool), self.sizes)
+        firsts = np.cumsum(self.sizes) - self.sizes
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.words, _BEGIN)
-        keys, self.place = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
+        before[firsts] = np.searchsorted(self.words, _BEGIN)
+        keys, self.pair_of = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
         self.context, self.word = keys // len(self.words), keys % len(self.words)
-        learned = np.repeat(~np.array(row["held"], bool), self.sizes)
-        self.counts = np.bincount(self.place[learned], minlength=len(keys))
-        shard = _shard_of(self.words, shards)[self.context]
+        self.pair_counts = np.bincount(self.pair_of[learned], minlength=len(keys))
+        # A text's first token has no pair before it, so it ends no triple.
+        self.later = np.ones(len(self.tokens), bool)
+        self.later[firsts] = False
+        third = np.flatnonzero(self.later)
+        keys, self.triple_of = np.unique(
+            self.pair_of[third - 1] * len(self.words) + self.tokens[third], return_inverse=True
+        )
+        owner, self.third = keys // len(self.words), keys % len(self.words)
+        self.triple_counts = np.bincount(self.triple_of[learned[third]], minlength=len(keys))
+
+        ways = np.ones(len(self.words), np.int64)
         for word, count in hot.items():
             at = np.searchsorted(self.words, np.uint64(word))
             if at < len(self.words) and self.words[at] == word:
-                b, e = np.searchsorted(self.context, [at, at + 1])
-                ways = min(shards, -(-count // hot_size))
-                shard[b:e] += (mix(self.words[self.word[b:e]]) % np.uint64(ways)).astype(np.int64)
-        self.order = np.argsort(shard % shards, kind="stable")
-        self.shard = (shard % shards)[self.order]
-
-
-def _bigram_codes(
+                ways[at] = min(shards, -(-count // hot_size))
+        spread = mix(self.words)
+        shard = _shard_of(self.words, shards)[self.context]
+        shard += (spread[self.word] % ways.astype(np.uint64)[self.context]).astype(np.int64)
+        times = np.minimum(ways[self.context], ways[self.word])
+        begin = np.cumsum(times) - times
+        copies = np.repeat(np.arange(len(times)), times)
+        shard = (shard[copies] + np.arange(len(copies)) - begin[copies]) % shards
+        order = np.argsort(shard, kind="stable")
+        self.pair, self.shard = copies[order], shard[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        way = (spread[self.third] % times.astype(np.uint64)[owner]).astype(np.int64)
+        place = place[begin[owner] + way]
+        self.triple = np.argsort(place, kind="stable")
+        self.runs = np.bincount(place, minlength=len(order))
+
+
+def _ngram_codes(
     chunks: DataFrame, shards: int, hot: dict[int, int], hot_size: int, how: LanguageModel
 ) -> DataFrame:
-    """Per chunk and shard: a code for each of the chunk's bigrams and one for its context."""
+    """Per chunk and shard: codes of its pairs and triples and of what their contexts leave."""
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                pairs = Pairs(row, shards, hot, hot_size)
-                context, word, counts = (
-                    x[pairs.order] for x in (pairs.context, pairs.word, pairs.counts)
-                )
-                for shard, b, e in _cuts(pairs.shard, shards):
-                    heads = np.flatnonzero(np.diff(context[b:e], prepend=-1))
-                    runs = np.diff(np.append(heads, e - b))
-                    tops = pairs.words[word[b:e]].view(np.uint8).reshape(-1, 8)[:, 3:]
-                    control, data = encode_numbers(counts[b:e].astype(np.uint32))
+                own = Ngrams(row, shards, hot, hot_size)
+                ends = np.append(0, np.cumsum(own.runs))
+                for shard, b, e in _cuts(own.shard, shards):
+                    pair, triple = own.pair[b:e], own.triple[ends[b] : ends[e]]
+                    heads = np.flatnonzero(np.diff(own.context[pair], prepend=-1))
+                    used, which, times = np.unique(
+                        np.append(own.word[pair], own.third[triple]),
+                        return_inverse=True,
+                        return_counts=True,
+                    )
+                    # Frequent words get small numbers, which take one byte.
+                    order = np.argsort(-times, kind="stable")
+                    rank = np.empty(len(order), np.int64)
+                    rank[order] = np.arange(len(order))
+                    coded = (
+                        np.diff(np.append(heads, e - b)),
+                        own.runs[b:e],
+                        rank[which],
+                        own.pair_counts[pair],
+                        own.triple_counts[triple],
+                    )
+                    control, data = encode_numbers(np.concatenate(coded))
                     yield pa.RecordBatch.from_pydict(
                         {
                             "shard": pa.array([shard], pa.int64()),
                             "chunk": pa.array([row["chunk"]], pa.int64()),
-                            "contexts": [pairs.words[context[b:e][heads]].tobytes()],
-                            "runs": [runs.astype("<u4").tobytes()],
-                            "words": [tops.tobytes()],
+                            "sizes": pa.array([[len(c) for c in coded]], pa.list_(pa.int64())),
+                            "contexts": [own.words[own.context[pair[heads]]].tobytes()],
+                            "words": [own.words[used[order]].tobytes()],
                             "control": [control],
                             "data": [data],
                         }
@@ -249,63 +292,126 @@ def _bigram_codes(
 
     def answer(batches):
         for group in sorted_groups(batches, ["shard"]):
-            rows = group.to_pylist()
-            asked = []
-            for row in rows:
-                runs = np.frombuffer(row["runs"], "<u4")
-                words = np.zeros((int(runs.sum()), 8), np.uint8)
-                words[:, :5] = np.frombuffer(row["words"], np.uint8).reshape(-1, 5)
-                asked.append((np.frombuffer(row["contexts"], np.uint64), runs, words.view("<u8").ravel()))
-            contexts = np.unique(np.concatenate([a[0] for a in asked]))
-            keys = []
-            for own, runs, words in asked:
-                number = np.repeat(np.searchsorted(contexts, own), runs).astype(np.uint64)
-                keys.append((number << np.uint64(40)) | words)
-            counts = np.concatenate(
-                [decode_numbers(r["control"], r["data"], len(k)) for r, k in zip(rows, keys)]
-            ).astype(np.int64)
-            flat = np.concatenate(keys)
-            learned = np.flatnonzero(counts)
-            entries, place = np.unique(flat[learned], return_inverse=True)
-            total = np.bincount(place, counts[learned], len(entries))
-            number = (entries >> np.uint64(40)).astype(np.int64)
-            base = np.bincount(number, total, len(contexts))
-            for word, count in hot.items():
-                at = np.searchsorted(contexts, np.uint64(word))
-                if at < len(contexts) and contexts[at] == word:
-                    base[at] = count
-            mask = np.uint64((1 << 40) - 1)
-            level = TrieLevel(
-                number, entries & mask, _code(total / (base[number] + how.mu)), len(contexts)
-            )
-            weight = _code(how.mu / (base + how.mu))
-            for row, (own, _, _), key in zip(rows, asked, keys):
-                at = (key >> np.uint64(40)).astype(np.int64)
-                heads = np.searchsorted(contexts, own)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "chunk": pa.array([row["chunk"]], pa.int64()),
-                        "shard": pa.array([row["shard"]], pa.int64()),
-                        "codes": [level.lookup(at, key & mask, _ABSENT).tobytes()],
-                        "weights": [weight[heads].tobytes()],
-                    }
-                )
+            yield from _answers(group, hot, how)
 
     requests = chunks.select("chunk", "sizes", "held", "words", "control", "data").mapInArrow(
         ask,
-        "shard long, chunk long, contexts binary, runs binary, words binary, control binary,"
-        " data binary",
+        "shard long, chunk long, sizes array<long>, contexts binary, words binary,"
+        " control binary, data binary",
     )
     return _dealt(requests).mapInArrow(
-        answer, "chunk long, shard long, codes binary, weights binary"
+        answer,
+        "chunk long, shard long, weights binary, pairs binary, pair_weights binary, triples binary",
+    )
+
+
+def _answers(group: pa.Table, hot: dict[int, int], how: LanguageModel):
+    """Builds one shard's trie from all requests, then answers each."""
+    lists = [
+        np.frombuffer(b"".join(group[c].to_pylist()), np.uint64) for c in ("contexts", "words")
+    ]
+    contexts, words = map(np.unique, lists)
+    width = len(words)
+    asked = []
+    for sizes, context, word, control, data in zip(
+        *(group[c].to_pylist() for c in ("sizes", "contexts", "words", "control", "data"))
+    ):
+        found = decode_numbers(control, data, sum(sizes))
+        runs, later, which, n_pairs, n_triples = np.split(found, np.cumsum(sizes)[:-1])
+        own = np.searchsorted(words, np.frombuffer(word, np.uint64))[which]
+        heads = np.searchsorted(contexts, np.frombuffer(context, np.uint64))
+        keys = np.repeat(heads, runs) * width + own[: len(n_pairs)]
+        asked.append((heads, keys, later, own[len(n_pairs) :].astype(np.uint32), n_pairs, n_triples))
+    del lists
+    pairs, pair_of = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
+    total = np.bincount(pair_of, np.concatenate([a[4] for a in asked]), len(pairs)).astype(np.int64)
+    pair_of = np.split(pair_of, np.cumsum([len(a[1]) for a in asked])[:-1])
+    keys = [np.repeat(of, a[2]) * width + a[3] for of, a in zip(pair_of, asked)]
+    triples, triple_of = np.unique(np.concatenate(keys), return_inverse=True)
+    triple_of = np.split(triple_of, np.cumsum([len(k) for k in keys])[:-1])
+    del keys
+    counts = np.zeros(len(triples), np.int64)
+    for of, a in zip(triple_of, asked):
+        counts[of] += a[5]
+    base = np.bincount(pairs // width, total, len(contexts)).astype(np.int64)
+    for word, count in hot.items():
+        at = np.searchsorted(contexts, np.uint64(word))
+        if at < len(contexts) and contexts[at] == word:
+            base[at] = count
+    trie = _build(contexts, base, words, pairs, total, triples, counts, how).mapped()
+    del base, total, counts
+
+    root, word = numbers(contexts, trie.roots), numbers(words, trie.words)
+    weights = _at(trie.root_weights, root, 0)
+    place = _places(trie.pairs, root[pairs // width], word[pairs % width])
+    codes = [_at(trie.pair_codes, place, ABSENT), _at(trie.pair_weights, place, 0)]
+    place = _places(trie.triples, place[triples // width], word[triples % width])
+    triple_codes = _at(trie.triple_codes, place, ABSENT)
+    for chunk, shard, a, of, last in zip(
+        group["chunk"].to_pylist(), group["shard"].to_pylist(), asked, pair_of, triple_of
+    ):
+        yield pa.RecordBatch.from_pydict(
+            {
+                "chunk": pa.array([chunk], pa.int64()),
+                "shard": pa.array([shard], pa.int64()),
+                "weights": [weights[a[0]].tobytes()],
+                "pairs": [codes[0][of].tobytes()],
+                "pair_weights": [codes[1][of].tobytes()],
+                "triples": [triple_codes[last].tobytes()],
+            }
+        )
+
+
+def _build(contexts, base, words, pairs, total, triples, counts, how: LanguageModel) -> Trie:
+    """The trie of what has training counts; keys are (number, word number) in one number."""
+    width = len(words)
+    roots, learned = np.flatnonzero(base), np.flatnonzero(total)
+    pairs, total = pairs[learned], total[learned]
+    third = np.flatnonzero(counts)
+    triples, counts = triples[third], counts[third]
+    used = np.unique(np.append(pairs % width, triples % width))
+    owner = np.searchsorted(learned, triples // width)
+    root = np.searchsorted(roots, pairs // width)
+    return Trie.build(
+        contexts[roots],
+        words[used],
+        (root, np.searchsorted(used, pairs % width)),
+        (owner, np.searchsorted(used, triples % width)),
+        (
+            _code(how.mu / (base[roots] + how.mu)),
+            _code(total / (base[roots][root] + how.mu)),
+            _code(how.nu / (total + how.nu)),
+            _code(counts / (total[owner] + how.nu)),
+        ),
     )
 
 
+def _places(level, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Places of ascending queries, -1 where the context, the word or the entry is unknown."""
+    out = np.full(len(context), -1, np.int64)
+    known = np.flatnonzero((context >= 0) & (word >= 0))
+    out[known] = level.places(context[known], word[known])
+    return out
+
+
+def _at(codes: np.ndarray, place: np.ndarray, absent: int) -> np.ndarray:
+    out = np.full(len(place), absent, np.uint8)
+    out[place >= 0] = codes[place[place >= 0]]
+    return out
+
+
 def _code(share: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.clip(np.rint(-25 * np.log10(share)), 0, 254).astype(np.uint8)
 
 
+def _back(order: np.ndarray, values: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Values that came in some order of n-grams, for the n-gram of each token."""
+    out = np.empty(int(order.max()) + 1 if len(order) else 0)
+    out[order] = values
+    return out[which]
+
+
 def score_documents(docs: DataFrame, how: LanguageModel = LanguageModel()) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -333,37 +439,37 @@ def score_documents(docs: DataFrame, how: LanguageModel = LanguageModel()) -> Da
         different += row["different"]
         words = np.frombuffer(row["hot_words"], np.uint64).tolist()
         hot.update(zip(words, np.frombuffer(row["totals"], "<i8").tolist()))
-    codes = keep(_bigram_codes(chunks, shards, hot, hot_size, how), "codes")
+    codes = keep(_ngram_codes(chunks, shards, hot, hot_size, how), "codes")
     scale = train_tokens + 0.5 * (different + 1)
 
     def work(batches):
         decoded = np.append(10.0 ** (-np.arange(255) / 25), 0.0)
         for batch in batches:
             for row in batch.to_pylist():
-                pairs = Pairs(row, shards, hot, hot_size)
+                own = Ngrams(row, shards, hot, hot_size)
                 known = np.frombuffer(b"".join(x["totals"] for x in row["known"]), "<i8")
-                codes, weights = (
-                    np.frombuffer(b"".join(x[c] for x in row["coded"]), np.uint8)
-                    for c in ("codes", "weights")
+                weights, pairs, pair_weights, triples = (
+                    decoded[np.frombuffer(b"".join(x[c] for x in row["coded"]), np.uint8)]
+                    for c in ("weights", "pairs", "pair_weights", "triples")
                 )
-                # One weight came for each context of each shard, one code for each bigram.
-                context = pairs.context[pairs.order]
+                # One weight came for each context of each shard, one code for each pair.
+                context = own.context[own.pair]
                 fresh = np.diff(context, prepend=-1) != 0
-                fresh |= np.diff(pairs.shard, prepend=-1) != 0
-                base = ((known + 0.5) / scale)[pairs.tokens]
-                found = []
-                for own in (codes, weights[np.cumsum(fresh) - 1]):
-                    values = np.empty(len(pairs.order))
-                    values[pairs.order] = decoded[own]
-                    found.append(values[pairs.place])
-                score = np.log10(found[0] + found[1] * base)
-                starts = np.cumsum(pairs.sizes) - pairs.sizes
+                fresh |= np.diff(own.shard, prepend=-1) != 0
+                base = ((known + 0.5) / scale)[own.tokens]
+                chance = _back(own.pair, pairs, own.pair_of)
+                chance += _back(own.pair, weights[np.cumsum(fresh) - 1], own.pair_of) * base
+                third = np.flatnonzero(own.later)
+                before = _back(own.pair, pair_weights, own.pair_of[third - 1])
+                chance[third] = _back(own.triple, triples, own.triple_of) + before * chance[third]
+                score = np.log10(chance)
+                starts = np.cumsum(own.sizes) - own.sizes
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
                         pa.array(row["held"], pa.bool_()),
-                        pa.array(pairs.sizes, pa.int64()),
-                        pa.array(np.add.reduceat((known > 0)[pairs.tokens].astype(np.int64), starts)),
+                        pa.array(own.sizes, pa.int64()),
+                        pa.array(np.add.reduceat((known > 0)[own.tokens].astype(np.int64), starts)),
                         pa.array(np.full(len(starts), train_tokens), pa.int64()),
                         pa.array(np.add.reduceat(np.log10(base), starts)),
                         pa.array(np.add.reduceat(score, starts)),
@@ -375,7 +481,7 @@ def score_documents(docs: DataFrame, how: LanguageModel = LanguageModel()) -> Da
         F.sort_array(F.collect_list(F.struct("shard", "totals"))).alias("known")
     )
     coded = codes.groupBy("chunk").agg(
-        F.sort_array(F.collect_list(F.struct("shard", "codes", "weights"))).alias("coded")
+        F.sort_array(F.collect_list(F.struct("shard", "weights", "pairs", "pair_weights", "triples"))).alias("coded")
     )
     joined = chunks.join(known, "chunk").join(coded, "chunk")
     return joined.select("doc_ids", "held", "sizes", "words", "control", "data", "known", "coded").mapInArrow(
