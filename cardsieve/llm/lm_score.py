@@ -1,6 +1,6 @@
 """Language-model scores: a trigram model in Elias-Fano tries, dealt over shards.
 
-Documents are cut into chunks of about a million tokens. A chunk sends its different words,
+Documents are cut into chunks of about two million tokens. A chunk sends its different words,
 pairs and triples of words, with their training counts, to shards of the first word's hash
 range. A shard sums the counts of all chunks, builds its trie with quantised smoothed
 probabilities in one memory map, answers the chunks' pairs and triples from it, and sends one
@@ -47,7 +47,7 @@ class LanguageModel:
 
     mu: float = 20.0
     nu: float = 20.0
-    chunk_tokens: int = 1_000_000
+    chunk_tokens: int = 2_000_000
     shard_tokens: int = 3_000_000
 
 
@@ -135,6 +135,30 @@ def _cuts(sorted_shards: np.ndarray, shards: int):
         yield int(sorted_shards[begin]), int(begin), int(end)
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Numbers of fixed sizes, byte by byte of all of an array, compressed."""
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) for a in arrays]
+    return pa.Codec("zstd").compress(b"".join(p.tobytes() for p in planes), asbytes=True)
+
+
+def _unpack(data: bytes, sizes: list[int], kinds: str) -> list[np.ndarray]:
+    """The arrays again; `kinds` has a NumPy letter for each."""
+    kinds = [np.dtype(f"<{kind}") for kind in kinds.split()]
+    whole = sum(size * kind.itemsize for size, kind in zip(sizes, kinds))
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, whole), np.uint8)
+    out, at = [], 0
+    for size, kind in zip(sizes, kinds):
+        planes = raw[at : at + size * kind.itemsize].reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size * kind.itemsize
+    return out
+
+
+def _steps(hashes: np.ndarray) -> np.ndarray:
+    """What each of some ascending hashes adds to the one before; `np.cumsum` undoes it."""
+    return np.diff(hashes, prepend=np.uint64(0))
+
+
 def _dealt(requests: DataFrame) -> DataFrame:
     """One shard's requests side by side."""
     parts = input_parts(requests.sparkSession)
@@ -155,20 +179,23 @@ def _word_counts(chunks: DataFrame, shards: int, hot: int) -> DataFrame:
                 order = np.argsort(words)
                 words, counts = words[order], counts[order]
                 rows = [
-                    (s, chunk, words[b:e].tobytes(), counts[b:e].tobytes())
+                    (s, chunk, e - b, _pack(_steps(words[b:e]), counts[b:e]))
                     for s, b, e in _cuts(_shard_of(words, shards), shards)
                 ]
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "chunk", "words", "counts"]
+                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "chunk", "n", "data"]
                 )
 
     def answer(batches):
         for group in sorted_groups(batches, ["shard"]):
-            words = [np.frombuffer(w, np.uint64) for w in group["words"].to_pylist()]
+            words, counts = [], []
+            for n, data in zip(group["n"].to_pylist(), group["data"].to_pylist()):
+                steps, own = _unpack(data, [n, n], "u8 u4")
+                words.append(np.cumsum(steps))
+                counts.append(own)
             known, place = np.unique(np.concatenate(words), return_inverse=True)
-            counts = np.concatenate([np.frombuffer(c, "<u4") for c in group["counts"].to_pylist()])
-            total = np.bincount(place, counts, len(known)).astype(np.int64)
+            total = np.bincount(place, np.concatenate(counts), len(known)).astype(np.int64)
             many = total >= hot
             ends = np.cumsum([len(w) for w in words])[:-1]
             own = [total[p].astype("<i8").tobytes() for p in np.split(place, ends)]
@@ -184,7 +211,7 @@ def _word_counts(chunks: DataFrame, shards: int, hot: int) -> DataFrame:
             )
 
     requests = chunks.select("chunk", "words", "counts").mapInArrow(
-        ask, "shard long, chunk long, words binary, counts binary"
+        ask, "shard long, chunk long, n long, data binary"
     )
     return _dealt(requests).mapInArrow(
         answer, "chunk long, shard long, totals binary, hot_words binary, different long"
@@ -261,32 +288,28 @@ def _ngram_codes(
                 for shard, b, e in _cuts(own.shard, shards):
                     pair, triple = own.pair[b:e], own.triple[ends[b] : ends[e]]
                     heads = np.flatnonzero(np.diff(own.context[pair], prepend=-1))
-                    used, which, times = np.unique(
-                        np.append(own.word[pair], own.third[triple]),
-                        return_inverse=True,
-                        return_counts=True,
+                    used, which = np.unique(
+                        np.append(own.word[pair], own.third[triple]), return_inverse=True
                     )
-                    # Frequent words get small numbers, which take one byte.
-                    order = np.argsort(-times, kind="stable")
-                    rank = np.empty(len(order), np.int64)
-                    rank[order] = np.arange(len(order))
-                    coded = (
+                    numbers_of = (
                         np.diff(np.append(heads, e - b)),
                         own.runs[b:e],
-                        rank[which],
+                        which[: e - b],
+                        which[e - b :],
                         own.pair_counts[pair],
                         own.triple_counts[triple],
                     )
-                    control, data = encode_numbers(np.concatenate(coded))
+                    coded = (
+                        _steps(own.words[own.context[pair[heads]]]),
+                        _steps(own.words[used]),
+                        *(x.astype("<u4") for x in numbers_of),
+                    )
                     yield pa.RecordBatch.from_pydict(
                         {
                             "shard": pa.array([shard], pa.int64()),
                             "chunk": pa.array([row["chunk"]], pa.int64()),
                             "sizes": pa.array([[len(c) for c in coded]], pa.list_(pa.int64())),
-                            "contexts": [own.words[own.context[pair[heads]]].tobytes()],
-                            "words": [own.words[used[order]].tobytes()],
-                            "control": [control],
-                            "data": [data],
+                            "data": [_pack(*coded)],
                         }
                     )
 
@@ -296,32 +319,27 @@ def _ngram_codes(
 
     requests = chunks.select("chunk", "sizes", "held", "words", "control", "data").mapInArrow(
         ask,
-        "shard long, chunk long, sizes array<long>, contexts binary, words binary,"
-        " control binary, data binary",
+        "shard long, chunk long, sizes array<long>, data binary",
     )
     return _dealt(requests).mapInArrow(
-        answer,
-        "chunk long, shard long, weights binary, pairs binary, pair_weights binary, triples binary",
+        answer, "chunk long, shard long, sizes array<long>, data binary"
     )
 
 
 def _answers(group: pa.Table, hot: dict[int, int], how: LanguageModel):
     """Builds one shard's trie from all requests, then answers each."""
-    lists = [
-        np.frombuffer(b"".join(group[c].to_pylist()), np.uint64) for c in ("contexts", "words")
-    ]
-    contexts, words = map(np.unique, lists)
+    asked, lists = [], []
+    for sizes, data in zip(group["sizes"].to_pylist(), group["data"].to_pylist()):
+        context, word, *rest = _unpack(data, sizes, "u8 u8 u4 u4 u4 u4 u4 u4")
+        lists.append((np.cumsum(context), np.cumsum(word)))
+        asked.append(rest)
+    contexts, words = (np.unique(np.concatenate(x)) for x in zip(*lists))
     width = len(words)
-    asked = []
-    for sizes, context, word, control, data in zip(
-        *(group[c].to_pylist() for c in ("sizes", "contexts", "words", "control", "data"))
-    ):
-        found = decode_numbers(control, data, sum(sizes))
-        runs, later, which, n_pairs, n_triples = np.split(found, np.cumsum(sizes)[:-1])
-        own = np.searchsorted(words, np.frombuffer(word, np.uint64))[which]
-        heads = np.searchsorted(contexts, np.frombuffer(context, np.uint64))
-        keys = np.repeat(heads, runs) * width + own[: len(n_pairs)]
-        asked.append((heads, keys, later, own[len(n_pairs) :].astype(np.uint32), n_pairs, n_triples))
+    for i, (context, word) in enumerate(lists):
+        runs, later, second, third, n_pairs, n_triples = asked[i]
+        heads, place = np.searchsorted(contexts, context), np.searchsorted(words, word)
+        keys = np.repeat(heads, runs) * width + place[second]
+        asked[i] = (heads, keys, later, place.astype(np.uint32)[third], n_pairs, n_triples)
     del lists
     pairs, pair_of = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
     total = np.bincount(pair_of, np.concatenate([a[4] for a in asked]), len(pairs)).astype(np.int64)
@@ -350,14 +368,13 @@ def _answers(group: pa.Table, hot: dict[int, int], how: LanguageModel):
     for chunk, shard, a, of, last in zip(
         group["chunk"].to_pylist(), group["shard"].to_pylist(), asked, pair_of, triple_of
     ):
+        own = weights[a[0]], codes[0][of], codes[1][of], triple_codes[last]
         yield pa.RecordBatch.from_pydict(
             {
                 "chunk": pa.array([chunk], pa.int64()),
                 "shard": pa.array([shard], pa.int64()),
-                "weights": [weights[a[0]].tobytes()],
-                "pairs": [codes[0][of].tobytes()],
-                "pair_weights": [codes[1][of].tobytes()],
-                "triples": [triple_codes[last].tobytes()],
+                "sizes": pa.array([[len(x) for x in own]], pa.list_(pa.int64())),
+                "data": [_pack(*own)],
             }
         )
 
@@ -448,9 +465,9 @@ def score_documents(docs: DataFrame, how: LanguageModel = LanguageModel()) -> Da
             for row in batch.to_pylist():
                 own = Ngrams(row, shards, hot, hot_size)
                 known = np.frombuffer(b"".join(x["totals"] for x in row["known"]), "<i8")
+                coded = [_unpack(x["data"], x["sizes"], "u1 u1 u1 u1") for x in row["coded"]]
                 weights, pairs, pair_weights, triples = (
-                    decoded[np.frombuffer(b"".join(x[c] for x in row["coded"]), np.uint8)]
-                    for c in ("weights", "pairs", "pair_weights", "triples")
+                    decoded[np.concatenate(x)] for x in zip(*coded)
                 )
                 # One weight came for each context of each shard, one code for each pair.
                 context = own.context[own.pair]
@@ -481,7 +498,7 @@ def score_documents(docs: DataFrame, how: LanguageModel = LanguageModel()) -> Da
         F.sort_array(F.collect_list(F.struct("shard", "totals"))).alias("known")
     )
     coded = codes.groupBy("chunk").agg(
-        F.sort_array(F.collect_list(F.struct("shard", "weights", "pairs", "pair_weights", "triples"))).alias("coded")
+        F.sort_array(F.collect_list(F.struct("shard", "sizes", "data"))).alias("coded")
     )
     joined = chunks.join(known, "chunk").join(coded, "chunk")
     return joined.select("doc_ids", "held", "sizes", "words", "control", "data", "known", "coded").mapInArrow(
