@@ -35,10 +35,25 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it back, so lost executors cost nothing."""
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write a step to the shared folder and read it back, so lost executors cost nothing.
+
+    With `release` Spark deletes the step's shuffle files as soon as it is written, not at
+    some later collection of the driver's memory.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_RELEASE, None)
+    if release:
+        conf.set(_RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if release:
+            conf.unset(_RELEASE) if before is None else conf.set(_RELEASE, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
