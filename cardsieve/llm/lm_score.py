@@ -39,6 +39,8 @@ by_value(__name__)
 
 # The end token and the context of a first word: hashes that no word is given.
 _END, _BEGIN = np.uint64(1), np.uint64(2)
+# Keys that are looked up at one time; this bounds memory only.
+_LOOKUP = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ class LanguageModel:
     mu: float = 20.0
     nu: float = 20.0
     chunk_tokens: int = 2_000_000
-    shard_tokens: int = 3_000_000
+    shard_tokens: int = 2_500_000
 
 
 def _chunks(docs: DataFrame, how: LanguageModel) -> DataFrame:
@@ -154,6 +156,12 @@ def _unpack(data: bytes, sizes: list[int], kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _rows(batch: pa.RecordBatch):
+    """Each row by itself, since a chunk's row is large."""
+    for i in range(batch.num_rows):
+        yield from batch.slice(i, 1).to_pylist()
+
+
 def _steps(hashes: np.ndarray) -> np.ndarray:
     """What each of some ascending hashes adds to the one before; `np.cumsum` undoes it."""
     return np.diff(hashes, prepend=np.uint64(0))
@@ -234,24 +242,33 @@ class Ngrams:
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
         self.words = words[order]
-        self.tokens = place[decode_numbers(row["control"], row["data"], int(self.sizes.sum()))]
+        tokens = place[decode_numbers(row["control"], row["data"], int(self.sizes.sum()))]
+        self.tokens = tokens.astype(np.uint32)
         learned = np.repeat(~np.array(row["held"], bool), self.sizes)
         firsts = np.cumsum(self.sizes) - self.sizes
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[firsts] = np.searchsorted(self.words, _BEGIN)
-        keys, self.pair_of = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
-        self.context, self.word = keys // len(self.words), keys % len(self.words)
-        self.pair_counts = np.bincount(self.pair_of[learned], minlength=len(keys))
+        keys = np.empty_like(tokens)
+        keys[1:] = tokens[:-1]
+        keys[firsts] = np.searchsorted(self.words, _BEGIN)
+        keys *= len(self.words)
+        keys += tokens
+        keys, pair_of = np.unique(keys, return_inverse=True)
+        self.pair_of = pair_of.astype(np.uint32)
+        self.context, self.word = (x.astype(np.uint32) for x in np.divmod(keys, len(self.words)))
+        self.pair_counts = np.bincount(pair_of[learned], minlength=len(keys)).astype(np.uint32)
         # A text's first token has no pair before it, so it ends no triple.
         self.later = np.ones(len(self.tokens), bool)
         self.later[firsts] = False
         third = np.flatnonzero(self.later)
-        keys, self.triple_of = np.unique(
-            self.pair_of[third - 1] * len(self.words) + self.tokens[third], return_inverse=True
-        )
-        owner, self.third = keys // len(self.words), keys % len(self.words)
-        self.triple_counts = np.bincount(self.triple_of[learned[third]], minlength=len(keys))
+        keys = pair_of[third - 1]
+        keys *= len(self.words)
+        keys += tokens[third]
+        del tokens, pair_of
+        keys, place = np.unique(keys, return_inverse=True)
+        self.triple_of = place.astype(np.uint32)
+        counts = np.bincount(place[learned[third]], minlength=len(keys))
+        self.triple_counts = counts.astype(np.uint32)
+        owner, self.third = (x.astype(np.uint32) for x in np.divmod(keys, len(self.words)))
+        del keys, place, counts, third
 
         ways = np.ones(len(self.words), np.int64)
         for word, count in hot.items():
@@ -266,12 +283,12 @@ class Ngrams:
         copies = np.repeat(np.arange(len(times)), times)
         shard = (shard[copies] + np.arange(len(copies)) - begin[copies]) % shards
         order = np.argsort(shard, kind="stable")
-        self.pair, self.shard = copies[order], shard[order]
+        self.pair, self.shard = copies[order].astype(np.uint32), shard[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         way = (spread[self.third] % times.astype(np.uint64)[owner]).astype(np.int64)
         place = place[begin[owner] + way]
-        self.triple = np.argsort(place, kind="stable")
+        self.triple = np.argsort(place, kind="stable").astype(np.uint32)
         self.runs = np.bincount(place, minlength=len(order))
 
 
@@ -282,7 +299,7 @@ def _ngram_codes(
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 own = Ngrams(row, shards, hot, hot_size)
                 ends = np.append(0, np.cumsum(own.runs))
                 for shard, b, e in _cuts(own.shard, shards):
@@ -338,19 +355,17 @@ def _answers(group: pa.Table, hot: dict[int, int], how: LanguageModel):
     for i, (context, word) in enumerate(lists):
         runs, later, second, third, n_pairs, n_triples = asked[i]
         heads, place = np.searchsorted(contexts, context), np.searchsorted(words, word)
-        keys = np.repeat(heads, runs) * width + place[second]
-        asked[i] = (heads, keys, later, place.astype(np.uint32)[third], n_pairs, n_triples)
+        heads, place = heads.astype(np.uint32), place.astype(np.uint32)
+        asked[i] = (heads, np.repeat(heads, runs), place[second], later, place[third], n_pairs, n_triples)
     del lists
-    pairs, pair_of = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
-    total = np.bincount(pair_of, np.concatenate([a[4] for a in asked]), len(pairs)).astype(np.int64)
-    pair_of = np.split(pair_of, np.cumsum([len(a[1]) for a in asked])[:-1])
-    keys = [np.repeat(of, a[2]) * width + a[3] for of, a in zip(pair_of, asked)]
-    triples, triple_of = np.unique(np.concatenate(keys), return_inverse=True)
-    triple_of = np.split(triple_of, np.cumsum([len(k) for k in keys])[:-1])
-    del keys
+    pairs, pair_of = _different([(a[1], a[2]) for a in asked], width)
+    total = np.zeros(len(pairs), np.int64)
+    for of, a in zip(pair_of, asked):
+        total[of] += a[5]
+    triples, triple_of = _different([(np.repeat(of, a[3]), a[4]) for of, a in zip(pair_of, asked)], width)
     counts = np.zeros(len(triples), np.int64)
     for of, a in zip(triple_of, asked):
-        counts[of] += a[5]
+        counts[of] += a[6]
     base = np.bincount(pairs // width, total, len(contexts)).astype(np.int64)
     for word, count in hot.items():
         at = np.searchsorted(contexts, np.uint64(word))
@@ -361,10 +376,10 @@ def _answers(group: pa.Table, hot: dict[int, int], how: LanguageModel):
 
     root, word = numbers(contexts, trie.roots), numbers(words, trie.words)
     weights = _at(trie.root_weights, root, 0)
-    place = _places(trie.pairs, root[pairs // width], word[pairs % width])
+    place = _places(trie.pairs, pairs, root, word)
     codes = [_at(trie.pair_codes, place, ABSENT), _at(trie.pair_weights, place, 0)]
-    place = _places(trie.triples, place[triples // width], word[triples % width])
-    triple_codes = _at(trie.triple_codes, place, ABSENT)
+    triple_codes = _at(trie.triple_codes, _places(trie.triples, triples, place, word), ABSENT)
+    del pairs, triples, place
     for chunk, shard, a, of, last in zip(
         group["chunk"].to_pylist(), group["shard"].to_pylist(), asked, pair_of, triple_of
     ):
@@ -379,6 +394,18 @@ def _answers(group: pa.Table, hot: dict[int, int], how: LanguageModel):
         )
 
 
+def _different(asked: list[tuple], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different (context, word) numbers of all lists as single numbers, and each list's places."""
+    ends = np.cumsum([len(word) for _, word in asked])
+    keys = np.empty(ends[-1], np.int64)
+    for (context, word), end in zip(asked, ends):
+        keys[end - len(word) : end] = context
+        keys[end - len(word) : end] *= width
+        keys[end - len(word) : end] += word
+    found, place = np.unique(keys, return_inverse=True)
+    return found, np.split(place.astype(np.uint32), ends[:-1])
+
+
 def _build(contexts, base, words, pairs, total, triples, counts, how: LanguageModel) -> Trie:
     """The trie of what has training counts; keys are (number, word number) in one number."""
     width = len(words)
@@ -403,11 +430,18 @@ def _build(contexts, base, words, pairs, total, triples, counts, how: LanguageMo
     )
 
 
-def _places(level, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Places of ascending queries, -1 where the context, the word or the entry is unknown."""
-    out = np.full(len(context), -1, np.int64)
-    known = np.flatnonzero((context >= 0) & (word >= 0))
-    out[known] = level.places(context[known], word[known])
+def _places(level, keys: np.ndarray, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of ascending keys, -1 where the context, the word or the entry is unknown.
+
+    `contexts` and `words` give the trie's numbers for those in the keys. Keys are looked up
+    some at a time, to bound what is held.
+    """
+    out = np.full(len(keys), -1, np.int64)
+    for begin in range(0, len(keys), _LOOKUP):
+        own = keys[begin : begin + _LOOKUP]
+        context, word = contexts[own // len(words)], words[own % len(words)]
+        known = np.flatnonzero((context >= 0) & (word >= 0))
+        out[begin + known] = level.places(context[known], word[known])
     return out
 
 
@@ -424,7 +458,7 @@ def _code(share: np.ndarray) -> np.ndarray:
 
 def _back(order: np.ndarray, values: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Values that came in some order of n-grams, for the n-gram of each token."""
-    out = np.empty(int(order.max()) + 1 if len(order) else 0)
+    out = np.empty(int(order.max()) + 1 if len(order) else 0, values.dtype)
     out[order] = values
     return out[which]
 
@@ -446,7 +480,7 @@ def score_documents(docs: DataFrame, how: LanguageModel = LanguageModel()) -> Da
     tokens, train_tokens, train_texts = (int(x or 0) for x in sums)
     shards = max(1, -(-tokens // how.shard_tokens))
     hot_size = max(1, train_tokens // shards)
-    counts = keep(_word_counts(chunks, shards, hot_size), "words")
+    counts = keep(_word_counts(chunks, shards, hot_size), "words", release=True)
     # At most as many hot words as shards: each has a shard's share of all training tokens.
     extra = counts.where("chunk IS NULL").select("totals", "hot_words", "different")
     different, hot = 0, {}
@@ -456,29 +490,30 @@ def score_documents(docs: DataFrame, how: LanguageModel = LanguageModel()) -> Da
         different += row["different"]
         words = np.frombuffer(row["hot_words"], np.uint64).tolist()
         hot.update(zip(words, np.frombuffer(row["totals"], "<i8").tolist()))
-    codes = keep(_ngram_codes(chunks, shards, hot, hot_size, how), "codes")
+    codes = keep(_ngram_codes(chunks, shards, hot, hot_size, how), "codes", release=True)
     scale = train_tokens + 0.5 * (different + 1)
 
     def work(batches):
         decoded = np.append(10.0 ** (-np.arange(255) / 25), 0.0)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 own = Ngrams(row, shards, hot, hot_size)
                 known = np.frombuffer(b"".join(x["totals"] for x in row["known"]), "<i8")
                 coded = [_unpack(x["data"], x["sizes"], "u1 u1 u1 u1") for x in row["coded"]]
-                weights, pairs, pair_weights, triples = (
-                    decoded[np.concatenate(x)] for x in zip(*coded)
-                )
+                weights, pairs, pair_weights, triples = map(np.concatenate, zip(*coded))
                 # One weight came for each context of each shard, one code for each pair.
                 context = own.context[own.pair]
                 fresh = np.diff(context, prepend=-1) != 0
                 fresh |= np.diff(own.shard, prepend=-1) != 0
                 base = ((known + 0.5) / scale)[own.tokens]
-                chance = _back(own.pair, pairs, own.pair_of)
-                chance += _back(own.pair, weights[np.cumsum(fresh) - 1], own.pair_of) * base
+                chance = decoded[_back(own.pair, weights[np.cumsum(fresh) - 1], own.pair_of)]
+                chance *= base
+                chance += decoded[_back(own.pair, pairs, own.pair_of)]
                 third = np.flatnonzero(own.later)
-                before = _back(own.pair, pair_weights, own.pair_of[third - 1])
-                chance[third] = _back(own.triple, triples, own.triple_of) + before * chance[third]
+                before = decoded[_back(own.pair, pair_weights, own.pair_of[third - 1])]
+                before *= chance[third]
+                before += decoded[_back(own.triple, triples, own.triple_of)]
+                chance[third] = before
                 score = np.log10(chance)
                 starts = np.cumsum(own.sizes) - own.sizes
                 yield pa.RecordBatch.from_arrays(
