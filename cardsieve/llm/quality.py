@@ -42,11 +42,11 @@ class Quality:
     clean and toxic documents (see the README).
     """
 
-    trusted_rows: int = 20_000
+    trusted_rows: int = 200_000
     n: int = 3
     bucket_bits: int = 16
     threshold: float = -0.6
-    word_bits: int = 20
+    word_bits: int = 24
     word_start: int = 8
     word_prior: float = 2.0
     avoided: float = -1.0
@@ -141,12 +141,15 @@ def count_buckets(docs: DataFrame, labels: DataFrame, how: Quality) -> DataFrame
     """(bucket, raw, target): counts of all documents and of the trusted ones.
 
     First come the buckets of byte n-grams, then those of words, which count documents, and
-    last one that counts the documents themselves.
+    last one that counts the documents themselves. A task sends the buckets it met, so at most
+    as many as its texts have different words.
     """
     size, words = 1 << how.bucket_bits, 1 << how.word_bits
 
     def work(batches):
-        raw, target = (np.zeros(size + words + 1, np.int64) for _ in range(2))
+        raw, target = (np.zeros(size, np.int64) for _ in range(2))
+        # A task has fewer than 2^32 documents.
+        raw_in, target_in = (np.zeros(words + 1, np.uint32) for _ in range(2))
         for batch in batches:
             trusted = iter(batch["trusted"].to_pylist())
             for some in text_slices(batch["text"], SLICE_BYTES):
@@ -155,18 +158,22 @@ def count_buckets(docs: DataFrame, labels: DataFrame, how: Quality) -> DataFrame
                     found = ngram_buckets(text.as_py(), how.n, how.bucket_bits)
                     large = len(found) > size // 8
                     counts = np.bincount(found, minlength=size) if large else None
-                    once = size + np.append(np.unique(word), words)
+                    once = np.append(np.unique(word), words)
                     for total in (raw, target) if good else (raw,):
                         if counts is None:
                             np.add.at(total, found, 1)
                         else:
-                            total[:size] += counts
+                            total += counts
+                    for total in (raw_in, target_in) if good else (raw_in,):
                         total[once] += 1
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen, pa.int32()), pa.array(raw[seen]), pa.array(target[seen])],
-            ["bucket", "raw", "target"],
-        )
+        for first, one, two in ((0, raw, target), (size, raw_in, target_in)):
+            seen = np.flatnonzero(one)
+            for start in range(0, len(seen), 1 << 16):
+                some = seen[start : start + (1 << 16)]
+                counted = [pa.array(total[some].astype(np.int64)) for total in (one, two)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some + first, pa.int32()), *counted], ["bucket", "raw", "target"]
+                )
 
     # At most `trusted_rows` ids, so the broadcast has a bound that does not grow.
     good = F.broadcast(trusted_ids(labels, how.trusted_rows).withColumn("trusted", F.lit(True)))
@@ -182,7 +189,7 @@ def count_buckets(docs: DataFrame, labels: DataFrame, how: Quality) -> DataFrame
 def log_ratios(counts: DataFrame, how: Quality) -> tuple[np.ndarray, np.ndarray]:
     """Smoothed log ratio for each bucket of byte n-grams, and which words are avoided.
 
-    Of the words' counts only the avoided buckets come to the driver.
+    Of the words' counts only the avoided buckets come to the driver, at most 2^word_bits.
     """
     size, words = 1 << how.bucket_bits, 1 << how.word_bits
     counts = keep(counts, "quality-counts")
@@ -221,8 +228,10 @@ def quality(docs: DataFrame, labels: DataFrame, how: Quality = Quality()) -> Dat
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     ratios, avoided = log_ratios(count_buckets(docs, labels, how), how)
+    packed = np.packbits(avoided)
 
     def work(batches):
+        avoided = np.unpackbits(packed).view(bool)
         for batch in batches:
             found, scores, shares = [], [], []
             for some in text_slices(batch["text"], SLICE_BYTES):
