@@ -27,6 +27,7 @@ from cardsieve.llm.common import (
     input_parts,
     keep,
     mix,
+    releasing,
     shingle_hashes,
     sorted_groups,
     split_words,
@@ -81,6 +82,7 @@ def shingle_sets(texts: pa.Array, width: int):
 def signatures(docs: DataFrame, how: NearDup) -> DataFrame:
     """Per document: size of its shingle set, a 128-bit digest of the set, the signature."""
 
+    @releasing
     def work(batches):
         import xxhash
 
@@ -114,6 +116,7 @@ def signatures(docs: DataFrame, how: NearDup) -> DataFrame:
 def _postings(nodes: DataFrame) -> DataFrame:
     """(node, key) with one key for each coordinate and its value."""
 
+    @releasing
     def work(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -177,6 +180,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, how: NearDup) -> DataFrame:
     """(node, shingles) with the full set, for the documents of the wanted nodes, each named
     once. Only texts that pass the bit table are shuffled."""
 
+    @releasing
     def work(batches):
         for batch in batches:
             found = [s.view(np.int64) for s in shingle_sets(batch["text"], how.width)]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardsieve.llm.common import by_value, text_slices
+from cardsieve.llm.common import by_value, releasing, text_slices
 from cardsieve.llm.tokens import encoder
 
 by_value(__name__)
@@ -90,6 +90,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     gives an empty result. No row is moved: a task's sequences hold its own documents.
     """
 
+    @releasing
     def work(batches):
         from pyspark import TaskContext
 

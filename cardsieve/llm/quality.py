@@ -22,6 +22,7 @@ from cardsieve.llm.common import (
     by_value,
     dictionary_hashes,
     keep,
+    releasing,
     shingle_hashes,
     split_words,
     text_slices,
@@ -146,6 +147,7 @@ def count_buckets(docs: DataFrame, labels: DataFrame, how: Quality) -> DataFrame
     """
     size, words = 1 << how.bucket_bits, 1 << how.word_bits
 
+    @releasing
     def work(batches):
         raw, target = (np.zeros(size, np.int64) for _ in range(2))
         # A task has fewer than 2^32 documents.
@@ -230,6 +232,7 @@ def quality(docs: DataFrame, labels: DataFrame, how: Quality = Quality()) -> Dat
     ratios, avoided = log_ratios(count_buckets(docs, labels, how), how)
     packed = np.packbits(avoided)
 
+    @releasing
     def work(batches):
         avoided = np.unpackbits(packed).view(bool)
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardsieve.llm.common import by_value, input_parts, keep, text_slices
+from cardsieve.llm.common import by_value, input_parts, keep, releasing, text_slices
 from cardsieve.llm.tokens import encoder
 
 by_value(__name__)
@@ -58,6 +58,7 @@ def decode_numbers(control: bytes, data: bytes, sizes) -> np.ndarray:
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, tie, n, ids) of each row, ids as plain numbers of two or four bytes."""
 
+    @releasing
     def work(batches):
         for batch in batches:
             place = 0
@@ -90,6 +91,7 @@ def _plain_ids(ids: bytes, n: int) -> np.ndarray:
 def count_ids(documents: DataFrame) -> DataFrame:
     """(id, n) over all documents; counted inside each task first."""
 
+    @releasing
     def work(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
@@ -198,6 +200,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     )
     offsets = sizes.selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS part_start")
 
+    @releasing
     def work(batches):
         for batch in batches:
             for row in batch.to_pylist():
