@@ -454,6 +454,44 @@ def test_changed_input_is_landed_again(spark, tmp_path):
     assert spark.read.parquet(driver_tables.landed_path(spark, folder, "t", build)).count() == 3
 
 
+def test_only_what_the_record_is_made_of_is_landed(spark, tmp_path):
+    """Copies and nulls too; the texts are those of the join."""
+    for name in ("nation", "customer", "part", "orders", "lineitem"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "lineitem":
+            first = rows.limit(1)
+            rows = rows.union(first).union(first.withColumn("l_suppkey", F.lit(None).cast("long")))
+        if name in ("orders", "part"):
+            rows = rows.union(rows.limit(2))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    before = spark.conf.get(driver_tables._HASH_BELOW)
+    found = driver_tables.transactions(spark, str(tmp_path))
+    assert spark.conf.get(driver_tables._HASH_BELOW) == before
+    joined = driver_tables.join_transactions(spark, str(tmp_path))
+    assert found.count() > 0 and found.schema.names == RAW_SCHEMA.names
+    assert found.exceptAll(joined).count() == joined.exceptAll(found).count() == 0
+    assert all(field.nullable for field in found.schema)
+    files = {row.path for row in found.select(F.col("_metadata.file_path").alias("path")).distinct().collect()}
+    stored = spark.read.parquet(*files)
+    assert stored.schema.names == list(driver_tables.RECORD_COLUMNS)
+    assert all(file.endswith(".zstd.parquet") for file in files)
+
+
+def test_the_widest_join_sorts_no_line_items(spark):
+    broadcast = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(broadcast)
+    spark.conf.set(broadcast, "-1")
+    try:
+        frame = driver_tables.join_records(spark, "/root/testdata/sf0.001")
+        # What the frame runs when it is landed, under the same setting.
+        with driver_tables.hashing_small_sides(spark):
+            frame.collect()
+    finally:
+        spark.conf.set(broadcast, old)
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ShuffledHashJoin") == 4 and "SortMergeJoin" not in plan
+
+
 def test_store_without_a_shared_folder(spark, monkeypatch):
     rows = spark.range(3)
     assert not scratch.store(rows, "kept").is_cached
