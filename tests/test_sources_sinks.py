@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+import __spark_entry__ as entry_point
 from cardsieve import scratch
 from cardsieve.operators import features, profile, split
 from cardsieve.plans import run_cached, run_to_table
@@ -492,6 +493,28 @@ def test_the_widest_join_sorts_no_line_items(spark):
     assert plan.count("ShuffledHashJoin") == 4 and "SortMergeJoin" not in plan
 
 
+def test_packed_csv_in_bounded_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, text) for i in range(4) for text in ("a,\"b", "", " c ", None)], "n INT, t STRING")
+    path = write_csv(rows.coalesce(1), str(tmp_path / "any"), max_records_per_file=5, compression="gzip")
+    assert len(list(Path(path).glob("part-*.csv.gz"))) == 4
+    assert scan_typed(spark, path, rows.schema).exceptAll(rows).count() == 0
+    assert scan_typed(spark, path, rows.schema).count() == 16
+
+
+def test_csv_inputs_are_packed(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    for path in (entry_point._csv(spark, folder), entry_point._dirty_csv(spark, folder)):
+        names = [file.name for file in Path(path.removeprefix("file:")).glob("part-*")]
+        assert names and all(name.endswith(".csv.gz") for name in names)
+    tiers = []
+    monkeypatch.setattr(
+        entry_point, "check_registry", lambda spark, registry: tiers.extend(registry.values())
+    )
+    assert entry_point.dataset_registry(spark, folder).count() == 5
+    for source in tiers[:2]:
+        assert list(Path(source.path.removeprefix("file:")).glob("part-*.csv.gz"))
+
+
 def test_store_without_a_shared_folder(spark, monkeypatch):
     rows = spark.range(3)
     assert not scratch.store(rows, "kept").is_cached
