@@ -67,6 +67,8 @@ def write_table(
     spark = df.sparkSession
     version = _beside(name, f"{_short(name)}__{uuid4().hex}")
     writer = df.write.format(source)
+    if source == "parquet":
+        writer = writer.option("compression", "zstd")
     if path is not None:
         writer = writer.option("path", f"{path.rstrip('/')}/{_short(version)}")
     if partition_by:

@@ -493,6 +493,15 @@ def test_the_widest_join_sorts_no_line_items(spark):
     assert plan.count("ShuffledHashJoin") == 4 and "SortMergeJoin" not in plan
 
 
+def test_stored_rows_are_packed(spark, csv, schema, tmp_path):
+    """Tables, stored frames and landed files."""
+    write_table(spark.range(10), f"{schema}.packed", str(tmp_path / "table"))
+    assert list((tmp_path / "table").rglob("*.zstd.parquet"))
+    land_files(spark, csv, str(tmp_path / "landed"), scan_typed)
+    assert list((tmp_path / "landed" / "rows").rglob("*.zstd.parquet"))
+    assert all(f.endswith(".zstd.parquet") for f in scratch.store(spark.range(10), "packed").inputFiles())
+
+
 def test_packed_csv_in_bounded_files(spark, tmp_path):
     rows = spark.createDataFrame([(i, text) for i in range(4) for text in ("a,\"b", "", " c ", None)], "n INT, t STRING")
     path = write_csv(rows.coalesce(1), str(tmp_path / "any"), max_records_per_file=5, compression="gzip")
