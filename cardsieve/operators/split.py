@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardsieve.functions.hashing import hash_bucket, hash_key
-from cardsieve.operators.copies import content_key, repeat_rows
+from cardsieve.operators.copies import content_key, key_marks, repeat_rows
 from cardsieve.schema import ID_COLUMN
 from cardsieve.scratch import store
 
@@ -80,22 +80,38 @@ def complement(df: DataFrame, part: DataFrame) -> DataFrame:
     """The rows of `df` that `part` did not take: copies count, and no id is needed.
 
     `part` holds rows of `df`, so together they are `df` again, each row as often as before.
-    Rows are told apart by all their content. Both sides are counted in one shuffle, with
-    the copies of a task combined first; rows of `part` that `df` lacks count for nothing.
+    Rows are told apart by all their content; rows of `part` that `df` lacks count for
+    nothing. Both sides are counted by a hash of the content, so no row is moved for that.
+    Bit maps of the hashes then say of nearly every row that all its copies stay or none do;
+    only the others are brought together with their counts. `df` is read for the counts and
+    again for its rows, so it must hold the same rows each time.
     """
     columns = df.columns
     named = [F.col(f"`{c}`") for c in columns]
-    counted = (
-        df.select(content_key(columns).alias("_key"), F.lit(1).alias("_n"), F.struct(*named).alias("_row"))
-        .unionByName(
-            part.select(*named).select(content_key(columns).alias("_key"), F.lit(-1).alias("_n")),
-            allowMissingColumns=True,
-        )
+    key = content_key(columns).alias("_key")
+    taken = part.select(*named).select(key, F.lit(-1).alias("_n"))
+    counted = store(
+        df.select(key, F.lit(1).alias("_n"))
+        .unionByName(taken)
+        .groupBy("_key")
+        .agg(F.sum("_n").alias("_n"), F.count_if(F.col("_n") > 0).alias("_copies"))
+        .where("_copies > 0"),
+        "complement-keys",
+    )
+    stays, goes = F.col("_n") > 0, F.col("_n") < F.col("_copies")
+    marked = key_marks(counted, "_key", {"_stays": stays, "_goes": goes})
+
+    rows = marked(df.select(key, F.struct(*named).alias("_row")))
+    all_stay = rows.where("_stays AND NOT _goes").select("_row.*")
+    unsure = (
+        marked(counted.where(stays).select("_key", "_n"))
+        .where("_stays AND _goes")
+        .unionByName(rows.where("_stays AND _goes"), allowMissingColumns=True)
         .groupBy("_key")
         .agg(F.sum("_n").alias("_n"), F.first("_row", ignorenulls=True).alias("_row"))
         .where("_n > 0")
     )
-    return repeat_rows(counted.select("_n", "_row"), "_n").select("_row.*")
+    return all_stay.unionByName(repeat_rows(unsure.select("_n", "_row"), "_n").select("_row.*"))
 
 
 # --- at random -----------------------------------------------------------------------

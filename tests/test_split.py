@@ -291,3 +291,30 @@ def test_anti_join_splits_a_hot_id(spark, tmp_path):
     finally:
         for name in conf:
             spark.conf.unset(name)
+
+
+def test_complement_moves_few_rows(skewed, monkeypatch):
+    """Rows are only brought together where the bits of their hash do not settle them."""
+    moved, repeat = [], split.repeat_rows
+    monkeypatch.setattr(split, "repeat_rows", lambda df, n: moved.append(df) or repeat(df, n))
+    part = skewed.where("transaction_id LIKE '%7' OR transaction_id = 'HOT'")
+    rest = split.complement(skewed, part)
+    assert odd_rows(rest.union(part)) == odd_rows(skewed)
+    assert rest.count() > 3500 and moved[0].count() < 500
+
+
+def test_complement_where_all_hashes_share_a_few_bits(skewed, monkeypatch):
+    monkeypatch.setattr(copies, "_MAP_BITS", 8)
+    monkeypatch.setattr(copies, "_MOST_BITS", 8)
+    for part in (skewed.where("value % 3 = 0"), skewed.limit(0), skewed):
+        assert odd_rows(split.complement(skewed, part).union(part)) == odd_rows(skewed)
+
+
+def test_key_marks(spark):
+    """A mark is never missed, and seldom set for a key that lacks it."""
+    keys = spark.range(40000).withColumn("even", F.col("id") % 2 == 0)
+    marks = {"even": F.col("even"), "third": F.when(F.col("id") % 3 == 0, True), "none": F.lit(False)}
+    found = copies.key_marks(keys, "id", marks)(keys.select("id"))
+    assert found.count() == 40000
+    assert found.where("id % 2 = 0 AND NOT even OR id % 3 = 0 AND NOT third OR none").count() == 0
+    assert found.where("id % 2 = 1 AND even").count() < 3000
