@@ -181,7 +181,8 @@ def random_filter_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every row in the seeded shuffle."""
-    shuffled = split.seeded_shuffle(tables.transactions(spark, sf_dir))
+    raw = tables.transactions(spark, sf_dir)
+    shuffled = split.seeded_shuffle(raw, columns=["transaction_id"])
     return split.with_row_index(shuffled).select("transaction_id", "_idx")
 
 

@@ -4,7 +4,7 @@ The hash split is the one to use at scale: it decides each row on its own, needs
 shuffle, and gives the same answer on every run and partitioning.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ _RANK_DIGITS = 4
 _ROWS_PER_TASK = 1 << 33
 
 _PLACE = "_place"
+_CONTENT = "_content"
 
 
 def _label(is_train: Column) -> Column:
@@ -298,18 +299,30 @@ def shuffle_rank(df: DataFrame, id_column: str = ID_COLUMN, seed: int = SEED) ->
     )
 
 
-def seeded_shuffle(df: DataFrame, id_column: str = ID_COLUMN, seed: int = SEED) -> DataFrame:
+def seeded_shuffle(
+    df: DataFrame,
+    id_column: str = ID_COLUMN,
+    seed: int = SEED,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
     """All rows in an order that looks random and is the same on every run.
 
     A range-partitioned sort on the hashed id, then on content; it is the only shuffle of the
     rows. They are stored first, and their places come last in the order: whole-row copies
     are told apart by them, so that the sort can cut between any two rows. Which of two
     copies comes first does not show. Values come back as they were, -0.0 and NaN too.
+
+    Of the order of whole rows, `columns` names those to return. Only these, the id and a
+    hash of the content are then stored and shuffled.
     """
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    content = content_key(df.columns)
+    if columns is not None:
+        kept = [F.col(f"`{c}`") for c in dict.fromkeys([*columns, id_column])]
+        df, content = df.select(*kept, content.alias(_CONTENT)), F.col(_CONTENT)
+    returned = [F.col(f"`{c}`") for c in (df.columns if columns is None else columns)]
     return placed_rows(df, "shuffle").orderBy(
-        hash_key(id_column, seed), id_column, content_key(df.columns), _PLACE
-    ).select(*columns)
+        hash_key(id_column, seed), id_column, content, _PLACE
+    ).select(*returned)
 
 
 # --- sizes ---------------------------------------------------------------------------

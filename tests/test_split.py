@@ -318,3 +318,14 @@ def test_key_marks(spark):
     assert found.count() == 40000
     assert found.where("id % 2 = 0 AND NOT even OR id % 3 = 0 AND NOT third OR none").count() == 0
     assert found.where("id % 2 = 1 AND even").count() < 3000
+
+
+def test_seeded_shuffle_of_some_columns(skewed, monkeypatch):
+    """The order of the whole rows, for which only the columns asked for are moved."""
+    wide, stored = skewed.withColumn("more", F.lit("x")), []
+    keep = split.store
+    monkeypatch.setattr(split, "store", lambda df, name: stored.append(df.columns) or keep(df, name))
+    out = split.seeded_shuffle(wide, columns=["value"])
+    assert out.columns == ["value"]
+    assert not {"more"} & set(stored[0])
+    assert out.collect() == split.seeded_shuffle(wide).select("value").collect()
