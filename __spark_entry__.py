@@ -182,7 +182,7 @@ def random_filter_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every row in the seeded shuffle."""
     raw = tables.transactions(spark, sf_dir)
-    shuffled = split.seeded_shuffle(raw, columns=["transaction_id"])
+    shuffled = split.seeded_shuffle(raw, columns=["transaction_id"], stored=False)
     return split.with_row_index(shuffled).select("transaction_id", "_idx")
 
 
@@ -430,7 +430,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "transaction_id", "split"
         ),
         "shuffle_rank": lambda s, d: split.shuffle_rank(raw(s, d)),
-        "seeded_shuffle": lambda s, d: split.seeded_shuffle(raw(s, d)),
+        "seeded_shuffle": lambda s, d: split.seeded_shuffle(raw(s, d), stored=False),
         "random_split": random_split_check,
         "random_filter": random_filter_check,
         "row_index": row_index,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cardsieve.functions.hashing import hash_bucket, hash_key
 from cardsieve.operators.copies import content_key, key_marks, repeat_rows
+from cardsieve.operators.packed import pack_texts, unpack_texts
 from cardsieve.schema import ID_COLUMN
 from cardsieve.scratch import store
 
@@ -304,25 +305,40 @@ def seeded_shuffle(
     id_column: str = ID_COLUMN,
     seed: int = SEED,
     columns: Sequence[str] | None = None,
+    stored: bool = True,
 ) -> DataFrame:
     """All rows in an order that looks random and is the same on every run.
 
     A range-partitioned sort on the hashed id, then on content; it is the only shuffle of the
-    rows. They are stored first, and their places come last in the order: whole-row copies
-    are told apart by them, so that the sort can cut between any two rows. Which of two
-    copies comes first does not show. Values come back as they were, -0.0 and NaN too.
+    rows, and their texts are packed for it. They are stored first, and their places come last
+    in the order: whole-row copies are told apart by them, so that the sort can cut between
+    any two rows. Which of two copies comes first does not show. Values come back as they
+    were, -0.0 and NaN too.
+
+    Frames read from files need not be `stored`: they are read twice instead, and the sort
+    can cut between copies of different tasks. A task's number stays with its rows when it is
+    run again, in whatever order they come then.
 
     Of the order of whole rows, `columns` names those to return. Only these, the id and a
     hash of the content are then stored and shuffled.
     """
-    content = content_key(df.columns)
+    returned, keep = list(df.columns if columns is None else columns), (id_column,)
+    whole = pack_texts(df.schema, keep)
+    content = content_key(df.select(*whole).columns)
     if columns is not None:
         kept = [F.col(f"`{c}`") for c in dict.fromkeys([*columns, id_column])]
-        df, content = df.select(*kept, content.alias(_CONTENT)), F.col(_CONTENT)
-    returned = [F.col(f"`{c}`") for c in (df.columns if columns is None else columns)]
-    return placed_rows(df, "shuffle").orderBy(
+        df = df.select(F.struct(*kept).alias("_kept"), *whole).select(
+            "_kept.*", content.alias(_CONTENT)
+        )
+        content = F.col(_CONTENT)
+    if stored:
+        placed = placed_rows(df, "shuffle")
+    else:
+        placed = df.withColumn(_PLACE, F.spark_partition_id())
+    ordered = placed.select(*pack_texts(placed.schema, keep)).orderBy(
         hash_key(id_column, seed), id_column, content, _PLACE
-    ).select(*returned)
+    )
+    return unpack_texts(ordered, placed.schema, keep).select(*[F.col(f"`{c}`") for c in returned])
 
 
 # --- sizes ---------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cardsieve.operators import copies, split
+from cardsieve.operators import packed as packing
 
 
 def ids(df):
@@ -329,3 +330,40 @@ def test_seeded_shuffle_of_some_columns(skewed, monkeypatch):
     assert out.columns == ["value"]
     assert not {"more"} & set(stored[0])
     assert out.collect() == split.seeded_shuffle(wide).select("value").collect()
+
+
+def test_seeded_shuffle_without_storing(spark, skewed, tmp_path, monkeypatch):
+    """Files are read twice instead; copies of different tasks are still cut apart."""
+    skewed.write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(split, "store", None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4KB")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4KB")
+    try:
+        rows = spark.read.parquet(str(tmp_path / "t"))
+        out = split.seeded_shuffle(rows, stored=False)
+        placed = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name in ("adaptive.coalescePartitions.enabled", "files.maxPartitionBytes", "files.openCostInBytes"):
+            spark.conf.unset(f"spark.sql.{name}")
+    assert len({row.task for row in placed if row.transaction_id == "HOT"}) > 2
+    monkeypatch.undo()
+    assert [tuple(row)[:2] for row in placed] == [tuple(r) for r in split.seeded_shuffle(skewed).collect()]
+
+
+def test_texts_are_packed_without_loss(spark, monkeypatch):
+    texts = ["", None, '"', "\\", "\r\n", "\x00\x1f", "null", " a ", "\U0001f600 ", "[]", "y" * 50]
+    rows = [(str(i), a, b, -0.0) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    df = spark.createDataFrame(rows, "transaction_id STRING, `a.b` STRING, c STRING, x DOUBLE")
+    broken = df.limit(3).withColumn("c", F.unhex(F.lit("61FF62")).cast("string"))
+    df = df.union(broken)
+    exact = lambda found: sorted(
+        tuple(row) for row in found.select(*[F.hex(F.col(f"`{c}`").cast("string")) for c in df.columns]).na.fill("none").collect()
+    )
+    packed = df.select(*packing.pack_texts(df.schema, ("transaction_id",)))
+    assert packed.columns == ["transaction_id", "x", "_texts", "_loose"]
+    assert packed.where("_loose IS NOT NULL").count() == 3
+    assert exact(split.seeded_shuffle(df)) == exact(df)
+    monkeypatch.setattr(packing, "_LONG", 50)
+    assert df.select(*packing.pack_texts(df.schema)).where("_loose IS NOT NULL").count() == 24
+    assert exact(split.seeded_shuffle(df)) == exact(df)
