@@ -1,5 +1,6 @@
 """CSV dialect and scans, tables, named data sets, and round trips through the sinks."""
 
+import time
 from datetime import datetime
 from pathlib import Path
 
@@ -445,6 +446,24 @@ def test_made_once_while_it_is_there(spark, tmp_path):
     assert len(calls) == 2
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_stored_steps_leave_no_shuffle_files(spark, tmp_path):
+    """Nor do files made once; the session's own setting stays as it was."""
+    dealt, setting = spark.range(1000).repartition(3), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffle_files(spark), spark.conf.get(setting, None)
+    scratch.store(dealt, "dealt")
+    scratch.made_once(spark, "dealt", str(tmp_path), dealt.write.parquet)
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and spark.conf.get(setting, None) == was
+
+
 def test_changed_input_is_landed_again(spark, tmp_path):
     folder = str(tmp_path)
     spark.range(5).write.parquet(f"{folder}/t.parquet")
