@@ -29,6 +29,9 @@ _RANK_DIGITS = 4
 # Spark numbers the rows of a task in the lower 33 bits of its row ids.
 _ROWS_PER_TASK = 1 << 33
 
+# Ids up to which a join with them needs no bit maps: so few are broadcast, or shuffled cheaply.
+_FEW_IDS = 1 << 16
+
 _PLACE = "_place"
 _CONTENT = "_content"
 
@@ -68,14 +71,46 @@ def hash_split(
     return df.where(mask), df.where(~mask)
 
 
+def _outside(df: DataFrame, taken: DataFrame, id_column: str, how: str) -> DataFrame:
+    """Rows whose id is not taken; null is compared as a value. `taken` holds an id once."""
+    ids = taken.select(F.col(id_column).alias("_taken"), F.lit(True).alias("_found"))
+    joined = df.join(ids, df[id_column].eqNullSafe(ids["_taken"]), how)
+    return joined if how == "left_anti" else joined.where("_found IS NULL").drop("_taken", "_found")
+
+
 def without_ids(df: DataFrame, part: DataFrame, id_column: str = ID_COLUMN) -> DataFrame:
     """Rows of `df` whose id is not in `part`, for tables where an id is one row.
 
-    The ids of `part` are made distinct first, so a frequent id is one row on that side.
-    The comparison treats null as a value: a null id in `part` removes the null ids.
+    The comparison treats null as a value: a null id in `part` removes the null ids. Of both
+    sides only the ids are shuffled, and each is stored once, so a frequent id is one row. Bit
+    maps of the ids then say of most rows that they stay or go; only rows whose id shares a
+    bit with one that fares otherwise are joined with the ids taken. Where ids are few, or of
+    another type in `part`, all rows are. `df` is read for the ids and again for its rows, so
+    it must hold the same rows each time.
     """
-    taken = part.select(F.col(id_column).alias("_taken")).distinct()
-    return df.join(taken, df[id_column].eqNullSafe(taken["_taken"]), "left_anti")
+    ids = part.select(F.col(id_column))
+    if ids.schema[0].dataType != df.select(F.col(id_column)).schema[0].dataType:
+        return _outside(df, ids.distinct(), id_column, "left_anti")
+    known = store(
+        df.select(F.col(id_column), F.lit(False).alias("_gone"))
+        .unionByName(ids.withColumn("_gone", F.lit(True)))
+        .groupBy(id_column)
+        .agg(F.bool_or("_gone").alias("_gone"), F.bool_and("_gone").alias("_alien"))
+        .where("NOT _alien")
+        .drop("_alien"),
+        "known-ids",
+    )
+    gone = known.where("_gone").select(F.col(id_column))
+    if known.count() <= _FEW_IDS:
+        return _outside(df, gone, id_column, "left_anti")
+    marked = key_marks(known, id_column, {"_stays": ~F.col("_gone"), "_goes": F.col("_gone")})
+    rows, named = marked(df), [F.col(f"`{c}`") for c in df.columns]
+    unsure = rows.where("_stays AND _goes").select(*named)
+    rivals = marked(gone).where("_stays AND _goes")
+    # Catalyst would move an anti join below the marks, and shuffle all rows again.
+    return rows.where("NOT _goes").select(*named).unionByName(
+        _outside(unsure, rivals, id_column, "left")
+    )
 
 
 def complement(df: DataFrame, part: DataFrame) -> DataFrame:

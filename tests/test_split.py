@@ -294,6 +294,36 @@ def test_anti_join_splits_a_hot_id(spark, tmp_path):
             spark.conf.unset(name)
 
 
+def test_anti_join_moves_few_rows(spark, skewed, monkeypatch):
+    """Where ids are many, rows are only joined where the bits of their id do not settle them."""
+    moved, outside = [], split._outside
+    monkeypatch.setattr(split, "_FEW_IDS", 0)
+    monkeypatch.setattr(split, "_outside", lambda df, *more: moved.append(df) or outside(df, *more))
+    part = skewed.where("transaction_id LIKE '%7' OR transaction_id = 'HOT'")
+    rest = split.without_ids(skewed, part)
+    assert odd_rows(rest) == odd_rows(skewed.where("transaction_id IS NULL OR NOT (transaction_id LIKE '%7' OR transaction_id = 'HOT')"))
+    assert moved[0].count() < 500
+    assert "LeftAnti" not in rest._jdf.queryExecution().optimizedPlan().toString()
+    assert split.without_ids(skewed, skewed).count() == 0
+    assert odd_rows(split.without_ids(skewed, part.limit(0))) == odd_rows(skewed)
+    assert split.without_ids(skewed, skewed.where("transaction_id IS NULL")).count() == 6000
+
+
+@pytest.mark.parametrize("bits", (8, 1 << 15))
+def test_anti_join_by_odd_ids(spark, monkeypatch, bits):
+    """Zeros of both signs are one id, and so are all NaN; other types are compared as before."""
+    monkeypatch.setattr(split, "_FEW_IDS", 0)
+    monkeypatch.setattr(copies, "_MAP_BITS", bits)
+    monkeypatch.setattr(copies, "_MOST_BITS", bits)
+    values = [0.0, -0.0, float("nan"), float("nan"), None, *map(float, range(1, 40))]
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate(values)], "`a b` DOUBLE, place INT")
+    part = spark.createDataFrame([(-0.0,), (float("nan"),), (7.0,), (99.0,)], "`a b` DOUBLE")
+    kept = lambda part: sorted(row.place for row in split.without_ids(rows, part, "a b").collect())
+    assert kept(part) == [i for i in range(4, len(values)) if values[i] != 7]
+    assert kept(part.selectExpr("CAST(`a b` AS FLOAT) AS `a b`")) == kept(part)
+    assert kept(part.union(part.selectExpr("CAST(NULL AS DOUBLE)"))) == kept(part)[1:]
+
+
 def test_complement_moves_few_rows(skewed, monkeypatch):
     """Rows are only brought together where the bits of their hash do not settle them."""
     moved, repeat = [], split.repeat_rows
