@@ -26,8 +26,11 @@ _LOSSLESS = {
 def content_key(columns: list[str]) -> Column:
     """A hash that only whole-row copies share. Takes any type, maps too, and tells 0.0
     from -0.0."""
-    named = [F.col(f"`{c.replace('`', '``')}`") for c in columns]
-    return F.unhex(F.md5(F.to_json(F.struct(*named), _LOSSLESS)))
+    return content_hash([F.col(f"`{c.replace('`', '``')}`") for c in columns])
+
+
+def content_hash(columns: list[Column]) -> Column:
+    return F.unhex(F.md5(F.to_json(F.struct(*columns), _LOSSLESS)))
 
 
 def _bit(bits: Column, place: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardsieve.functions.hashing import hash_bucket, hash_key
-from cardsieve.operators.copies import content_key, key_marks, repeat_rows
+from cardsieve.operators.copies import content_hash, content_key, key_marks, repeat_rows
 from cardsieve.operators.packed import pack_texts, unpack_texts
+from cardsieve.operators.ranged import deal_by_range, is_plain
 from cardsieve.schema import ID_COLUMN
 from cardsieve.scratch import store
 
@@ -345,12 +346,12 @@ def seeded_shuffle(
     """All rows in an order that looks random and is the same on every run.
 
     A range-partitioned sort on the hashed id, then on content; it is the only shuffle of the
-    rows, and their texts are packed for it. They are stored first, and their places come last
-    in the order: whole-row copies are told apart by them, so that the sort can cut between
-    any two rows. Which of two copies comes first does not show. Values come back as they
-    were, -0.0 and NaN too.
+    rows, for which they are packed column by column, or only their texts where a column is
+    nested. They are stored first, and their places come last in the order: whole-row copies
+    are told apart by them, so that the sort can cut between any two rows. Which of two copies
+    comes first does not show. Values come back as they were, -0.0 and NaN too.
 
-    Frames read from files need not be `stored`: they are read twice instead, and the sort
+    Frames read from files need not be `stored`: they are read again instead, and the sort
     can cut between copies of different tasks. A task's number stays with its rows when it is
     run again, in whatever order they come then.
 
@@ -359,21 +360,33 @@ def seeded_shuffle(
     """
     returned, keep = list(df.columns if columns is None else columns), (id_column,)
     whole = pack_texts(df.schema, keep)
-    content = content_key(df.select(*whole).columns)
+    content = content_hash(whole)
     if columns is not None:
         kept = [F.col(f"`{c}`") for c in dict.fromkeys([*columns, id_column])]
-        df = df.select(F.struct(*kept).alias("_kept"), *whole).select(
-            "_kept.*", content.alias(_CONTENT)
-        )
+        df = df.select(*kept, content.alias(_CONTENT))
         content = F.col(_CONTENT)
     if stored:
         placed = placed_rows(df, "shuffle")
     else:
         placed = df.withColumn(_PLACE, F.spark_partition_id())
-    ordered = placed.select(*pack_texts(placed.schema, keep)).orderBy(
-        hash_key(id_column, seed), id_column, content, _PLACE
-    )
-    return unpack_texts(ordered, placed.schema, keep).select(*[F.col(f"`{c}`") for c in returned])
+    hashed = hash_key(id_column, seed)
+    if is_plain(placed.schema):
+        # A null id and an empty one have one hash.
+        tail = F.concat(
+            F.unhex(F.when(F.col(id_column).isNull(), "00").otherwise("01")),
+            content,
+            F.unhex(F.lpad(F.hex(F.col(_PLACE).cast("long")), 16, "0")),
+        )
+        dealt = deal_by_range(placed, F.unhex(hashed), tail)
+        ordered = dealt.sortWithinPartitions(hashed, id_column, content, _PLACE)
+    else:
+        if columns is None:
+            content = content_key(df.select(*whole).columns)
+        packed = placed.select(*pack_texts(placed.schema, keep))
+        ordered = unpack_texts(
+            packed.orderBy(hashed, id_column, content, _PLACE), placed.schema, keep
+        )
+    return ordered.select(*[F.col(f"`{c}`") for c in returned])
 
 
 # --- sizes ---------------------------------------------------------------------------

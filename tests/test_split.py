@@ -381,6 +381,31 @@ def test_seeded_shuffle_without_storing(spark, skewed, tmp_path, monkeypatch):
     assert [tuple(row)[:2] for row in placed] == [tuple(r) for r in split.seeded_shuffle(skewed).collect()]
 
 
+def shuffled_bytes(plan):
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_bytes(plan.executedPlan())
+    if kind == "ResultQueryStageExec":
+        return shuffled_bytes(plan.plan())
+    if kind == "ShuffleQueryStageExec":
+        return plan.shuffle().metrics().apply("shuffleBytesWritten").value()
+    return sum(shuffled_bytes(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_seeded_shuffle_moves_columns_packed(spark, tmp_path):
+    """A hash printed in hex moves in little more than its 16 bytes, numbers in their digits."""
+    spark.range(20000).selectExpr(
+        "concat('T', id) AS transaction_id", "md5(string(id)) AS `a.b`", "md5(concat(id, 'x')) AS c",
+        "'{''total'': 1, ''unique'': ' || id % 7 || '}' AS d", "IF(id % 3 = 0, NULL, id * 0.5D) AS e",
+    ).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    out = split.seeded_shuffle(rows, stored=False)
+    assert out.schema == rows.schema
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert 32 * 20000 < shuffled_bytes(out._jdf.queryExecution().executedPlan()) < 55 * 20000
+    assert split.seeded_shuffle(rows.limit(0)).collect() == []
+
+
 def test_texts_are_packed_without_loss(spark, monkeypatch):
     texts = ["", None, '"', "\\", "\r\n", "\x00\x1f", "null", " a ", "\U0001f600 ", "[]", "y" * 50]
     rows = [(str(i), a, b, -0.0) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
